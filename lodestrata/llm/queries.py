@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_classifier, quality_rules, simhash
+from . import line_dedup, quality_classifier, quality_rules, simhash
 from .common import fold
 
 
@@ -25,6 +25,11 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, model).select("doc_id", held, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "text", F.col("deleted.lines").alias("lines_deleted"), F.col("deleted.words").alias("words_deleted"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     judged = quality_rules.judge(docs.select("doc_id", "text"), quality_rules.learn(docs, labels))
@@ -32,5 +37,29 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(F.col(f"quality.{c}").alias(c) for c in wanted))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash_near_dedup, op4_quality_classifier, op10_quality_rules)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_simhash_near_dedup, op4_quality_classifier, op5_line_dedup, op10_quality_rules)}
+OP5_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE text IS NOT NULL
+), w AS (
+  SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM l
+), x AS (
+  SELECT doc_id, line, n, words, row_number() OVER d AS p, sum(words) OVER (d ROWS UNBOUNDED PRECEDING) AS till FROM w WHERE words > 0 WINDOW d AS (PARTITION BY doc_id ORDER BY n)
+), spans AS (
+  SELECT o.doc_id, o.p AS s, min(c.p) AS e FROM x o JOIN x c ON c.doc_id = o.doc_id AND c.p >= o.p AND c.till - (o.till - o.words) >= 50 GROUP BY ALL
+  UNION
+  SELECT c.doc_id, max(o.p), c.p FROM x c JOIN x o ON c.doc_id = o.doc_id AND c.p >= o.p AND c.till - (o.till - o.words) >= 50 GROUP BY c.doc_id, c.p
+), runs AS (
+  SELECT s.doc_id, s.s, s.e, string_agg(x.line, chr(10) ORDER BY x.p) AS lines FROM spans s JOIN x ON x.doc_id = s.doc_id AND x.p BETWEEN s.s AND s.e GROUP BY ALL
+), first AS (
+  SELECT *, first_value(doc_id) OVER f AS fd, first_value(e) OVER f AS fe FROM runs WINDOW f AS (PARTITION BY lines ORDER BY doc_id, s)
+), gone AS (
+  SELECT DISTINCT x.doc_id, x.n, x.words FROM first r JOIN x ON x.doc_id = r.doc_id AND x.p BETWEEN r.s AND r.e WHERE r.doc_id <> r.fd OR r.s > r.fe
+)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(k.text, '') END AS text, coalesce(g.lines, 0) AS lines_deleted, coalesce(g.words, 0) AS words_deleted
+FROM documents d
+LEFT JOIN (SELECT w.doc_id, string_agg(w.line, chr(10) ORDER BY w.n) AS text FROM w LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.n = w.n WHERE g.n IS NULL GROUP BY w.doc_id) k ON k.doc_id = d.doc_id
+LEFT JOIN (SELECT doc_id, count(*) AS lines, sum(words)::BIGINT AS words FROM gone GROUP BY doc_id) g ON g.doc_id = d.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op5_line_dedup": OP5_SQL}
