@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, quality_classifier, quality_rules, simhash
+from . import line_dedup, mixing, quality_classifier, quality_rules, simhash
 from .common import fold
 
 
@@ -30,6 +30,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "text", F.col("deleted.lines").alias("lines_deleted"), F.col("deleted.words").alias("words_deleted"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("domain", mixing.source_domain())
+    return mixing.mix(docs, F.col("domain"), mixing.DOMAINS).select("doc_id", "domain", "lang", "source", "epoch")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     judged = quality_rules.judge(docs.select("doc_id", "text"), quality_rules.learn(docs, labels))
@@ -37,7 +42,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(F.col(f"quality.{c}").alias(c) for c in wanted))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash_near_dedup, op4_quality_classifier, op5_line_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op3_simhash_near_dedup, op4_quality_classifier, op5_line_dedup, op6_mixing, op10_quality_rules)}
 OP5_SQL = r"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE text IS NOT NULL
@@ -62,4 +67,40 @@ LEFT JOIN (SELECT w.doc_id, string_agg(w.line, chr(10) ORDER BY w.n) AS text FRO
 LEFT JOIN (SELECT doc_id, count(*) AS lines, sum(words)::BIGINT AS words FROM gone GROUP BY doc_id) g ON g.doc_id = d.doc_id
 """
 
-ORACLES: dict[str, str] = {"op5_line_dedup": OP5_SQL}
+OP6_SQL = r"""
+WITH d AS (
+  SELECT doc_id, 'domain' || (try_cast(substr(source, 4) AS INT) % 4) AS domain, lang, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS tokens FROM documents
+), leaf AS (
+  SELECT domain, lang, source, sum(tokens)::BIGINT AS tokens FROM d GROUP BY ALL
+), n1 AS (
+  SELECT domain, sum(tokens)::HUGEINT * 2 AS cap, CASE domain WHEN 'domain0' THEN 4 WHEN 'domain1' THEN 3 WHEN 'domain2' THEN 2 ELSE 1 END AS weight, (SELECT sum(tokens) FROM leaf)::HUGEINT AS budget FROM leaf GROUP BY ALL
+), r1 AS (
+  SELECT *, row_number() OVER o AS rank, budget - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest, sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS heft FROM n1 WINDOW o AS (ORDER BY cap / weight, domain)
+), q1 AS (
+  SELECT domain, CASE WHEN cap * heft <= rest * weight THEN cap ELSE least(cap, first[1] * weight // first[2]) END AS quota
+  FROM (SELECT *, min_by([rest, heft], CASE WHEN cap * heft > rest * weight THEN rank END) OVER () AS first FROM r1)
+), n2 AS (
+  SELECT domain, lang, sum(tokens)::HUGEINT * 2 AS cap, CASE lang WHEN 'en' THEN 11 ELSE 3 END AS weight, any_value(quota) AS budget FROM leaf JOIN q1 USING (domain) GROUP BY domain, lang
+), r2 AS (
+  SELECT *, row_number() OVER o AS rank, budget - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest, sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS heft FROM n2 WINDOW o AS (PARTITION BY domain ORDER BY cap / weight, lang)
+), q2 AS (
+  SELECT domain, lang, CASE WHEN cap * heft <= rest * weight THEN cap ELSE least(cap, first[1] * weight // first[2]) END AS quota
+  FROM (SELECT *, min_by([rest, heft], CASE WHEN cap * heft > rest * weight THEN rank END) OVER (PARTITION BY domain) AS first FROM r2)
+), n3 AS (
+  SELECT domain, lang, source, tokens, tokens::HUGEINT * 2 AS cap, CASE source WHEN 'src0' THEN 2 ELSE 1 END AS weight, quota AS budget FROM leaf JOIN q2 USING (domain, lang)
+), r3 AS (
+  SELECT *, row_number() OVER o AS rank, budget - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest, sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS heft FROM n3 WINDOW o AS (PARTITION BY domain, lang ORDER BY cap / weight, source)
+), q3 AS (
+  SELECT domain, lang, source, tokens AS leaf_tokens, CASE WHEN cap * heft <= rest * weight THEN cap ELSE least(cap, first[1] * weight // first[2]) END AS quota
+  FROM (SELECT *, min_by([rest, heft], CASE WHEN cap * heft > rest * weight THEN rank END) OVER (PARTITION BY domain, lang) AS first FROM r3)
+), k AS (
+  SELECT d.*, quota, CASE WHEN leaf_tokens > 0 THEN quota // leaf_tokens ELSE 1 END AS whole, CASE WHEN leaf_tokens > 0 THEN quota % leaf_tokens ELSE 0 END AS rest FROM d JOIN q3 USING (domain, lang, source)
+), t AS (
+  SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('42:' || whole || ':' || doc_id)) AS till FROM k
+), c AS (
+  SELECT *, (whole + CASE WHEN rest > 0 AND till <= rest THEN 1 ELSE 0 END)::INT AS copies FROM t
+)
+SELECT doc_id, domain, lang, source, unnest(range(copies))::INT AS epoch FROM c
+"""
+
+ORACLES: dict[str, str] = {"op5_line_dedup": OP5_SQL, "op6_mixing": OP6_SQL}
