@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, quality_classifier, quality_rules, simhash
+from . import line_dedup, mixing, packing, quality_classifier, quality_rules, simhash, token_files
 from .common import fold
 
 
@@ -35,6 +35,14 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, F.col("domain"), mixing.DOMAINS).select("doc_id", "domain", "lang", "source", "epoch")
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.write_and_digest(spark, _table(spark, sf_dir, "documents"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(packing.cut(_table(spark, sf_dir, "documents")))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     judged = quality_rules.judge(docs.select("doc_id", "text"), quality_rules.learn(docs, labels))
@@ -42,7 +50,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(F.col(f"quality.{c}").alias(c) for c in wanted))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash_near_dedup, op4_quality_classifier, op5_line_dedup, op6_mixing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op3_simhash_near_dedup, op4_quality_classifier, op5_line_dedup, op6_mixing, op7_token_files, op9_packing, op10_quality_rules)}
 OP5_SQL = r"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE text IS NOT NULL
