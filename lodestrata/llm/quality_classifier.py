@@ -1,7 +1,8 @@
 """Quality classifier: a sparse rule ensemble.
 
 Shallow trees over text statistics give conjunctive rules (one for each path from a root); lasso logistic regression weighs the rules, most to
-zero; what is left is one Spark column expression, so scoring is one pass over the texts.
+zero; what is left is one Spark column expression, so scoring is one pass over the texts. Only the statistics of a bounded sample of labelled
+rows reach the driver; the trees, each grown on half of the sample and a third of the features at each split, and the lasso are fitted there.
 
 Nulls: a null text is scored as the empty text; a null id is in no fold and is not learned from. Repeated rows are scored each. Without labels of
 both classes every score is the share of label 1 (0.5 if there are no labels). Other columns never reach the score.
@@ -9,22 +10,20 @@ both classes every score is the share of label 1 (0.5 if there are no labels). O
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, fold, labelled_sample, written
+from .common import fold, labelled_sample
 from .text_stats import features, text_counts
 
 #: Bounds of the labelled sample: so many rows of either class, chosen by hash of the id.
 PER_CLASS = 10_000
-TREES, DEPTH, LASSO, SEED = 24, 3, 0.002, 42
+TREES, DEPTH, CUTS, LEAF, LASSO, STEPS, SEED = 24, 3, 64, 5, 0.002, 2000, 42
 Term = tuple[str, str, float]
 
 
@@ -44,55 +43,78 @@ def conjunction(terms: tuple[Term, ...], stats: dict[str, Column]) -> Column:
     return reduce(and_, (stats[f] > F.lit(t) if op == ">" else stats[f] <= F.lit(t) for f, op, t in terms))
 
 
-def tree_paths(text: str, names: list[str]) -> list[tuple[Term, ...]]:
-    """Every path from the root in a tree's toDebugString, shortest form: one bound for each feature and side."""
-    found: list[tuple[Term, ...]] = []
-    path: list[Term] = []
-    for line in text.split("\n"):
-        if m := re.match(r"( *)(?:If|Else) \(feature (\d+) (<=|>) (\S+)\)", line):
-            depth = len(re.match(" *", line)[0])
-            while path and path[-1][0] >= depth:
-                path.pop()
-            path.append((depth, names[int(m[2])], m[3], float(m[4])))
-            tight: dict[tuple[str, str], float] = {}
-            for _, f, op, t in path:
-                tight[f, op] = (max if op == ">" else min)(t, tight.get((f, op), t))
-            found.append(tuple(sorted((f, op, t) for (f, op), t in tight.items())))
-    return found
+def tree_paths(x: np.ndarray, y: np.ndarray, names: list[str], rng: np.random.Generator, path: tuple[Term, ...] = ()) -> list[tuple[Term, ...]]:
+    """Every path from the root of a tree grown on x, y by Gini impurity: one bound for each feature and side."""
+    if len(path) == DEPTH or len(y) < 2 * LEAF or y.min() == y.max():
+        return []
+    best: tuple[float, int, float] | None = None
+    for j in sorted(rng.choice(len(names), max(1, len(names) // 3), replace=False)):
+        cuts = np.unique(np.quantile(x[:, j], np.linspace(0, 1, CUTS), method="lower"))[:-1]
+        if not len(cuts):
+            continue
+        side = np.searchsorted(cuts, x[:, j], side="left")
+        n = np.cumsum(np.bincount(side, minlength=len(cuts) + 1))[:-1]
+        p = np.cumsum(np.bincount(side, y, len(cuts) + 1))[:-1]
+        m, q = len(y) - n, y.sum() - p
+        mixed = np.where((n >= LEAF) & (m >= LEAF), p * (n - p) / np.maximum(n, 1) + q * (m - q) / np.maximum(m, 1), np.inf)
+        k = int(np.argmin(mixed))
+        if np.isfinite(mixed[k]) and (best is None or mixed[k] < best[0]):
+            best = (float(mixed[k]), int(j), float(cuts[k]))
+    if best is None:
+        return []
+    _, j, cut = best
+    out: list[tuple[Term, ...]] = []
+    for op, rows in (("<=", x[:, j] <= cut), (">", x[:, j] > cut)):
+        tight = {(f, o): t for f, o, t in path} | {(names[j], op): cut}
+        deeper = tuple(sorted((f, o, t) for (f, o), t in tight.items()))
+        out += [deeper, *tree_paths(x[rows], y[rows], names, rng, (*path, (names[j], op, cut)))]
+    return out
+
+
+def lasso_logistic(held: np.ndarray, y: np.ndarray, penalty: float = LASSO) -> tuple[np.ndarray, float]:
+    """Weights and intercept by accelerated proximal gradient steps; equal rows are fitted once, by their counts."""
+    rows, at = np.unique(held, axis=0, return_inverse=True)
+    n = np.bincount(at.ravel(), minlength=len(rows)) / len(y)
+    p = np.bincount(at.ravel(), y, len(rows)) / len(y)
+    x = np.hstack([rows.astype(float), np.ones((len(rows), 1))])
+    step = 4 / np.linalg.eigvalsh((x * n[:, None]).T @ x)[-1]
+    w = v = np.zeros(x.shape[1])
+    t = 1.0
+    for _ in range(STEPS):
+        gradient = x.T @ (n / (1 + np.exp(-np.clip(x @ v, -500, 500))) - p)
+        u = v - step * gradient
+        u[:-1] = np.sign(u[:-1]) * np.maximum(np.abs(u[:-1]) - step * penalty, 0)
+        t, before = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
+        w, v = u, u + (before - 1) / t * (u - w)
+    return w[:-1], float(w[-1])
+
+
+def fit_ensemble(x: np.ndarray, y: np.ndarray, names: list[str], seed: int = SEED) -> RuleEnsemble:
+    """y: 0.0 or 1.0. Without both classes there are no rules and the score is the share of 1."""
+    if not len(y) or y.min() == y.max():
+        share = np.clip(y.mean(), 1e-3, 1 - 1e-3) if len(y) else 0.5
+        return RuleEnsemble([], float(np.log(share / (1 - share))))
+    rng = np.random.default_rng(seed)
+    rules: set[tuple[Term, ...]] = set()
+    for _ in range(TREES):
+        half = rng.permutation(len(x))[: max(len(x) // 2, min(len(x), 2 * LEAF))]
+        rules.update(tree_paths(x[half], y[half], names, rng))
+    ordered = sorted(rules)
+    columns = [np.logical_and.reduce([x[:, names.index(f)] > t if op == ">" else x[:, names.index(f)] <= t for f, op, t in r]) for r in ordered]
+    if not columns:
+        return fit_ensemble(x, np.full(len(y), y.mean()), names, seed)
+    weights, intercept = lasso_logistic(np.column_stack(columns), y)
+    return RuleEnsemble([(r, float(w)) for r, w in zip(ordered, weights, strict=True) if abs(w) > 1e-6], intercept)
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> RuleEnsemble:
-    """labels (doc_id, quality): only rows that may be learned from. The sample's statistics stay in a table; rules and weights reach the driver."""
+    """labels (doc_id, quality): only rows that may be learned from."""
     ids = labelled_sample(labels, "quality", per_class)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("label", text_counts("text").alias("s"))
     stats = features("s")
-    names = list(stats)
-    table = written(rows.select(F.col("label").cast("double"), *(c.alias(n) for n, c in stats.items())), "quality-sample")
-    shares = {r["label"]: r["count"] for r in table.groupBy("label").count().collect()}
-    if len(shares) < 2:
-        p = 0.5 if not shares else min(max(next(iter(shares)), 1e-3), 1 - 1e-3)
-        drop_written(table)
-        return RuleEnsemble([], float(_logit(p)))
-    sample = VectorAssembler(inputCols=names, outputCol="features").transform(table.coalesce(4)).select("label", "features", *names).persist()
-    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, maxBins=64, subsamplingRate=0.5, featureSubsetStrategy="onethird", seed=SEED).fit(sample)
-    rules = sorted({p for tree in forest.trees for p in tree_paths(tree.toDebugString, names)})
-    own = {n: F.col(n) for n in names}
-    held = sample.select("label", F.array(*(conjunction(r, own).cast("double") for r in rules)).alias("held"))
-    from pyspark.ml.functions import array_to_vector
-
-    held = held.select("label", array_to_vector("held").alias("features")).persist()
-    lasso = LogisticRegression(regParam=LASSO, elasticNetParam=1.0, maxIter=60, standardization=False).fit(held)
-    weights = lasso.coefficients.toArray()
-    sample.unpersist()
-    held.unpersist()
-    drop_written(table)
-    return RuleEnsemble([(r, float(w)) for r, w in zip(rules, weights, strict=True) if abs(w) > 1e-6], float(lasso.intercept))
-
-
-def _logit(p: float) -> float:
-    from math import log
-
-    return log(p / (1 - p))
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("label", text_counts("text").alias("s"))
+    table = rows.select("label", *(c.alias(n) for n, c in stats.items())).toPandas()
+    table = table.sort_values(list(table.columns), ignore_index=True)
+    return fit_ensemble(table[list(stats)].to_numpy(float), table["label"].to_numpy(float), list(stats))
 
 
 def score(docs: DataFrame, model: RuleEnsemble) -> DataFrame:
