@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, labelled_sample
+from .common import labelled_sample
 from .text_stats import features, text_counts
 
 #: Bounds of the labelled sample: so many rows of either class, chosen by hash of the id.
@@ -120,8 +120,3 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> RuleE
 def score(docs: DataFrame, model: RuleEnsemble) -> DataFrame:
     """doc_id and score for each row of docs, from its whole text alone."""
     return docs.select("doc_id", text_counts("text").alias("s")).select("doc_id", model.score(features("s")).alias("score"))
-
-
-def learnable(labels: DataFrame, folds: int, held: int) -> DataFrame:
-    """The rows of labels outside the held-out fold."""
-    return labels.filter(fold("doc_id", folds) != held)

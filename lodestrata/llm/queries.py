@@ -5,14 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, packing, quality_classifier, quality_rules, simhash, token_files
-from .common import fold
+from . import line_dedup, mixing, packing, quality_classifier, quality_rules, simhash, token_files, toxicity
+from .common import fold, learnable
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, learnable(labels, 4, 2))
+    held = F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out")
+    scored = docs.select("doc_id", held, toxicity.toxicity("text", model).alias("t"))
+    return scored.select("doc_id", "held_out", F.col("t.score").alias("score"), (F.col("t.score") >= 0.3).cast("int").alias("predicted"), F.size("t.sentences").alias("n_sentences"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(_table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -20,7 +28,7 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    model = quality_classifier.fit(docs, quality_classifier.learnable(labels, 5, 0))
+    model = quality_classifier.fit(docs, learnable(labels, 5, 0))
     held = F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out")
     return quality_classifier.score(docs, model).select("doc_id", held, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
@@ -50,7 +58,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(F.col(f"quality.{c}").alias(c) for c in wanted))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash_near_dedup, op4_quality_classifier, op5_line_dedup, op6_mixing, op7_token_files, op9_packing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_simhash_near_dedup, op4_quality_classifier, op5_line_dedup, op6_mixing, op7_token_files, op9_packing, op10_quality_rules)}
 OP5_SQL = r"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE text IS NOT NULL
