@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, packing, quality_classifier, quality_rules, simhash, token_files, toxicity
+from . import line_dedup, mixing, packing, quality_classifier, quality_rules, simhash, token_files, toxicity, url_filter
 from .common import fold, learnable
 
 
@@ -21,6 +21,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", F.col("t.score").alias("score"), (F.col("t.score") >= 0.3).cast("int").alias("predicted"), F.size("t.sentences").alias("n_sentences"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(url_filter.RULES, "rule string, action string")
+    return url_filter.decide(_table(spark, sf_dir, "pages"), rules).select("page_id", "decision.*")
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(_table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -58,7 +63,33 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(F.col(f"quality.{c}").alias(c) for c in wanted))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_simhash_near_dedup, op4_quality_classifier, op5_line_dedup, op6_mixing, op7_token_files, op9_packing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_simhash_near_dedup, op4_quality_classifier, op5_line_dedup, op6_mixing, op7_token_files, op9_packing, op10_quality_rules)}
+OP2_SQL = r"""
+WITH RECURSIVE p AS (
+  SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest,
+         regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>') AS link, regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>') AS meta FROM pages
+), q AS (
+  SELECT *, translate(coalesce(regexp_extract(rest, '^([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path,
+         split_part(url, '#', 1) AS node FROM p
+), e AS (
+  SELECT node AS u, split_part(v, '#', 1) AS v FROM (
+    SELECT node, regexp_extract(link, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS v FROM q UNION ALL SELECT node, regexp_extract(meta, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) FROM q) WHERE v <> ''
+), both AS (
+  SELECT u, v FROM e UNION SELECT v, u FROM e
+), reach AS (
+  SELECT u AS a, v AS b FROM both UNION SELECT reach.a, both.v FROM reach JOIN both ON reach.b = both.u
+), rules(rule, action, h, s) AS (
+  VALUES ('com/en/', 'block', 'com', '/en/'), ('example.com/en/7', 'allow', 'example.com', '/en/7'), ('net/de/', 'block', 'net', '/de/'), ('example.net/de/8', 'allow', 'example.net', '/de/8'), ('org/es/', 'block', 'org', '/es/')
+), own AS (
+  SELECT q.page_id, any_value(q.node) AS node, max_by(r.rule, length(r.rule)) AS rule, max_by(r.action, length(r.rule)) AS action
+  FROM q LEFT JOIN rules r ON (q.host = r.h OR ends_with(q.host, '.' || r.h)) AND starts_with(q.path, r.s) GROUP BY q.page_id
+), carried AS (
+  SELECT o.page_id, max(CASE x.action WHEN 'allow' THEN 2 WHEN 'block' THEN 1 ELSE 0 END) AS rank FROM own o JOIN reach ON reach.a = o.node JOIN own x ON x.node = reach.b GROUP BY o.page_id
+)
+SELECT q.page_id, q.host, q.path, o.rule, coalesce(o.action, CASE WHEN c.rank = 1 THEN 'block' ELSE 'allow' END) AS verdict
+FROM q JOIN own o ON o.page_id = q.page_id LEFT JOIN carried c ON c.page_id = q.page_id
+"""
+
 OP5_SQL = r"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE text IS NOT NULL
@@ -119,4 +150,4 @@ WITH d AS (
 SELECT doc_id, domain, lang, source, unnest(range(copies))::INT AS epoch FROM c
 """
 
-ORACLES: dict[str, str] = {"op5_line_dedup": OP5_SQL, "op6_mixing": OP6_SQL}
+ORACLES: dict[str, str] = {"op2_url_filter": OP2_SQL, "op5_line_dedup": OP5_SQL, "op6_mixing": OP6_SQL}
