@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, packing, quality_classifier, quality_rules, simhash, token_files, toxicity, url_filter
+from . import audio, line_dedup, mixing, packing, quality_classifier, quality_rules, simhash, token_files, toxicity, url_filter
 from .common import fold, learnable
 
 
@@ -52,6 +52,11 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_digest(spark, _table(spark, sf_dir, "documents"))
 
 
+def op8_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), audio.render("embedding").alias("media"))
+    return audio.align(media.select("id", audio.chroma_print("media").alias("print")), F.coalesce(F.col("id") % 20 == 0, F.lit(False)))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(packing.cut(_table(spark, sf_dir, "documents")))
 
@@ -63,7 +68,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(F.col(f"quality.{c}").alias(c) for c in wanted))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_simhash_near_dedup, op4_quality_classifier, op5_line_dedup, op6_mixing, op7_token_files, op9_packing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_simhash_near_dedup, op4_quality_classifier, op5_line_dedup, op6_mixing, op7_token_files, op8_audio, op9_packing, op10_quality_rules)}
 OP2_SQL = r"""
 WITH RECURSIVE p AS (
   SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest,
@@ -74,10 +79,10 @@ WITH RECURSIVE p AS (
 ), e AS (
   SELECT node AS u, split_part(v, '#', 1) AS v FROM (
     SELECT node, regexp_extract(link, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS v FROM q UNION ALL SELECT node, regexp_extract(meta, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) FROM q) WHERE v <> ''
-), both AS (
+), undirected AS (
   SELECT u, v FROM e UNION SELECT v, u FROM e
 ), reach AS (
-  SELECT u AS a, v AS b FROM both UNION SELECT reach.a, both.v FROM reach JOIN both ON reach.b = both.u
+  SELECT u AS a, v AS b FROM undirected UNION SELECT reach.a, undirected.v FROM reach JOIN undirected ON reach.b = undirected.u
 ), rules(rule, action, h, s) AS (
   VALUES ('com/en/', 'block', 'com', '/en/'), ('example.com/en/7', 'allow', 'example.com', '/en/7'), ('net/de/', 'block', 'net', '/de/'), ('example.net/de/8', 'allow', 'example.net', '/de/8'), ('org/es/', 'block', 'org', '/es/')
 ), own AS (
