@@ -28,9 +28,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import scratch_path, written
-from .tokenizing import default_tokenizer, encoder
+from .tokenizing import default_tokenizer, encoder, portions
 
-FRAME, LEVEL, DOCUMENTS = 1 << 16, 1, 512
+FRAME, LEVEL = 1 << 16, 1
 SKIPPABLE_DIRECTORY, SKIPPABLE_SEEK, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 IDS = np.dtype("<u4")
 
@@ -150,8 +150,7 @@ def _write(folder: str, tokenizer: str, end_id: int):
         name, draft = f"{root}/part-{shard:06d}.ids.zst", f"{root}/.draft-{shard:06d}-{uuid.uuid4().hex}"
         writer = None
         for batch in batches:
-            for i in range(0, batch.num_rows, DOCUMENTS):
-                part = batch.slice(i, DOCUMENTS)
+            for part in portions(batch):
                 if writer is None:
                     store.create_dir(root)
                     sink = store.open_output_stream(draft)

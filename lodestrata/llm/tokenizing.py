@@ -8,13 +8,15 @@ text (runs of white space, other white space, special tokens) is given to the li
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-CACHE, GROUP = 600_000, 64
+CACHE, GROUP, AT_ONCE = 1_000_000, 512, 8 << 20
 _SPACE, _NEWLINE = 32, 10
 
 
@@ -54,21 +56,21 @@ class Encoder:
     def _batch(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[bytes]) -> None:
-        """Words after a space are put together and their ids parted again where a token opens with a space."""
-        words = self.words
+    def _learn(self, new: list[bytes]) -> list[bytes]:
+        """The ids of new words. Words after a space are put together and their ids parted again where a token opens with a space."""
         first, rest = [w for w in new if w[:1] != b" "], [w for w in new if w[:1] == b" "]
-        for w, ids in zip(first, self._batch([w.removeprefix(b"\n").decode() for w in first]), strict=True):
-            words[w] = (self.newline if w[:1] == b"\n" else b"") + self._bytes(ids)
-        groups = [rest[i : i + GROUP] for i in range(0, len(rest), GROUP)]
-        for group, ids in zip(groups, self._batch([b"".join(g).decode() for g in groups]), strict=True):
-            array = np.array(ids, self.kind)
+        found = {w: (self.newline if w[:1] == b"\n" else b"") + self._bytes(ids) for w, ids in zip(first, self._batch([w.removeprefix(b"\n").decode() for w in first]), strict=True)}
+        for i in range(0, len(rest), GROUP):
+            group = rest[i : i + GROUP]
+            array = np.array(self._batch([b"".join(group).decode()])[0], self.kind)
             starts = np.flatnonzero(self.opens[array])
             if len(starts) != len(group) or starts[0]:
-                words.update(zip(group, map(self._bytes, self._batch([w.decode() for w in group])), strict=True))
+                found.update(zip(group, map(self._bytes, self._batch([w.decode() for w in group])), strict=True))
                 continue
             raw, at = array.tobytes(), [*(starts * self.kind.itemsize).tolist(), array.nbytes]
-            words.update(zip(group, [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], strict=True))
+            found.update(zip(group, [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], strict=True))
+        self.words.update(found)
+        return [found[w] for w in new]
 
     def _plain(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids, and where each text's begin, of texts of single spaces and line ends between words."""
@@ -77,11 +79,13 @@ class Encoder:
         opens = np.flatnonzero(opens)
         offsets = np.append(opens, len(data)).astype(np.int64)
         coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(opens), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
-        own, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        codes, (_, places, held) = coded.indices.to_numpy(), coded.dictionary.buffers()
+        raw, places = held.to_pybytes(), np.frombuffer(places, np.int64, len(coded.dictionary) + 1).tolist()
+        own = [raw[a:b] for a, b in zip(places[:-1], places[1:], strict=True)]
         parts = list(map(self.words.get, own))
-        if None in parts:
-            self._learn([w for w, p in zip(own, parts, strict=True) if p is None])
-            parts = list(map(self.words.get, own))
+        missing = [i for i, p in enumerate(parts) if p is None]
+        for i, p in zip(missing, self._learn([own[i] for i in missing]), strict=True):
+            parts[i] = p
         flat = np.frombuffer(b"".join(parts), self.kind)
         size = np.fromiter(map(len, parts), np.int64, len(parts)) // self.kind.itemsize
         start = np.cumsum(size) - size
@@ -113,6 +117,16 @@ class Encoder:
         return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
 
 
+def portions(batch: pa.RecordBatch, text_col: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about AT_ONCE bytes of text."""
+    size = np.cumsum(pc.binary_length(batch[text_col]).fill_null(0).to_numpy())
+    begin = 0
+    while begin < batch.num_rows:
+        end = max(begin + 1, int(np.searchsorted(size, (size[begin - 1] if begin else 0) + AT_ONCE, "right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 @cache
 def encoder(path: str) -> Encoder:
     """One for each worker process and file."""
