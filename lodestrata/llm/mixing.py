@@ -9,8 +9,8 @@ q mod t tokens, in the order of md5("seed:epoch:id"); documents with equal ids c
 a leaf: tokens are summed by leaf and the key's first four hex digits, the sums give the bucket in which the budget ends, and only that
 bucket's rows (1/65536 of the leaf) are put in order, which gives the last key that is taken.
 
-DataFrame functions only. Nulls: a null text has no tokens; null domains, languages and sources are the empty name. A leaf without tokens gives
-all its documents once if its quota isn't below zero, that is, always. Other columns pass through untouched; an empty table gives an empty one.
+DataFrame functions only. Nulls: a null text has no tokens; null domains, languages and sources are the empty name. A leaf without tokens gives all its documents
+once; a leaf of weight zero gives none beside siblings that can use the budget. Other columns pass through untouched; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ def shares(children: DataFrame, parent: list[str]) -> DataFrame:
     before, onwards = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     big = lambda c: F.col(c).cast("decimal(19,0)")
     ranked = children.withColumn("left", F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0))).withColumn("heft", F.sum("weight").over(onwards))
-    full = big("cap") * big("heft") <= big("left") * big("weight")
+    full = (F.col("weight") > 0) & (big("cap") * big("heft") <= big("left") * big("weight"))
     first = F.min_by(F.struct("left", "heft"), F.when(~F.col("full"), F.col("rank"))).over(Window.partitionBy(*parent))
     ranked = ranked.withColumn("rank", F.row_number().over(order)).withColumn("full", full).withColumn("first", first)
     part = F.expr("CASE WHEN first.heft > 0 THEN (CAST(first.left AS DECIMAL(19,0)) * CAST(weight AS DECIMAL(19,0))) DIV first.heft ELSE 0 END").cast("bigint")
