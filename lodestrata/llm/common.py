@@ -42,6 +42,29 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+#: Bytes of an Arrow batch that goes to a Python worker; Spark's default is 64 MB, of which both the executor and the worker hold a few.
+BATCH_BYTES = "8m"
+
+
+def _bounded(spark: SparkSession | None) -> None:
+    """Batches of at most about BATCH_BYTES in this session, unless the session has a bound of its own."""
+    spark, key = spark or SparkSession.active(), "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, BATCH_BYTES)
+
+
+def map_batches(df: DataFrame, each, schema: str) -> DataFrame:
+    """df.mapInArrow over batches of bounded size."""
+    _bounded(df.sparkSession)
+    return df.mapInArrow(each, schema)
+
+
+def arrow_column(each, kind: str, *columns: Column | str) -> Column:
+    """An Arrow function of columns over batches of bounded size. Not deterministic in name only: so that no filter makes Spark run it twice."""
+    _bounded(None)
+    return F.arrow_udf(each, kind).asNondeterministic()(*columns)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, each with underscores before it until no column of df is called so (upper or lower case alike)."""
     taken, out = {c.lower() for c in df.columns}, []

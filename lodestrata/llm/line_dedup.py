@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, fresh, written
+from .common import arrow_column, drop_written, fresh, map_batches, written
 
 RUN = 50
 LAST = (1 << 63) - 1
@@ -110,11 +110,11 @@ def _around(run: int):
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
     """(a, b, ranges): for each document that loses lines, by order key, the ranges (first, last) of lines with a word that go."""
     keyed = docs.select(_order(id_col).alias("a"), F.xxhash64(text_col).alias("b"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
-    lines = written(keyed.mapInArrow(_lines(run), LINES), "lines")
+    lines = written(map_batches(keyed, _lines(run), LINES), "lines")
     chosen = lines.select("a", "b", F.explode("picks").alias("at"), "hashes").select("a", "b", "at", F.expr("substring(hashes, 16 * at + 1, 16)").alias("hash"))
     shared = written(chosen.groupBy("hash").count().filter("count > 1").select("hash"), "shared")
     seeds = chosen.join(shared, "hash").groupBy("a", "b").agg(F.collect_set("at").alias("seeds"))
-    found = written(lines.dropDuplicates(["a", "b"]).select("a", "b", "hashes", "words").join(seeds, ["a", "b"]).mapInArrow(_around(run), WINDOWS), "windows")
+    found = written(map_batches(lines.dropDuplicates(["a", "b"]).select("a", "b", "hashes", "words").join(seeds, ["a", "b"]), _around(run), WINDOWS), "windows")
     first = written(found.groupBy("hi", "lo").agg(F.min(F.struct("a", "b", "s", "e")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("hi", "lo", "first"), "first")
     same = (F.col("a") == F.col("first.a")) & (F.col("b") == F.col("first.b"))
     later = found.join(first, ["hi", "lo"]).filter(~same | (F.col("s") > F.col("first.e")))
@@ -171,6 +171,5 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run:
     ranges = repeats(docs, id_col, text_col, run).select(F.col("a").alias(a), F.col("b").alias(b), F.col("ranges").alias(r))
     keyed = docs.withColumns({a: _order(id_col), b: F.xxhash64(text_col)})
     joined = keyed.join(ranges.hint("shuffle_hash"), [a, b], "left")
-    cut = F.arrow_udf(_without, "struct<text:string,lines:bigint,words:bigint>").asNondeterministic()
-    done = joined.withColumn(new, cut(F.col(text_col), F.col(r)))
+    done = joined.withColumn(new, arrow_column(_without, "struct<text:string,lines:bigint,words:bigint>", F.col(text_col), F.col(r)))
     return done.select(*(F.col(f"{new}.text").alias(c) if c == text_col else F.col(c) for c in docs.columns), F.struct(f"{new}.lines", f"{new}.words").alias(out))

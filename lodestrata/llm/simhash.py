@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, fresh, written
+from .common import arrow_column, drop_written, fresh, written
 from .components import components
 
 WORDS, BITS, LIST, BLOCK = 3, 2, 64, 1 << 15
@@ -56,7 +56,7 @@ def _fingerprints(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def simhash(text: Column | str) -> Column:
-    return F.arrow_udf(_fingerprints, "bigint").asNondeterministic()(text)
+    return arrow_column(_fingerprints, "bigint", text)
 
 
 def _byte(fp: str, position: int) -> Column:

@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .common import arrow_column
+
 SPACE, SYMBOLS, UPPER, DIGITS = b" \t\n\v\f\r", b"#*$%&|<>", bytes(range(65, 91)), b"0123456789"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper", "n_digits", "n_bangs", "n_stops", "longest_word", "longest_line")
 SCHEMA = "struct<" + ",".join(f"{c}:bigint" for c in COUNTS) + ">"
@@ -48,8 +50,8 @@ def _batches(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def text_counts(text: Column | str) -> Column:
-    """A struct of COUNTS for each text; null is the empty text. Not deterministic in name only: so that no filter makes Spark run it twice."""
-    return F.arrow_udf(_batches, SCHEMA).asNondeterministic()(text)
+    """A struct of COUNTS for each text; null is the empty text."""
+    return arrow_column(_batches, SCHEMA, text)
 
 
 def features(c: str) -> dict[str, Column]:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_path, written
+from .common import map_batches, scratch_path, written
 from .tokenizing import default_tokenizer, encoder, portions
 
 FRAME, LEVEL = 1 << 16, 1
@@ -170,7 +170,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
     """Writes the files to folder (a URI that driver and executors share) and returns what they hold: shard, file, documents, tokens, start."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     sorted_rows = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
-    listed = written(sorted_rows.mapInArrow(_write(folder, tokenizer or default_tokenizer(), end_id), "shard int, file string, documents bigint, tokens bigint"), "token-files")
+    listed = written(map_batches(sorted_rows, _write(folder, tokenizer or default_tokenizer(), end_id), "shard int, file string, documents bigint, tokens bigint"), "token-files")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
     return listed.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
 
@@ -199,7 +199,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 def digests(listed: DataFrame, folder: str) -> DataFrame:
     """Reads the files back: for each document its id, the ids before it in all files, its number of ids and their crc32."""
     files = listed.select("file", "start").repartition(max(1, listed.count()))
-    return files.mapInArrow(_digests(folder), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return map_batches(files, _digests(folder), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def write_and_digest(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None) -> DataFrame:

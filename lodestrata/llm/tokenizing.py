@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-CACHE, GROUP, AT_ONCE = 1_000_000, 512, 8 << 20
+CACHE, GROUP, AT_ONCE = 400_000, 512, 8 << 20
 _SPACE, _NEWLINE = 32, 10
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, labelled_sample, written
+from .common import arrow_column, drop_written, labelled_sample, map_batches, written
 
 #: Bounds of the sample and of the model: labelled documents of either class (by hash of the id), and features.
 PER_CLASS, FEATURES = 3000, 4096
@@ -85,7 +85,7 @@ def select(sample: DataFrame, features: int = FEATURES) -> list[str]:
     n = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     if len(n) < 2:
         return []
-    counts = sample.mapInArrow(_feature_counts, "feature string, clean bigint, toxic bigint").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = map_batches(sample, _feature_counts, "feature string, clean bigint, toxic bigint").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     share = (F.col("clean") + F.col("toxic")) / (n[0] + n[1])
     gain = lambda k, m: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / m / share)).otherwise(0.0) + F.when(F.col(k) < m, (m - F.col(k)) * F.log((1 - F.col(k) / m) / (1 - share))).otherwise(0.0)
     ranked = counts.filter(F.col("clean") + F.col("toxic") >= LEAST_DOCS).withColumn("gain", gain("clean", n[0]) + gain("toxic", n[1]))
@@ -139,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, features
     sample = written(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("label", "text"), "toxic-sample")
     chosen = select(sample, features)
     share = labels.agg(F.avg((F.col("toxic") == 1).cast("int"))).first()[0]
-    rows = sample.mapInArrow(_bags(chosen), "label int, n int, bags array<array<int>>").toPandas() if chosen else None
+    rows = map_batches(sample, _bags(chosen), "label int, n int, bags array<array<int>>").toPandas() if chosen else None
     drop_written(sample)
     if rows is None or not len(rows):
         return Model({}, BIAS)
@@ -158,4 +158,4 @@ def toxicity(text: Column | str, model: Model) -> Column:
             spans = [[dict(zip(("start", "length", "score"), s, strict=True)) for s in f[1]] for f in found]
             yield pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.float64()), pa.array(spans, kind)], ["score", "sentences"])
 
-    return F.arrow_udf(each, "struct<score:double,sentences:array<struct<start:int,length:int,score:double>>>").asNondeterministic()(text)
+    return arrow_column(each, "struct<score:double,sentences:array<struct<start:int,length:int,score:double>>>", text)
