@@ -53,7 +53,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    media = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), audio.render("embedding").alias("media"))
+    media = audio.render(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return audio.align(media.select("id", audio.chroma_print("media").alias("print")), F.coalesce(F.col("id") % 20 == 0, F.lit(False)))
 
 
