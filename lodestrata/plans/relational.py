@@ -26,7 +26,7 @@ def coverage_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT source, count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'de') AS de, count(*) FILTER (lang = 'fr') AS fr, count(*) FILTER (lang = 'es') AS es FROM documents GROUP BY source")
 def coverage_matrix_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pivoted = table(spark, sf_dir, "documents").groupBy("source").pivot("lang", ["en", "de", "fr", "es"]).agg(F.count("*"))
+    pivoted = table(spark, sf_dir, "documents").groupBy("source").pivot("lang", ["en", "de", "fr", "es"]).agg(F.count(F.lit(1)))
     return pivoted.na.fill(0, ["en", "de", "fr", "es"])
 
 
@@ -161,10 +161,9 @@ def graph_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reach(spark.createDataFrame(_EDGES, "src string, dst string"), 4)
 
 
-@query("SELECT o_custkey, round(len(list_intersect(a, b)) / nullif(len(a), 0), 6) AS precision, round(len(list_intersect(a, b)) / nullif(len(b), 0), 6) AS recall FROM (SELECT o_custkey, list(DISTINCT o_orderpriority) FILTER (o_orderstatus = 'O') AS a, list(DISTINCT o_orderpriority) FILTER (o_orderstatus = 'F') AS b FROM orders GROUP BY o_custkey)")
+@query("SELECT o_custkey, round(len(list_intersect(a, b)) / nullif(len(a), 0), 6) AS precision, round(len(list_intersect(a, b)) / nullif(len(b), 0), 6) AS recall FROM (SELECT o_custkey, coalesce(list(DISTINCT o_orderpriority) FILTER (o_orderstatus = 'O'), []) AS a, coalesce(list(DISTINCT o_orderpriority) FILTER (o_orderstatus = 'F'), []) AS b FROM orders GROUP BY o_custkey)")
 def set_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the priorities of a customer's open orders overlap with those of the finished ones."""
     sets = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(*(F.collect_set(F.when(F.col("o_orderstatus") == s, F.col("o_orderpriority"))).alias(n) for s, n in (("O", "a"), ("F", "b"))))
-    both, have = F.size(F.array_intersect("a", "b")), lambda c: F.when(F.size(c) > 0, F.size(c))
-    ratio = lambda c: F.when(have("a").isNotNull() & have("b").isNotNull(), F.round(both / have(c), 6))
+    ratio = lambda c: F.when(F.size(c) > 0, F.round(F.size(F.array_intersect("a", "b")) / F.size(c), 6))
     return sets.select("o_custkey", ratio("a").alias("precision"), ratio("b").alias("recall"))
