@@ -6,8 +6,11 @@ BROADCAST rows and is joined by key otherwise, except for exact vector search, w
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,10 +40,71 @@ def top(scored: DataFrame, k: int, digits: int = 6) -> DataFrame:
     return scored.withColumn("score", F.round("score", digits)).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, on: Column | None = None) -> DataFrame:
-    """queries (qid, qvec), corpus (id, vec): the k most similar vectors of other ids. on: a further condition on a pair."""
-    pair = F.col("qid") != F.col("id") if on is None else (F.col("qid") != F.col("id")) & on
-    return top(corpus.join(small(queries), pair).select("qid", "id", cosine("vec", "qvec").alias("score")), k)
+def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, facet: str | None = None) -> DataFrame:
+    """queries (qid, qvec), corpus (id, vec): the k most similar vectors of other ids; a null vector has similarity 0 to all.
+
+    facet: both have a column of that name, and only pairs that agree in it count. At most BROADCAST queries become a matrix that each task multiplies
+    with its own rows, of which it keeps the k best; more queries are joined with the corpus pair by pair.
+    """
+    if queries.limit(BROADCAST + 1).count() > BROADCAST:
+        asked = queries if facet is None else queries.withColumnRenamed(facet, "qfacet")
+        pair = F.col("qid") != F.col("id") if facet is None else (F.col("qid") != F.col("id")) & F.col("qfacet").eqNullSafe(F.col(facet))
+        return top(corpus.join(asked, pair).select("qid", "id", cosine("vec", "qvec").alias("score")), k)
+    return top(_best_by_task(queries, corpus, k, facet, True).select("qid", "id", "score"), k)
+
+
+def vector_topk_by_facet(queries: DataFrame, corpus: DataFrame, k: int, facet: str) -> DataFrame:
+    """(qid, id, facet, score, rank): the k best of each query in each facet of the corpus. At most BROADCAST queries."""
+    if queries.limit(BROADCAST + 1).count() > BROADCAST:
+        raise ValueError(f"more than {BROADCAST} queries: give them in blocks")
+    w = Window.partitionBy("qid", "facet").orderBy(F.desc("score"), "id")
+    best = _best_by_task(queries, corpus, k, facet, False).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return best.withColumnRenamed("facet", facet) if facet != "facet" else best
+
+
+def _matrix(vectors, size: int | None = None) -> np.ndarray:
+    """Vectors of length one as rows; those that are null or have no length are zero."""
+    size = size or max((len(v) for v in vectors if v is not None), default=0)
+    m = np.array([np.zeros(size) if v is None else np.asarray(v, float) for v in vectors]).reshape(len(vectors), size)
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+
+def _best_by_task(queries: DataFrame, corpus: DataFrame, k: int, facet: str | None, same: bool) -> DataFrame:
+    asked = queries.toPandas()
+    qids, q = asked["qid"].to_numpy(), _matrix(asked["qvec"].tolist())
+    qfacets = asked[facet].astype(str).to_numpy() if facet and same else None
+    step = max(1, (1 << 22) // max(1, len(qids)))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, step):
+                part = batch.slice(i, step).sort_by("id")
+                ids, facets = part["id"].to_numpy(), part["facet"].to_numpy(zero_copy_only=False)
+                scores = np.round(_matrix(part["vec"].to_pylist(), q.shape[1]) @ q.T, 6)
+                scores[ids[:, None] == qids[None, :]] = -np.inf
+                found = [_best(scores, np.flatnonzero(facets == f), k, None if qfacets is None else np.flatnonzero(qfacets == f)) for f in np.unique(facets)]
+                rows, columns = (np.concatenate([x[n] for x in found]) for n in (0, 1))
+                yield pa.RecordBatch.from_pydict({"qid": pa.array(qids[columns], pa.int64()), "id": pa.array(ids[rows], pa.int64()), "facet": pa.array(facets[rows], pa.string()), "score": pa.array(scores[rows, columns])})
+
+    rows = corpus.filter("id IS NOT NULL").select(F.col("id").cast("bigint").alias("id"), "vec", (F.coalesce(F.col(facet).cast("string"), F.lit("None")) if facet else F.lit("")).alias("facet"))
+    if not len(qids):
+        return rows.limit(0).selectExpr("id AS qid", "id", "facet", "0.0D AS score")
+    return rows.mapInArrow(each, "qid bigint, id bigint, facet string, score double")
+
+
+def _best(scores: np.ndarray, rows: np.ndarray, k: int, columns: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k best of some rows in each column; of equal scores the first rows."""
+    columns = np.arange(scores.shape[1]) if columns is None else columns
+    out_r, out_c = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for c in columns:
+        s = scores[rows, c]
+        near = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k]) if len(s) > k else np.arange(len(s))
+        near = near[np.argsort(-s[near], kind="stable")][:k]
+        near = near[np.isfinite(s[near])]
+        out_r.append(rows[near])
+        out_c.append(np.full(len(near), c))
+    return np.concatenate(out_r), np.concatenate(out_c)
 
 
 def fit_cells(corpus: DataFrame, cells: int, sample: int = 20_000, seed: int = 42) -> list[list[float]]:
@@ -77,7 +141,9 @@ def bm25(queries: DataFrame, docs: DataFrame) -> DataFrame:
     One pass over the texts counts words; only the words of queries are shuffled. matched and terms: distinct query words found and in all.
     """
     terms = queries.select("qid", F.array_distinct(words("text")).alias("w")).select("qid", F.explode("w").alias("term"), F.size("w").alias("terms"))
-    wanted = small(terms.select("term").distinct())
+    few = terms.limit(10 * BROADCAST + 1).count() <= 10 * BROADCAST
+    hint = F.broadcast if few else lambda df: df
+    wanted = hint(terms.select("term").distinct())
     bags = docs.select("id", words("text").alias("w")).withColumn("length", F.size("w"))
     size = bags.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     hits = bags.select("id", "length", F.explode("w").alias("term")).join(wanted, "term", "left_semi").groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
@@ -85,7 +151,7 @@ def bm25(queries: DataFrame, docs: DataFrame) -> DataFrame:
     weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     asked = terms.join(known.select("term", weight.alias("idf"), "mean"), "term")
     score = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    return hits.join(small(asked, 10 * BROADCAST), "term").groupBy("qid", "id", "terms").agg(F.sum(score).alias("score"), F.count("*").alias("matched"))
+    return hits.join(hint(asked), "term").groupBy("qid", "id", "terms").agg(F.sum(score).alias("score"), F.count("*").alias("matched"))
 
 
 def fuse(lists: list[DataFrame], k: int = 60) -> DataFrame:
