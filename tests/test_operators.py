@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import classify
 from lodestrata.functions import rule_language as L
-from lodestrata.operators import relations, retrieval, sections
+from lodestrata.operators import knowledge, relations, retrieval, sections
 from lodestrata.plans.registry import QUERIES
 from lodestrata.sources import readers
 from lodestrata.streaming import events as E
@@ -128,3 +128,21 @@ def test_streams_equal_their_batch_form(spark, tmp_path):
     E.upsert_stream(stream.select("user_id", "ts", "value"), lambda: table["now"], write, ["user_id"], F.struct("ts", "value")).option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start().awaitTermination()
     last = events.groupBy("user_id").agg(F.max("ts").alias("ts"))
     assert {(r.user_id, r.ts) for r in table["now"].collect()} == {(r.user_id, r.ts) for r in last.collect()}
+
+
+def test_hashed_vectors(spark):
+    rows = spark.createDataFrame([("a b c a",), ("",), (None,)], "t string").select(knowledge.hashed_vector(retrieval.words("t")).alias("v")).collect()
+    assert abs(sum(x * x for x in rows[0].v) - 1) < 1e-9 and len(rows[0].v) == 64 and set(rows[1].v) == {0.0} == set(rows[2].v)
+
+
+def test_matrix_search_equals_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, [rng.choice([-1.0, 0.0, 1.0]) for _ in range(4)], rng.choice("xy")) for i in range(60)] + [(60, None, "x"), (61, [0.0] * 4, "y")]
+    corpus = spark.createDataFrame(rows, "id long, vec array<double>, f string")
+    asked = corpus.filter("id % 10 = 0").selectExpr("id AS qid", "vec AS qvec", "f")
+    for facet in (None, "f"):
+        fast = {tuple(r) for r in retrieval.vector_topk(asked, corpus, 7, facet).collect()}
+        monkeypatch.setattr(retrieval, "BROADCAST", 0)
+        assert fast == {tuple(r) for r in retrieval.vector_topk(asked, corpus, 7, facet).collect()}
+        monkeypatch.undo()
+    assert retrieval.vector_topk(asked.limit(0), corpus, 7).count() == 0 == retrieval.vector_topk(asked, corpus.limit(0), 7).count()
