@@ -12,6 +12,11 @@ that name the same value are linked to the least of them. No value can be named
 
 Copies have one fingerprint and enter the index once. Nulls: a null text is the empty text, with fingerprint zero, linked like any other; rows with
 a null id get a fingerprint and the component of that fingerprint (null if no row of the component has an id). Repeated rows are each returned.
+
+near_classes links texts whose sets of word shingles have a Jaccard similarity of so much, all such pairs and no others. Two sets that similar share
+one of their first n - ceil(similarity * n) + 1 shingles in any order that is common to all, so lists of those alone miss no pair. The order is by
+hash, with the FREQUENT most frequent shingles of a bounded sample last; it settles how long lists get and never what is found. SimHash links and the
+ends of each list are verified first; after that only members of a list that are not connected yet are paired, and each pair is verified.
 """
 
 from __future__ import annotations
@@ -30,26 +35,36 @@ from .common import arrow_column, drop_written, fresh, written
 from .components import components
 
 WORDS, BITS, LIST, BLOCK = 3, 2, 64, 1 << 15
-SEED = 42
+SEED, SAMPLE, FREQUENT = 42, 20_000, 20_000
 
 
-def fingerprint(text: bytes, words: int = WORDS) -> int:
-    """The signed 64-bit SimHash of a UTF-8 text. A-Z are lower-cased, shingles are hashed with XXH64."""
+def _hashes(text: bytes, words: int) -> Iterator[np.ndarray]:
+    """XXH64 of the shingles of a UTF-8 text in its order, in blocks; of a text with fewer words that of all of them. A-Z are lower-cased."""
     w = text.lower().split()
     if not w:
-        return 0
+        return
     line, digest = b" ".join(w), xxhash.xxh64_intdigest
     ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(len(w) - words + 1, 1)
     starts, ends = starts[:n].tolist(), ends[len(w) - n :].tolist()
-    ones = np.zeros(64, np.int64)
     for i in range(0, n, BLOCK):
-        h = np.array([digest(line[a:b], SEED) for a, b in zip(starts[i : i + BLOCK], ends[i : i + BLOCK], strict=True)], np.uint64)
+        yield np.array([digest(line[a:b], SEED) for a, b in zip(starts[i : i + BLOCK], ends[i : i + BLOCK], strict=True)], np.uint64)
+
+
+def _majority(blocks: list[np.ndarray] | Iterator[np.ndarray]) -> int:
+    ones, n = np.zeros(64, np.int64), 0
+    for h in blocks:
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(h)
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
+def fingerprint(text: bytes, words: int = WORDS) -> int:
+    """The signed 64-bit SimHash of a UTF-8 text. A-Z are lower-cased, shingles are hashed with XXH64."""
+    return _majority(_hashes(text, words))
+
+
 def _fingerprints(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for array in texts:
         yield pa.array([fingerprint(t.as_py()) for t in pc.fill_null(array, "").cast(pa.binary())], pa.int64())
@@ -59,6 +74,39 @@ def simhash(text: Column | str) -> Column:
     return arrow_column(_fingerprints, "bigint", text)
 
 
+def _shingled(words: int):
+    def each(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for array in texts:
+            prints, sets = [], []
+            for t in pc.fill_null(array, "").cast(pa.binary()):
+                blocks = list(_hashes(t.as_py(), words))
+                prints.append(_majority(blocks))
+                sets.append(np.unique(np.concatenate(blocks)).view(np.int64) if blocks else np.zeros(0, np.int64))
+            yield pa.StructArray.from_arrays([pa.array(prints, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["fp", "shingles"])
+
+    return each
+
+
+def shingled(text: Column | str, words: int) -> Column:
+    """Struct of the SimHash of a text and the set of its shingles' hashes."""
+    return arrow_column(_shingled(words), "struct<fp:bigint,shingles:array<bigint>>", text)
+
+
+def _first(frequent: np.ndarray, similarity: float):
+    """Of each set the shingles of which any other set that is similar enough has one among its own."""
+
+    def each(sets: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for array in sets:
+            out = []
+            for s in array:
+                h = np.asarray(s.values, np.int64)
+                late = np.isin(h, frequent)
+                out.append(np.concatenate((h[~late], h[late]))[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1])
+            yield pa.array(out, pa.list_(pa.int64()))
+
+    return each
+
+
 def _byte(fp: str, position: int) -> Column:
     return F.shiftrightunsigned(F.col(fp), 8 * position).bitwiseAND(F.lit(255))
 
@@ -104,19 +152,88 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return prints.join(written(named.select("fp", "root").join(roots, "root").select("fp", "component_id"), "classes"), "fp")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: that with the smallest id, of repeated rows with that id one. Rows without an id all stay."""
-    found = written(classes(docs, id_col, text_col), "classes")
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those pairs (u, v) whose sets (c, shingles) are similar enough."""
+    nodes = pairs.select(F.col("u").alias("c")).unionByName(pairs.select(F.col("v").alias("c"))).distinct()
+    few = written(sets.join(nodes, "c", "left_semi").select("c", "shingles"), "sets")
+    side = lambda end, name: few.select(F.col("c").alias(end), F.col("shingles").alias(name))
+    sized = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", F.size("a").alias("m"), F.size("b").alias("n"), F.size(F.array_intersect("a", "b")).alias("both"))
+    return sized.filter(F.col("both") >= similarity * (F.col("m") + F.col("n") - F.col("both")) - 1e-9).select("u", "v")
+
+
+def _pair(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
+
+
+def _near_prints(sets: DataFrame) -> DataFrame:
+    """(u, v) of sets whose fingerprints are equal or linked, each fingerprint by its least set."""
+    least = written(sets.groupBy("fp").agg(F.min("c").alias("least")), "least")
+    same = sets.select("fp", "c").join(least, "fp").select(*_pair("c", "least"))
+    ends = links(least.select("fp")).join(least.select(F.col("fp").alias("u"), F.col("least").alias("a")), "u").join(least.select(F.col("fp").alias("v"), F.col("least").alias("b")), "v")
+    return same.unionByName(ends.select(*_pair("a", "b")))
+
+
+def similar(sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v) between sets (c, fp, shingles) such that the components of these links are those of all pairs that are similar enough."""
+    share = max(1, sets.count() // SAMPLE)
+    sample = sets.filter(F.pmod(F.xxhash64("c"), F.lit(share)) == 0).select(F.explode("shingles").alias("key")).groupBy("key").count().filter("count >= 8")
+    frequent = np.array([r["key"] for r in sample.orderBy(F.desc("count"), "key").limit(FREQUENT).collect()], np.int64)
+    first = arrow_column(_first(frequent, similarity), "array<bigint>", "shingles")
+    postings = written(sets.select("c", F.size("shingles").alias("n"), first.alias("first")).select("c", "n", F.explode("first").alias("key")), "postings")
+    shared = written(postings.groupBy("key").count().filter("count > 1").select("key"), "lists")
+    met = written(postings.join(shared, "key"), "met")
+    drop_written(postings)
+    steps = met.withColumn("step", F.floor(F.log("n") / F.log(F.lit(1.1))))  # so many sizes that any two are alike enough
+    heads = steps.groupBy("key", "step").agg(F.min("c").alias("low"), F.max("c").alias("high"))
+    stars = steps.join(heads, ["key", "step"]).select("c", F.explode(F.array("low", "high")).alias("head")).select(*_pair("c", "head"))
+    easy = written(stars.unionByName(_near_prints(sets)).filter("u <> v").distinct(), "pairs")
+    linked = written(_alike(easy, sets, similarity), "links")
+    reached = written(components(linked), "components")
+    placed = written(met.join(reached, F.col("c") == F.col("node"), "left").select("key", "c", "n", F.coalesce("component", "c").alias("root")), "placed")
+    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+    rest = written(placed.join(mixed, "key"), "rest")
+    drop_written(met)
+    drop_written(placed)
+    side = lambda end: rest.select("key", F.col("c").alias(end), F.col("n").alias(f"n_{end}"), F.col("root").alias(f"root_{end}"))
+    alike = F.least("n_u", "n_v") >= similarity * F.greatest("n_u", "n_v") - 1e-9
+    hard = side("u").join(side("v"), "key").filter((F.col("root_u") < F.col("root_v")) & alike).select(*_pair("u", "v")).distinct()
+    return linked.unionByName(_alike(written(hard.join(easy, ["u", "v"], "left_anti"), "pairs"), sets, similarity))
+
+
+def _set_class(shingles: Column) -> Column:
+    return F.xxhash64(shingles)
+
+
+def near_classes(docs: DataFrame, words: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp, component_id) as classes has them, with links between similar sets of shingles; fp names the set."""
+    made = docs.select(F.col(id_col).alias("id"), shingled(text_col, words).alias("made")).select("id", "made.*")
+    prints = written(made.withColumn("c", _set_class(F.col("shingles"))).withColumn("row", F.monotonically_increasing_id()), "shingles")
+    each = written(prints.groupBy("c").agg(F.min("id").alias("least"), F.min("row").alias("row")), "distinct")
+    sets = prints.select("row", "c", "fp", "shingles").join(each.select("row"), "row", "left_semi")
+    reached = written(components(similar(sets, similarity)), "components")
+    named = each.join(reached, F.col("c") == F.col("node"), "left").select("c", "least", F.coalesce("component", "c").alias("root"))
+    roots = written(named.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
+    return prints.select("id", "c").join(written(named.select("c", "root").join(roots, "root").select("c", "component_id"), "classes"), "c").select("id", F.col("c").alias("fp"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float | None = None) -> DataFrame:
+    """docs with one row of each component: that with the smallest id, of repeated rows with that id one. Rows without an id all stay.
+
+    Without a similarity links are between fingerprints of WORDS words within BITS bits, with one between sets of shingles of so many words."""
+    if similarity is None and words != WORDS:
+        raise ValueError("words needs a similarity")
+    near = similarity is not None
+    found = written(near_classes(docs, words, similarity, id_col, text_col) if near else classes(docs, id_col, text_col), "classes")
     kept = found.filter(F.col("id") == F.col("component_id")).groupBy("id").agg(F.count("*").alias("n"))
     ids = written(kept, "kept")
     stay = docs.join(ids.select(F.col("id").alias(id_col)).hint("shuffle_hash"), id_col, "left_semi")
     if not ids.filter("n > 1").isEmpty() or not found.groupBy("id").count().filter("id IS NOT NULL AND count > 1").isEmpty():
-        stay = _one_each(stay, found, id_col, text_col)
+        stay = _one_each(stay, found, id_col, _set_class(shingled(text_col, words).getField("shingles")) if near else simhash(text_col))
     return stay.unionByName(docs.filter(F.col(id_col).isNull()))
 
 
-def _one_each(stay: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _one_each(stay: DataFrame, found: DataFrame, id_col: str, print_of: Column) -> DataFrame:
     """Where ids repeat: one row for each id whose fingerprint is that of a kept row."""
     (fp,) = fresh(stay, "fp")
     right = found.filter(F.col("id") == F.col("component_id")).select(F.col("id").alias(id_col), F.col("fp").alias(fp)).distinct()
-    return stay.withColumn(fp, simhash(text_col)).join(right, [id_col, fp], "left_semi").dropDuplicates([id_col]).drop(fp)
+    return stay.withColumn(fp, print_of).join(right, [id_col, fp], "left_semi").dropDuplicates([id_col]).drop(fp)

@@ -28,3 +28,16 @@ def test_stages_run_on_all_that_the_one_before_kept(spark, tmp_path):
     assert left["mixing"] <= left["simhash_near_dedup"] and left["packing"] == left["mixing"]
     want = sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in now.collect())
     assert sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == want
+
+
+def test_near_copies_that_differ_in_many_bits(spark):
+    """Two changed words of 150 leave a similarity over 0.8, and more than two bits differ in most such pairs."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(0, 40, 2):
+        w = [f"w{rng.randrange(5000)}" for _ in range(150)]
+        v = list(w)
+        v[40] = v[90] = "other"
+        rows += [(i, " ".join(w)), (i + 1, " ".join(v))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == list(range(0, 40, 2))

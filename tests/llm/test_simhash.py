@@ -79,3 +79,39 @@ def test_components_of_chains_stars_and_loops(spark):
     got = {r["node"]: r["component"] for r in components.components(frame).collect()}
     assert got == brute_components([(u, v) for u, v in edges if u is not None and u != v])
     assert components.components(frame.limit(0)).count() == 0
+
+
+def test_similar_texts_against_all_pairs(spark):
+    """Chains, a crowd around one text and a passage that all have, held against the similarity of all pairs; most differ in more than two bits."""
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(500)]
+    passage, texts = " ".join(rng.choices(vocabulary, k=12)), []
+    for group in range(14):
+        w = rng.choices(vocabulary, k=rng.choice([6, 60, 150, 400]))
+        for _ in range(40 if group == 0 else 8):
+            v = list(w)
+            for _ in range(rng.randrange(4)):
+                v[rng.randrange(len(v))] = rng.choice(["x", "y", "z"])
+            texts.append(" ".join(v) + (f" {passage}" if group % 2 else ""))
+            w = v if group % 3 == 1 else w  # a chain
+    rows = [(i, t) for i, t in enumerate(texts)] + [(900, None), (901, ""), (902, "one two"), (903, "One  TWO"), (None, texts[0]), (7, texts[60])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def shingles(text):
+        w = WORD.findall((text or "").translate(LOWER))
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [(i, shingles(t)) for i, t in rows]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i][1] == sets[j][1] or len(sets[i][1] & sets[j][1]) >= 0.8 * len(sets[i][1] | sets[j][1]) - 1e-9]
+    prints = [brute_print(t) for _, t in rows]
+    assert sum(bin(prints[i] ^ prints[j]).count("1") > 2 for i, j in pairs) > len(pairs) / 3
+    root = brute_components(pairs + [(i, i) for i in range(len(rows))])
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        if doc is not None:
+            least[root[i]] = min(doc, least.get(root[i], doc))
+    got = sorted(((r["id"], r["component_id"]) for r in simhash.near_classes(docs, 5, 0.8).collect()), key=str)
+    assert got == sorted(((doc, least[root[i]]) for i, (doc, _) in enumerate(rows)), key=str)
+    kept = sorted(r["doc_id"] for r in simhash.keep_one(docs, words=5, similarity=0.8).collect() if r["doc_id"] is not None)
+    assert kept == sorted(set(least.values()))
+    assert simhash.keep_one(docs.limit(0), words=5, similarity=0.8).count() == 0
