@@ -43,25 +43,28 @@ def top(scored: DataFrame, k: int, digits: int = 6) -> DataFrame:
 def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, facet: str | None = None) -> DataFrame:
     """queries (qid, qvec), corpus (id, vec): the k most similar vectors of other ids; a null vector has similarity 0 to all.
 
-    facet: both have a column of that name, and only pairs that agree in it count. At most BROADCAST queries become a matrix that each task multiplies
-    with its own rows, of which it keeps the k best; more queries are joined with the corpus pair by pair.
+    facet: both have a column of that name, and only pairs that agree in it count. Each block of at most about BROADCAST queries becomes
+    a matrix that each task multiplies with its own rows, of which it keeps the k best.
     """
-    if queries.limit(BROADCAST + 1).count() > BROADCAST:
-        asked = queries if facet is None else queries.withColumnRenamed(facet, "qfacet")
-        pair = F.col("qid") != F.col("id") if facet is None else (F.col("qid") != F.col("id")) & F.col("qfacet").eqNullSafe(F.col(facet))
-        return top(corpus.join(asked, pair).select("qid", "id", cosine("vec", "qvec").alias("score")), k)
-    return top(_best_by_task(queries, corpus, k, facet, True).select("qid", "id", "score"), k)
+    return top(_best_by_block(queries, corpus, k, facet, True).select("qid", "id", "score"), k)
 
 
 def vector_topk_by_facet(queries: DataFrame, corpus: DataFrame, k: int, facet: str) -> DataFrame:
-    """(qid, id, facet, score, rank): the k best of each query in each facet of the corpus. At most BROADCAST queries."""
-    if queries.limit(BROADCAST + 1).count() > BROADCAST:
-        raise ValueError(f"more than {BROADCAST} queries: give them in blocks")
+    """(qid, id, facet, score, rank): the k best of each query in each facet of the corpus."""
     w = Window.partitionBy("qid", "facet").orderBy(F.desc("score"), "id")
-    best = _best_by_task(queries, corpus, k, facet, False).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    best = _best_by_block(queries, corpus, k, facet, False).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return best.withColumnRenamed("facet", facet) if facet != "facet" else best
 
 
+def _best_by_block(queries: DataFrame, corpus: DataFrame, k: int, facet: str | None, same: bool) -> DataFrame:
+    """The k best of each task and query. Blocks are dealt by hash and half full on average, as their sizes vary."""
+    n = queries.count()
+    blocks = 1 if n <= BROADCAST else -(-2 * n // max(1, BROADCAST))
+    block = F.pmod(F.xxhash64("qid"), F.lit(blocks))
+    found = [_best_by_task(queries if blocks == 1 else queries.filter(block == i), corpus, k, facet, same) for i in range(blocks)]
+    return reduce(DataFrame.unionByName, found)
+
+
 def _matrix(vectors, size: int | None = None) -> np.ndarray:
     """Vectors of length one as rows; those that are null or have no length are zero."""
     size = size or max((len(v) for v in vectors if v is not None), default=0)
