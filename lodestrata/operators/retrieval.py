@@ -43,7 +43,7 @@ def top(scored: DataFrame, k: int, digits: int = 6) -> DataFrame:
 def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, facet: str | None = None) -> DataFrame:
     """queries (qid, qvec), corpus (id, vec): the k most similar vectors of other ids; a null vector has similarity 0 to all.
 
-    facet: both have a column of that name, and only pairs that agree in it count. Each block of at most about BROADCAST queries becomes
+    facet: both have a column of that name, and only pairs that agree in it count, null with null. Each block of at most about BROADCAST queries becomes
     a matrix that each task multiplies with its own rows, of which it keeps the k best.
     """
     return top(_best_by_block(queries, corpus, k, facet, True).select("qid", "id", "score"), k)
@@ -74,9 +74,10 @@ def _matrix(vectors, size: int | None = None) -> np.ndarray:
 
 
 def _best_by_task(queries: DataFrame, corpus: DataFrame, k: int, facet: str | None, same: bool) -> DataFrame:
-    asked = queries.toPandas()
+    label = F.coalesce(F.concat(F.lit("="), F.col(facet).cast("string")), F.lit("")) if facet else F.lit("")  # null is no text
+    asked = queries.select("qid", "qvec", (label if same else F.lit("")).alias("facet")).toPandas()
     qids, q = asked["qid"].to_numpy(), _matrix(asked["qvec"].tolist())
-    qfacets = asked[facet].astype(str).to_numpy() if facet and same else None
+    qfacets = asked["facet"].to_numpy() if facet and same else None
     step = max(1, (1 << 22) // max(1, len(qids)))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,10 +91,10 @@ def _best_by_task(queries: DataFrame, corpus: DataFrame, k: int, facet: str | No
                 rows, columns = (np.concatenate([x[n] for x in found]) for n in (0, 1))
                 yield pa.RecordBatch.from_pydict({"qid": pa.array(qids[columns], pa.int64()), "id": pa.array(ids[rows], pa.int64()), "facet": pa.array(facets[rows], pa.string()), "score": pa.array(scores[rows, columns])})
 
-    rows = corpus.filter("id IS NOT NULL").select(F.col("id").cast("bigint").alias("id"), "vec", (F.coalesce(F.col(facet).cast("string"), F.lit("None")) if facet else F.lit("")).alias("facet"))
+    rows = corpus.filter("id IS NOT NULL").select(F.col("id").cast("bigint").alias("id"), "vec", label.alias("facet"))
     if not len(qids):
         return rows.limit(0).selectExpr("id AS qid", "id", "facet", "0.0D AS score")
-    return rows.mapInArrow(each, "qid bigint, id bigint, facet string, score double")
+    return rows.mapInArrow(each, "qid bigint, id bigint, facet string, score double").withColumn("facet", F.when(F.col("facet") != "", F.substr("facet", F.lit(2))))
 
 
 def _best(scores: np.ndarray, rows: np.ndarray, k: int, columns: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:

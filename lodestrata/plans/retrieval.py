@@ -51,7 +51,7 @@ def vec_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vec_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search within the query's own facet."""
     queries, corpus = _vectors(spark, sf_dir)
-    return R.vector_topk(queries.withColumnRenamed("qlabel", "label"), corpus.withColumnRenamed("dlabel", "label"), 5, "label")
+    return R.vector_topk(queries.filter("qlabel IS NOT NULL").withColumnRenamed("qlabel", "label"), corpus.withColumnRenamed("dlabel", "label"), 5, "label")
 
 
 @query(f"WITH {_VEC}, g AS (SELECT qid, dlabel, row_number() OVER (PARTITION BY qid ORDER BY max(score) DESC, dlabel) AS r FROM s GROUP BY qid, dlabel) SELECT qid, id, rank, score FROM (SELECT s.qid, s.id, s.score, row_number() OVER (PARTITION BY s.qid ORDER BY score DESC, id) AS rank FROM s JOIN g ON g.qid = s.qid AND g.dlabel = s.dlabel AND g.r <= 2) WHERE rank <= 10")
@@ -59,7 +59,7 @@ def navigate_then_drill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First the two facets that hold the best matches, then the ten best within them."""
     queries, corpus = _vectors(spark, sf_dir)
     best = R.vector_topk_by_facet(queries.drop("qlabel"), corpus, 10, "dlabel")
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "facet_no")
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc_nulls_last("facet_no"))
     scope = best.filter("rank = 1").withColumn("facet_no", F.col("dlabel").cast("int")).withColumn("r", F.row_number().over(w)).filter("r <= 2").select("qid", "dlabel")
     return R.top(best.join(scope, ["qid", "dlabel"], "left_semi").select("qid", "id", "score"), 10)
 

@@ -149,11 +149,11 @@ def test_matrix_search_equals_pairs(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("limit", [10_000, 7])
-def test_vector_search_in_blocks(spark, monkeypatch, limit):
+def test_vector_search_in_blocks_and_with_null_facets(spark, monkeypatch, limit):
     """A limit of 7 makes blocks of the 30 queries."""
     monkeypatch.setattr(retrieval, "BROADCAST", limit)
     rng = random.Random(6)
-    rows = [(i, [rng.gauss(0, 1) for _ in range(6)], rng.choice([0, 1, 2])) for i in range(150)]
+    rows = [(i, [rng.gauss(0, 1) for _ in range(6)], rng.choice([0, 1, 2, None])) for i in range(150)]
     e = spark.createDataFrame(rows, "id long, vec array<double>, f int")
     asked = e.filter("id % 5 = 0").selectExpr("id AS qid", "vec AS qvec", "f")
     unit = lambda v: [x / sum(y * y for y in v) ** 0.5 for x in v]
@@ -164,5 +164,5 @@ def test_vector_search_in_blocks(spark, monkeypatch, limit):
     assert {(r["qid"], r["id"]) for r in retrieval.vector_topk(asked.drop("f"), e.drop("f"), 4).collect()} == want
     want = {(q, i) for q in asks for _, i in best(q, [r for r in rows if r[2] == rows[q][2]], 4)}
     assert {(r["qid"], r["id"]) for r in retrieval.vector_topk(asked, e, 4, "f").collect()} == want
-    want = {(q, i, str(f)) for q in asks for f in (0, 1, 2) for _, i in best(q, [r for r in rows if r[2] == f], 4)}
+    want = {(q, i, None if f is None else str(f)) for q in asks for f in (0, 1, 2, None) for _, i in best(q, [r for r in rows if r[2] == f], 4)}
     assert {(r["qid"], r["id"], r["f"]) for r in retrieval.vector_topk_by_facet(asked.drop("f"), e, 4, "f").collect()} == want
