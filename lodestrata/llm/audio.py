@@ -8,7 +8,7 @@ Alignment: two recordings that share material have integers that are equal, or n
 bytes of each integer, in all four ways, so an integer with errors in one byte still meets its fellow, and runs of GRAMS integers; runs of one
 repeated integer say nothing of time and are left out. For each query and recording the votes of equal entries are tallied by offset, and the best
 offset is verified by the share of differing bits over the whole overlap, which is OVERLAP integers at least, so that the first and the last have no
-frame in common. Entries that more than LIST recordings hold are looked up by longer runs around them, up to 16 integers, where no limit holds. Recordings with equal fingerprints are one class and enter the index once.
+frame in common. Entries count however many recordings hold them: what a third of the recordings share is found in noisy copies too. Recordings with equal fingerprints are one class and enter the index once.
 
 Nulls: null, unreadable and too short media have an empty fingerprint; they are in one class of their own, and nothing aligns to them. Silence has the
 fingerprint of no energy, equal integers, and so aligns only by class.
@@ -30,7 +30,7 @@ from .common import arrow_column, drop_written, map_batches, written
 
 RATE, FRAME, HOP, WIDTH = 11025, 4096, 1365, 16
 LOW, HIGH, STEPS = 28.0, 3520.0, (-0.3, 0.0, 0.3)
-GRAMS, LIST, VOTES, OVERLAP, ERRORS, SLICE = (2, 4, 8, 16), 256, 2, WIDTH, 0.2, 16
+GRAMS, VOTES, OVERLAP, ERRORS, SLICE = (2, 4, 8, 16), 2, WIDTH, 0.2, 16
 
 
 @cache
@@ -132,7 +132,7 @@ def align(prints: DataFrame, is_query: Column, id_col: str = "id") -> DataFrame:
     votes: DataFrame | None = None
     for n in (0, *GRAMS):
         runs = written(_runs(classes, n) if n else _near(classes), "runs")
-        held = written(runs.groupBy("run").agg(F.count_distinct("class").alias("n")).filter("n > 1" if n == GRAMS[-1] else f"n > 1 AND n <= {LIST}"), "held")
+        held = written(runs.groupBy("run").agg(F.count_distinct("class").alias("n")).filter("n > 1"), "held")
         found = runs.join(held.select("run"), "run")
         asked = found.join(classes.filter("asks").select("class"), "class", "left_semi")
         met = asked.select(F.col("class").alias("q"), F.col("at").alias("q_at"), "run").join(found.select(F.col("class").alias("m"), F.col("at").alias("m_at"), "run"), "run").filter("q <> m")

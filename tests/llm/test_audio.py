@@ -68,3 +68,15 @@ def test_other_rates_and_stereo():
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "id long, print array<int>")
     assert audio.align(empty, F.col("id") % 20 == 0).count() == 0
+
+
+def test_a_noisy_passage_that_all_recordings_share(spark):
+    """Each entry of the passage is held by hundreds of recordings, of which no two have 16 equal integers in a row."""
+    rng = np.random.default_rng(5)
+    passage = rng.integers(-(1 << 31), 1 << 31, 24)
+    noise = np.where(rng.random((600, 24)) < 0.3, 1 << rng.integers(0, 31, (600, 24)), 0)
+    prints = (passage ^ noise).astype(np.int32)
+    frame = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(prints)], "id long, print array<int>")
+    got = {(r["query"], r["match"]): r["offset"] for r in audio.align(frame, F.col("id") % 100 == 0).collect()}
+    want = {(q, m) for q in range(0, 600, 100) for m in range(600) if q == m or brute(prints[q].astype(np.int64), prints[m].astype(np.int64))[0] <= audio.ERRORS}
+    assert len(want) == 3600 and set(got) == want and set(got.values()) == {0}
