@@ -35,7 +35,7 @@ from .common import arrow_column, drop_written, fresh, written
 from .components import components
 
 WORDS, BITS, LIST, BLOCK = 3, 2, 64, 1 << 15
-SEED, SAMPLE, FREQUENT = 42, 20_000, 20_000
+SEED, SAMPLE, FREQUENT, FEW = 42, 2_000, 20_000, 500_000
 
 
 def _hashes(text: bytes, words: int) -> Iterator[np.ndarray]:
@@ -152,11 +152,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return prints.join(written(named.select("fp", "root").join(roots, "root").select("fp", "component_id"), "classes"), "fp")
 
 
+def _of(sets: DataFrame, rows: DataFrame) -> DataFrame:
+    """The sets of some rows; up to FEW rows are sent to the sets, which then stay where they are."""
+    few = rows.limit(FEW + 1).count() <= FEW
+    return sets.join(F.broadcast(rows) if few else rows, "row", "left_semi")
+
+
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those pairs (u, v) whose sets (c, shingles) are similar enough."""
-    nodes = pairs.select(F.col("u").alias("c")).unionByName(pairs.select(F.col("v").alias("c"))).distinct()
-    few = written(sets.join(nodes, "c", "left_semi").select("c", "shingles"), "sets")
-    side = lambda end, name: few.select(F.col("c").alias(end), F.col("shingles").alias(name))
+    """Those pairs (u, v) whose sets (row, shingles) are similar enough."""
+    nodes = written(pairs.select(F.col("u").alias("row")).unionByName(pairs.select(F.col("v").alias("row"))).distinct(), "nodes")
+    few = written(_of(sets, nodes).select("row", "shingles"), "sets")
+    side = lambda end, name: few.select(F.col("row").alias(end), F.col("shingles").alias(name))
     sized = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", F.size("a").alias("m"), F.size("b").alias("n"), F.size(F.array_intersect("a", "b")).alias("both"))
     return sized.filter(F.col("both") >= similarity * (F.col("m") + F.col("n") - F.col("both")) - 1e-9).select("u", "v")
 
@@ -167,34 +173,34 @@ def _pair(a: str, b: str) -> list[Column]:
 
 def _near_prints(sets: DataFrame) -> DataFrame:
     """(u, v) of sets whose fingerprints are equal or linked, each fingerprint by its least set."""
-    least = written(sets.groupBy("fp").agg(F.min("c").alias("least")), "least")
-    same = sets.select("fp", "c").join(least, "fp").select(*_pair("c", "least"))
+    least = written(sets.groupBy("fp").agg(F.min("row").alias("least")), "least")
+    same = sets.select("fp", "row").join(least, "fp").select(*_pair("row", "least"))
     ends = links(least.select("fp")).join(least.select(F.col("fp").alias("u"), F.col("least").alias("a")), "u").join(least.select(F.col("fp").alias("v"), F.col("least").alias("b")), "v")
     return same.unionByName(ends.select(*_pair("a", "b")))
 
 
 def similar(sets: DataFrame, similarity: float) -> DataFrame:
-    """(u, v) between sets (c, fp, shingles) such that the components of these links are those of all pairs that are similar enough."""
+    """(u, v) between sets (row, fp, shingles) such that the components of these links are those of all pairs that are similar enough."""
     share = max(1, sets.count() // SAMPLE)
-    sample = sets.filter(F.pmod(F.xxhash64("c"), F.lit(share)) == 0).select(F.explode("shingles").alias("key")).groupBy("key").count().filter("count >= 8")
+    sample = sets.filter(F.pmod(F.xxhash64("row"), F.lit(share)) == 0).select(F.explode("shingles").alias("key")).groupBy("key").count().filter("count >= 4")
     frequent = np.array([r["key"] for r in sample.orderBy(F.desc("count"), "key").limit(FREQUENT).collect()], np.int64)
     first = arrow_column(_first(frequent, similarity), "array<bigint>", "shingles")
-    postings = written(sets.select("c", F.size("shingles").alias("n"), first.alias("first")).select("c", "n", F.explode("first").alias("key")), "postings")
+    postings = written(sets.select("row", F.size("shingles").alias("n"), first.alias("first")).select("row", "n", F.explode("first").alias("key")), "postings")
     shared = written(postings.groupBy("key").count().filter("count > 1").select("key"), "lists")
     met = written(postings.join(shared, "key"), "met")
     drop_written(postings)
     steps = met.withColumn("step", F.floor(F.log("n") / F.log(F.lit(1.1))))  # so many sizes that any two are alike enough
-    heads = steps.groupBy("key", "step").agg(F.min("c").alias("low"), F.max("c").alias("high"))
-    stars = steps.join(heads, ["key", "step"]).select("c", F.explode(F.array("low", "high")).alias("head")).select(*_pair("c", "head"))
+    heads = steps.groupBy("key", "step").agg(F.min("row").alias("low"), F.max("row").alias("high"))
+    stars = steps.join(heads, ["key", "step"]).select("row", F.explode(F.array("low", "high")).alias("head")).select(*_pair("row", "head"))
     easy = written(stars.unionByName(_near_prints(sets)).filter("u <> v").distinct(), "pairs")
     linked = written(_alike(easy, sets, similarity), "links")
     reached = written(components(linked), "components")
-    placed = written(met.join(reached, F.col("c") == F.col("node"), "left").select("key", "c", "n", F.coalesce("component", "c").alias("root")), "placed")
+    placed = written(met.join(reached, F.col("row") == F.col("node"), "left").select("key", "row", "n", F.coalesce("component", "row").alias("root")), "placed")
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
     rest = written(placed.join(mixed, "key"), "rest")
     drop_written(met)
     drop_written(placed)
-    side = lambda end: rest.select("key", F.col("c").alias(end), F.col("n").alias(f"n_{end}"), F.col("root").alias(f"root_{end}"))
+    side = lambda end: rest.select("key", F.col("row").alias(end), F.col("n").alias(f"n_{end}"), F.col("root").alias(f"root_{end}"))
     alike = F.least("n_u", "n_v") >= similarity * F.greatest("n_u", "n_v") - 1e-9
     hard = side("u").join(side("v"), "key").filter((F.col("root_u") < F.col("root_v")) & alike).select(*_pair("u", "v")).distinct()
     return linked.unionByName(_alike(written(hard.join(easy, ["u", "v"], "left_anti"), "pairs"), sets, similarity))
@@ -209,9 +215,9 @@ def near_classes(docs: DataFrame, words: int, similarity: float, id_col: str = "
     made = docs.select(F.col(id_col).alias("id"), shingled(text_col, words).alias("made")).select("id", "made.*")
     prints = written(made.withColumn("c", _set_class(F.col("shingles"))).withColumn("row", F.monotonically_increasing_id()), "shingles")
     each = written(prints.groupBy("c").agg(F.min("id").alias("least"), F.min("row").alias("row")), "distinct")
-    sets = prints.select("row", "c", "fp", "shingles").join(each.select("row"), "row", "left_semi")
+    sets = _of(prints.select("row", "fp", "shingles"), each.select("row"))
     reached = written(components(similar(sets, similarity)), "components")
-    named = each.join(reached, F.col("c") == F.col("node"), "left").select("c", "least", F.coalesce("component", "c").alias("root"))
+    named = each.join(reached, F.col("row") == F.col("node"), "left").select("c", "least", F.coalesce("component", "row").alias("root"))
     roots = written(named.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
     return prints.select("id", "c").join(written(named.select("c", "root").join(roots, "root").select("c", "component_id"), "classes"), "c").select("id", F.col("c").alias("fp"), "component_id")
 
