@@ -4,11 +4,14 @@ A recording (a binary column of PCM16 WAV, any rate and number of channels) is m
 HOP apart, give the energy of the 12 pitch classes, each frame brought to length one. Sixteen rectangular filters, summed by an integral image
 of 16 frames by 12 classes, are each quantised to two bits in Gray code, and the 32 bits are packed into one integer for each frame.
 
-Alignment: two recordings that share material have integers that are equal, or nearly so, at a constant offset. The index holds three of the four
-bytes of each integer, in all four ways, so an integer with errors in one byte still meets its fellow, and runs of GRAMS integers; runs of one
-repeated integer say nothing of time and are left out. For each query and recording the votes of equal entries are tallied by offset, and the best
-offset is verified by the share of differing bits over the whole overlap, which is OVERLAP integers at least, so that the first and the last have no
-frame in common. Entries count however many recordings hold them: what a third of the recordings share is found in noisy copies too. Recordings with equal fingerprints are one class and enter the index once.
+Alignment: two recordings that share material have integers that are equal, or nearly so, at a constant offset. The index holds each two integers in a
+row (other than two that are equal, which say nothing of time) under four keys: one half of the first with one half of the second. So a pair still
+meets its fellow where the errors of either integer are in one half of it. Entries that meet are compared at once, in the join, and count as a vote if
+they differ in at most NEAR of their 64 bits; chance partners, of which there are many more, end there. Votes are tallied by offset for each query and
+recording, and the best offset is verified by the share of differing bits over the whole overlap, which is OVERLAP integers at least, so that the first
+and the last have no frame in common. No entry has a limit: what a third of the recordings share is found too. Recordings with equal fingerprints are
+one class and enter the index once; copies tells how many they are. Chance partners of a key of 32 bits still grow with the number of queries times that of recordings, though none leaves
+the join; a corpus of billions of recordings would want keys of three integers.
 
 Nulls: null, unreadable and too short media have an empty fingerprint; they are in one class of their own, and nothing aligns to them. Silence has the
 fingerprint of no energy, equal integers, and so aligns only by class.
@@ -26,11 +29,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_column, drop_written, map_batches, written
+from .common import arrow_column, map_batches, written
 
 RATE, FRAME, HOP, WIDTH = 11025, 4096, 1365, 16
 LOW, HIGH, STEPS = 28.0, 3520.0, (-0.3, 0.0, 0.3)
-GRAMS, VOTES, OVERLAP, ERRORS, SLICE = (2, 4, 8, 16), 2, WIDTH, 0.2, 16
+NEAR, OVERLAP, ERRORS, SLICE, AT_ONCE = 10, WIDTH, 0.2, 16, 1024
+HALVES = tuple(a << 32 | b for a in (0xFFFF, 0xFFFF0000) for b in (0xFFFF, 0xFFFF0000))
 
 
 @cache
@@ -107,19 +111,14 @@ def chroma_print(media: Column | str) -> Column:
     return arrow_column(_prints, "array<int>", media)
 
 
-def _runs(items: DataFrame, n: int) -> DataFrame:
-    """items (class, print) to (class, at, run): the hash of the n integers at each place, where they are not all the same."""
-    spots = items.filter(F.size("print") >= n).select("class", "print", F.explode(F.sequence(F.lit(0), F.size("print") - n)).alias("at"))
-    run = F.slice("print", F.col("at") + 1, n)
-    return spots.withColumn("run", run).filter(F.size(F.array_distinct("run")) > 1).select("class", "at", F.xxhash64("run").alias("run"))
-
-
-def _near(items: DataFrame) -> DataFrame:
-    """items (class, print) to (class, at, run): each integer that differs from the one before it, without each of its bytes in turn, hashed with that byte's number."""
-    spots = items.select("class", "print", F.posexplode("print").alias("at", "value"))
-    moved = spots.filter((F.col("at") == 0) | (F.col("value") != F.get("print", F.col("at") - 1))).select("class", "at", "value")
-    keys = F.array(*(F.struct(F.lit(b).alias("byte"), F.col("value").bitwiseAND(F.lit(~(255 << 8 * b) if b < 3 else 0xFFFFFF)).alias("rest")) for b in range(4)))
-    return moved.select("class", "at", F.explode(keys).alias("key")).select("class", "at", F.xxhash64("key.byte", "key.rest").alias("run"))
+def _entries(items: DataFrame) -> DataFrame:
+    """items (class, print) to (class, at, two, half, key): two integers in a row as one of 64 bits, and what each of HALVES leaves of it."""
+    first, second = (F.slice("print", n, F.size("print") - 1) for n in (1, 2))
+    joined = F.zip_with(first, second, lambda a, b: F.shiftleft(a.cast("bigint"), 32).bitwiseOR(b.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))))
+    spots = items.filter(F.size("print") > 1).select("class", F.posexplode(joined).alias("at", "two"))
+    moved = spots.filter(F.shiftrightunsigned("two", 32) != F.col("two").bitwiseAND(F.lit(0xFFFFFFFF)))
+    keys = F.array(*(F.col("two").bitwiseAND(F.lit(h if h < 1 << 63 else h - (1 << 64))) for h in HALVES))
+    return moved.select("class", "at", "two", F.posexplode(keys).alias("half", "key"))
 
 
 def align(prints: DataFrame, is_query: Column, id_col: str = "id") -> DataFrame:
@@ -129,16 +128,11 @@ def align(prints: DataFrame, is_query: Column, id_col: str = "id") -> DataFrame:
     own = F.struct(F.xxhash64("print"), F.hash("print"))
     keyed = written(prints.select(F.col(id_col).alias("id"), is_query.alias("asks"), "print", own.alias("key")), "prints")
     classes = written(keyed.groupBy("key").agg(F.min("id").alias("class"), F.count("*").alias("copies"), F.min_by("print", "id").alias("print"), F.max("asks").alias("asks")), "print-classes")
-    votes: DataFrame | None = None
-    for n in (0, *GRAMS):
-        runs = written(_runs(classes, n) if n else _near(classes), "runs")
-        held = written(runs.groupBy("run").agg(F.count_distinct("class").alias("n")).filter("n > 1"), "held")
-        found = runs.join(held.select("run"), "run")
-        asked = found.join(classes.filter("asks").select("class"), "class", "left_semi")
-        met = asked.select(F.col("class").alias("q"), F.col("at").alias("q_at"), "run").join(found.select(F.col("class").alias("m"), F.col("at").alias("m_at"), "run"), "run").filter("q <> m")
-        counted = met.groupBy("q", "m", (F.col("m_at") - F.col("q_at")).alias("offset")).agg(F.count("*").alias("votes"))
-        votes = counted if votes is None else votes.unionByName(counted)
-    best = votes.groupBy("q", "m", "offset").agg(F.sum("votes").alias("votes")).filter(f"votes >= {VOTES}")
+    side = lambda rows, name: _entries(rows).select(F.col("class").alias(name), F.col("at").alias(f"{name}_at"), F.col("two").alias(f"{name}_two"), "half", "key")
+    alike = F.bit_count(F.col("q_two").bitwiseXOR(F.col("m_two"))) <= NEAR
+    asked, found = side(classes.filter("asks"), "q"), side(classes, "m")
+    met = asked.join(found, (asked["half"] == found["half"]) & (asked["key"] == found["key"]) & (F.col("q") != F.col("m")) & alike)
+    best = met.groupBy("q", "m", (F.col("m_at") - F.col("q_at")).alias("offset")).agg(F.count("*").alias("votes"))
     top = best.groupBy("q", "m").agg(F.max_by("offset", F.struct("votes", -F.abs("offset"), "offset")).alias("offset"))
     sides = top.join(classes.select(F.col("class").alias("q"), F.col("print").alias("a")), "q").join(classes.select(F.col("class").alias("m"), F.col("print").alias("b"), "copies"), "m")
     begin, end = F.greatest(F.lit(0), -F.col("offset")), F.least(F.size("a"), F.size("b") - F.col("offset"))
@@ -148,7 +142,6 @@ def align(prints: DataFrame, is_query: Column, id_col: str = "id") -> DataFrame:
     itself = classes.filter("asks").select(F.col("class").alias("q"), F.col("class").alias("m"), "copies", F.lit(0).alias("offset"), F.lit(0).alias("bit_errors"), (32 * F.size("print")).alias("bits"))
     pairs = written(checked.select("q", "m", "copies", "offset", "bit_errors", "bits").unionByName(itself), "aligned")
     asking = keyed.filter("asks").join(classes.select("key", F.col("class").alias("q")), "key").select(F.col("id").alias("query"), "q")
-    drop_written(runs)
     return asking.join(pairs, "q").select("query", F.col("m").alias("match"), "copies", "offset", "bit_errors", "bits")
 
 
@@ -181,5 +174,6 @@ def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def render(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, media). Test media: the tables hold no audio, so each vector is played as one note for each of its numbers. A null vector has no media."""
-    return map_batches(vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")), _render, "id bigint, media binary")
+    """(id, media). Test media: the tables hold no audio, so each vector is played as one note for each of its numbers, AT_ONCE vectors a task. A null vector has no media."""
+    rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    return map_batches(rows.repartition(max(1, -(-rows.count() // AT_ONCE)), "id"), _render, "id bigint, media binary")
