@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .stored import stored
+
 
 def reach(edges: DataFrame, depth: int) -> DataFrame:
-    """(start, node, depth) for what each node reaches in at most depth steps, by the shortest way. Each step joins only what was new in the last."""
-    edges = edges.select("src", "dst").distinct()
-    front = edges.select(F.col("src").alias("start"), F.col("dst").alias("node"), F.lit(1).alias("depth"))
+    """(start, node, depth) for what each node reaches in at most depth steps, by the shortest way. Each step joins only what was new in the last and is written, so plans stay small."""
+    edges = stored(edges.select("src", "dst").distinct())
+    front = stored(edges.select(F.col("src").alias("start"), F.col("dst").alias("node"), F.lit(1).alias("depth")))
     found = front
     for d in range(2, depth + 1):
         step = front.join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
-        front = step.join(found.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(d))
+        front = stored(step.join(found.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(d)))
+        if front.isEmpty():
+            break
         found = found.unionByName(front)
     return found

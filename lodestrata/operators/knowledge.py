@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stored import stored
+
 
 def nodes(rows: DataFrame, label: str, key: str, *properties: str) -> DataFrame:
     """(label, id, properties): one node for each key; of repeated keys the smallest properties."""
@@ -18,10 +23,18 @@ def edges(rows: DataFrame, kind: str, src: str, dst: str) -> DataFrame:
 
 
 def anchors(chunks: DataFrame, group: str, order: str, heading: str, cap: int = 10) -> DataFrame:
-    """(group, n, first, headings): how many chunks a group has and its first distinct headings. Two aggregations; the list holds distinct headings only."""
+    """(group, n, first, headings): how many chunks a group has and its first distinct headings; no more than cap of them are ever gathered."""
     first = chunks.groupBy(group, heading).agg(F.min(order).alias("at"), F.count("*").alias("n"))
-    named = F.transform(F.slice(F.sort_array(F.collect_list(F.when(F.col(heading).isNotNull(), F.struct("at", heading)))), 1, cap), lambda x: x[heading])
-    return first.groupBy(group).agg(F.sum("n").alias("n"), F.min("at").alias("first"), named.alias("headings"))
+    w = Window.partitionBy(group).orderBy(F.col(heading).isNull(), "at", heading)
+    placed = first.withColumn("place", F.row_number().over(w))
+    named = F.transform(F.array_sort(F.collect_list(F.when(F.col(heading).isNotNull() & (F.col("place") <= cap), F.struct("at", heading)))), lambda x: x[heading])
+    return placed.groupBy(group).agg(F.sum("n").alias("n"), F.min("at").alias("first"), named.alias("headings"))
+
+
+def chapters(chunks: DataFrame, pub: str, chapter: str, order: str, general: str = "(General)", least: int = 3) -> DataFrame:
+    """(pub, chapter, n, first): the chapters of each publication with their chunks; those of no chapter are one of that name, if there are enough."""
+    named = chunks.withColumn("chapter", F.coalesce(F.nullif(chapter, F.lit("")), F.lit(general)))
+    return named.groupBy(pub, "chapter").agg(F.count("*").alias("n"), F.min(order).alias("first")).filter((F.col("chapter") != general) | (F.col("n") >= least))
 
 
 def hashed_vector(words: Column, size: int = 64) -> Column:
@@ -32,37 +45,86 @@ def hashed_vector(words: Column, size: int = 64) -> Column:
     return F.transform(count, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
 
 
-def topics_of(texts: DataFrame, terms: DataFrame, text_col: str, most: int = 7) -> DataFrame:
+def topics_of(texts: DataFrame, terms: DataFrame, text_col: str, most: int = 7, listed: int = 5000) -> DataFrame:
     """texts with the topics whose terms (topic, term) occur in them, by the number of terms found, at most so many.
 
-    Terms are a dimension of bounded size, which stands as one array inside the expression, so no text is copied for a join.
-    """
-    listed = [(r["topic"], r["term"].lower()) for r in terms.select("topic", "term").distinct().orderBy("topic", "term").limit(5001).collect()]
-    if len(listed) > 5000:
-        raise ValueError("more than 5000 terms: join texts by their words instead")
+    Up to so many terms stand as arrays inside the expression, so no text is copied for a join. Of more, each is looked up by its first word among the words of the texts."""
+    rows = terms.select("topic", F.lower("term").alias("term")).distinct()
+    few = rows.orderBy("topic", "term").limit(listed + 1).collect()
     lower = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    if len(few) > listed:
+        return _topics_by_word(texts, rows, lower, most)
     by_topic: dict[str, list[str]] = {}
-    for topic, term in listed:
-        by_topic.setdefault(topic, []).append(term)
+    for r in few:
+        by_topic.setdefault(r["topic"], []).append(r["term"])
     found = [F.struct((-sum((lower.contains(t).cast("int") for t in ts), F.lit(0))).alias("n"), F.lit(topic).alias("topic")) for topic, ts in by_topic.items()]
     ranked = F.array_sort(F.filter(F.array(*found), lambda x: x.n < 0)) if found else F.array().cast("array<struct<n:int,topic:string>>")
     return texts.withColumn("topics", F.transform(F.slice(ranked, 1, most), lambda x: x.topic))
 
 
+def _topics_by_word(texts: DataFrame, terms: DataFrame, lower: Column, most: int) -> DataFrame:
+    """Each term is looked up by its longest word among all pieces of that length of the texts' words, and then in the whole text. Terms without a letter or digit are not found."""
+    words = lambda c: F.filter(F.split(c, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    keyed = terms.withColumn("key", F.coalesce(F.get(F.array_sort(words(F.col("term")), lambda a, b: F.length(b) - F.length(a)), F.lit(0)), F.lit("")))
+    size = keyed.filter("key <> ''").select(F.length("key").alias("size")).distinct()
+    sizes = [r["size"] for r in size.collect()]  # lengths of words, a handful
+    rows = stored(texts.withColumn("_row", F.monotonically_increasing_id())).withColumn("_low", lower)
+    none = F.array().cast("array<string>")
+
+    def pieces_of(n: int) -> Column:
+        cut = lambda w: F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substr(w, i, F.lit(n)))).otherwise(none)
+        return F.flatten(F.transform(words(F.col("_low")), cut))
+
+    pieces = F.array_distinct(F.flatten(F.array(*map(pieces_of, sizes)))) if sizes else none
+    met = rows.select("_row", "_low", F.explode(pieces).alias("key")).join(keyed.filter("key <> ''"), "key").filter(F.contains("_low", "term")).groupBy("_row", "topic").agg(F.count_distinct("term").alias("n"))
+    ranked = met.withColumn("r", F.row_number().over(Window.partitionBy("_row").orderBy(F.desc("n"), "topic"))).filter(F.col("r") <= most)
+    listed = ranked.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "topic"))), lambda x: x.topic).alias("topics"))
+    return rows.join(listed, "_row", "left").drop("_row", "_low").withColumn("topics", F.coalesce("topics", F.array().cast("array<string>")))
+
+
+def embedded(chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]], dimension: int, text: str = "text", vector: str = "embedding", batch: int = 256, tries: int = 3, force: bool = False) -> DataFrame:
+    """chunks with vectors from a client where they have none (or, with force, for all), batch texts a call, each call tried so often. Vectors of another dimension are an error."""
+    ask = F.lit(True) if force else F.col(vector).isNull()
+
+    def each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for array in batches:
+            texts = array.to_pylist()
+            at = [i for i, t in enumerate(texts) if t is not None]
+            out: list = [None] * len(texts)
+            for i in range(0, len(at), batch):
+                for left in reversed(range(tries)):
+                    try:
+                        got = embed([texts[j] for j in at[i : i + batch]])
+                        break
+                    except Exception:
+                        if not left:
+                            raise
+                for j, v in zip(at[i : i + batch], got, strict=True):
+                    if len(v) != dimension:
+                        raise ValueError(f"a vector of {len(v)} numbers instead of {dimension}")
+                    out[j] = v
+            yield pa.array(out, pa.list_(pa.float32()))
+
+    made = F.arrow_udf(each, "array<float>").asNondeterministic()(F.when(ask, F.coalesce(F.col(text), F.lit(""))))
+    return chunks.withColumn("_made", made).withColumn(vector, F.coalesce("_made", F.col(vector).cast("array<float>"))).drop("_made")
+
+
 def review_scores(reviews: DataFrame, category: str, correct: str) -> DataFrame:
     """Share of correct rows by category; systematic where three or more were reviewed and under half are right. Unreviewed rows (null) don't count."""
     per = reviews.filter(F.col(correct).isNotNull()).groupBy(category).agg(F.count("*").alias("n"), F.round(F.avg(F.col(correct).cast("int")), 6).alias("rate"))
     return per.withColumn("systematic", (F.col("n") >= 3) & (F.col("rate") < 0.5))
 
 
-def judge_report(scores: DataFrame, slices: list[str], dimensions: list[str], passed: Column) -> DataFrame:
-    """Means of judge scores over rows that have them and the pass rate over all rows, in all and by each slice, in one aggregation."""
+def judge_report(scores: DataFrame, slices: list[str], dimensions: list[str], passed: Column, extremes: bool = False) -> DataFrame:
+    """Means (and extremes) of judge scores over rows that have them and the pass rate over all rows, in all and by each slice, in one aggregation."""
     sets = scores.groupingSets([[], *([F.col(s)] for s in slices)], *(F.col(s) for s in slices))
     means = [F.round(F.avg(d), 6).alias(f"mean_{d}") for d in dimensions]
-    return sets.agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce(passed, F.lit(False)).cast("int")), 6).alias("pass_rate"), *means)
+    ends = [f(d).alias(f"{n}_{d}") for d in dimensions for n, f in (("min", F.min), ("max", F.max))] if extremes else []
+    return sets.agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce(passed, F.lit(False)).cast("int")), 6).alias("pass_rate"), *means, *ends)
 
 
-def missed(expected: DataFrame, retrieved: DataFrame, question: str, item: str) -> DataFrame:
-    """(item, n, questions): expected items that their question's results lack, with those questions in order."""
+def missed(expected: DataFrame, retrieved: DataFrame, question: str, item: str, most: int = 1000) -> DataFrame:
+    """(item, n, questions): expected items that their question's results lack, how often, and the first of those questions in order, at most so many."""
     gone = expected.select(question, item).distinct().join(retrieved.select(question, item), [question, item], "left_anti")
-    return gone.groupBy(item).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(question)).alias("questions"))
+    placed = gone.withColumn("place", F.row_number().over(Window.partitionBy(item).orderBy(question)))
+    return placed.groupBy(item).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("place") <= most, F.col(question)))).alias("questions"))

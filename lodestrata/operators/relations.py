@@ -9,14 +9,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def upsert(base: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
-    """base with the rows of delta in place of those with their keys; null keys never match. One shuffle of either side by key."""
-    rest = base.join(delta.select(*keys), keys, "left_anti")
-    return rest.unionByName(delta)
+def last_rows(rows: DataFrame, keys: list[str], order: Column | None = None) -> DataFrame:
+    """One row for each key: the greatest in order (by default in all columns). Rows with a null among their keys all stay."""
+    whole = reduce(and_, (F.col(k).isNotNull() for k in keys))
+    own = F.struct(*rows.columns)
+    return rows.filter(whole).groupBy(*keys).agg(F.max_by(own, order if order is not None else own).alias("r")).select("r.*").unionByName(rows.filter(~whole))
+
+
+def upsert(base: DataFrame, delta: DataFrame, keys: list[str], columns: list[str] | None = None, order: Column | None = None, insert: bool = True) -> DataFrame:
+    """base with the rows of delta in place of those with their keys, and the other rows of delta after them. Of delta's rows with one key the greatest in order counts; null keys never match.
+
+    columns: rows that are there keep all but these, and rows that come new have null in what delta lacks. insert: whether new rows come at all. One shuffle of either side by key."""
+    delta = last_rows(delta, keys, order)
+    if columns is None:
+        rest = base.join(delta.select(*keys), keys, "left_anti")
+        return rest.unionByName(delta if insert else delta.join(base.select(*keys).distinct(), keys, "left_semi"))
+    news = delta.select(*keys, F.struct(*columns).alias("_new"))
+    kept = base.join(news, keys, "left").select(*(F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in base.columns))
+    return kept.unionByName(delta.join(base.select(*keys), keys, "left_anti"), allowMissingColumns=True) if insert else kept
 
 
 def insert_if_absent(base: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
-    return base.unionByName(delta.join(base.select(*keys), keys, "left_anti"))
+    return base.unionByName(last_rows(delta, keys).join(base.select(*keys), keys, "left_anti"))
+
+
+def append_log(rows: DataFrame, path: str, at: Column | None = None) -> None:
+    """rows appended to a table that only grows, with the time that they were logged."""
+    rows.withColumn("logged_at", F.current_timestamp() if at is None else at).write.mode("append").parquet(path)
 
 
 def latest_flag(rows: DataFrame, keys: list[str], version: str, out: str = "is_current") -> DataFrame:
@@ -52,8 +71,23 @@ def gate(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
 
 
 def coverage_gaps(left: DataFrame, right: DataFrame, present: DataFrame) -> DataFrame:
-    """Pairs of the rows of two small dimensions that present doesn't hold."""
-    return left.crossJoin(right).join(present, [*left.columns, *right.columns], "left_anti")
+    """Pairs of the rows of two dimensions that present doesn't hold. All pairs are wanted of it, so the smaller side must be small: 10,000 rows at most."""
+    few = min((left, right), key=lambda d: d.limit(10_001).count())
+    if few.limit(10_001).count() > 10_000:
+        raise ValueError("both sides have more than 10,000 rows")
+    pairs = left.crossJoin(F.broadcast(right)) if few is right else right.crossJoin(F.broadcast(left))
+    return pairs.select(*left.columns, *right.columns).join(present, [*left.columns, *right.columns], "left_anti")
+
+
+def parse_summary(rows: DataFrame, reason: str = "reject_reason") -> DataFrame:
+    """One row: total, good, rejected, and the share that is good (0 of none)."""
+    good = F.count_if(F.col(reason).isNull())
+    return rows.agg(F.count("*").alias("total"), good.alias("good"), (F.count("*") - good).alias("rejected"), F.coalesce(F.round(F.try_divide(good, F.count("*")), 6), F.lit(0.0)).alias("success_rate"))
+
+
+def changes(diff: DataFrame) -> DataFrame:
+    """How many rows of version_diff are of each kind."""
+    return diff.groupBy("change_type").agg(F.count("*").alias("n"))
 
 
 def all_of(*columns: Column) -> Column:

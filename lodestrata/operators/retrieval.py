@@ -11,6 +11,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,19 +66,26 @@ def _best_by_block(queries: DataFrame, corpus: DataFrame, k: int, facet: str | N
     return reduce(DataFrame.unionByName, found)
 
 
-def _matrix(vectors, size: int | None = None) -> np.ndarray:
-    """Vectors of length one as rows; those that are null or have no length are zero."""
-    size = size or max((len(v) for v in vectors if v is not None), default=0)
-    m = np.array([np.zeros(size) if v is None else np.asarray(v, float) for v in vectors]).reshape(len(vectors), size)
+def _matrix(vectors: pa.Array, size: int | None = None) -> np.ndarray:
+    """Vectors of length one as rows; those that are null or have no length are zero. Nulls inside a vector count 0. Vectors of another size than the first (or than size) are an error."""
+    vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+    size = int(sizes.max(initial=0)) if size is None else size
+    m = np.zeros((len(vectors), size))
+    there = sizes > 0
+    if ((sizes != size) & there & (size > 0)).any():
+        raise ValueError(f"a vector of {sizes[(sizes != size) & there][0]} numbers among vectors of {size}")
+    if there.any() and size:
+        m[there] = np.nan_to_num(pc.fill_null(pc.list_flatten(vectors).cast(pa.float64()), 0).to_numpy(zero_copy_only=False).reshape(-1, size))
     norm = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
 def _best_by_task(queries: DataFrame, corpus: DataFrame, k: int, facet: str | None, same: bool) -> DataFrame:
     label = F.coalesce(F.concat(F.lit("="), F.col(facet).cast("string")), F.lit("")) if facet else F.lit("")  # null is no text
-    asked = queries.select("qid", "qvec", (label if same else F.lit("")).alias("facet")).toPandas()
-    qids, q = asked["qid"].to_numpy(), _matrix(asked["qvec"].tolist())
-    qfacets = asked["facet"].to_numpy() if facet and same else None
+    asked = queries.select("qid", "qvec", (label if same else F.lit("")).alias("facet")).toArrow()
+    qids, q = asked["qid"].to_numpy(), _matrix(asked["qvec"])
+    qfacets = asked["facet"].to_pandas().to_numpy() if facet and same else None
     step = max(1, (1 << 22) // max(1, len(qids)))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +93,8 @@ def _best_by_task(queries: DataFrame, corpus: DataFrame, k: int, facet: str | No
             for i in range(0, batch.num_rows, step):
                 part = batch.slice(i, step).sort_by("id")
                 ids, facets = part["id"].to_numpy(), part["facet"].to_numpy(zero_copy_only=False)
-                scores = np.round(_matrix(part["vec"].to_pylist(), q.shape[1]) @ q.T, 6)
+                own = _matrix(part["vec"], q.shape[1] or None)
+                scores = np.round(own @ q.T, 6) if q.shape[1] else np.zeros((len(own), len(qids)))
                 scores[ids[:, None] == qids[None, :]] = -np.inf
                 found = [_best(scores, np.flatnonzero(facets == f), k, None if qfacets is None else np.flatnonzero(qfacets == f)) for f in np.unique(facets)]
                 rows, columns = (np.concatenate([x[n] for x in found]) for n in (0, 1))
@@ -100,15 +109,16 @@ def _best_by_task(queries: DataFrame, corpus: DataFrame, k: int, facet: str | No
 def _best(scores: np.ndarray, rows: np.ndarray, k: int, columns: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Rows and columns of the k best of some rows in each column; of equal scores the first rows."""
     columns = np.arange(scores.shape[1]) if columns is None else columns
-    out_r, out_c = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for c in columns:
-        s = scores[rows, c]
-        near = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k]) if len(s) > k else np.arange(len(s))
-        near = near[np.argsort(-s[near], kind="stable")][:k]
-        near = near[np.isfinite(s[near])]
-        out_r.append(rows[near])
-        out_c.append(np.full(len(near), c))
-    return np.concatenate(out_r), np.concatenate(out_c)
+    if not len(rows) or not len(columns):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    s = scores[np.ix_(rows, columns)].T
+    least = np.partition(s, len(rows) - k, axis=1)[:, len(rows) - k, None] if len(rows) > k else np.full((len(columns), 1), -np.inf)
+    c, r = np.nonzero(np.isfinite(s) & (s >= least))
+    order = np.lexsort((r, -s[c, r], c))
+    c, r = c[order], r[order]
+    place = np.arange(len(c)) - np.searchsorted(c, c)  # within its column
+    kept = place < k
+    return rows[r[kept]], columns[c[kept]]
 
 
 def fit_cells(corpus: DataFrame, cells: int, sample: int = 20_000, seed: int = 42) -> list[list[float]]:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MARK = "\x01"
@@ -13,9 +14,18 @@ SKIPPED = ("script", "style", "nav", "head", "footer")
 TARGET, OVERLAP, HARD = 400, 50, 512
 
 
+TITLE = r"(?i)<title>([^<]+)</title>"
+
+
+def titles(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
+    """(id, title, html_hash) of web pages; without a title it is empty."""
+    html = F.coalesce(F.col(html_col), F.lit(""))
+    return pages.select(id_col, F.trim(F.regexp_extract(html, TITLE, 1)).alias("title"), F.sha2(html, 256).alias("html_hash"))
+
+
 def sections(pages: DataFrame, id_col: str, html_col: str, headings: tuple[str, ...] = ("h2", "h3", "h4")) -> DataFrame:
     """(id, sequence, level, anchor, heading, text): one row for each heading of a page and what stands before the first, with the text of the
-    paragraphs under it. All within a row of pages, without a shuffle. A null page has no sections."""
+    paragraphs under it, and above, the heading of the first level over it. All within a row of pages, without a shuffle. A null page has no sections."""
     clean = F.col(html_col)
     for tag in SKIPPED:
         clean = F.regexp_replace(clean, rf"(?is)<{tag}\b.*?</{tag}>", "")
@@ -50,7 +60,7 @@ def _split_long(paragraph: str, hard: int) -> list[str]:
     if len(paragraph.split()) <= hard:
         return [paragraph]
     out: list[str] = []
-    for sentence in paragraph.replace(". ", ".\n").split("\n"):
+    for sentence in re.split(r"(?<=[.!?])\s+", paragraph):
         words = sentence.split()
         for i in range(0, len(words), hard):
             out.append(" ".join(words[i : i + hard]))
@@ -71,5 +81,8 @@ def _chunks(delimiter: str, target: int, overlap: int, hard: int):
 
 
 def chunks(text: Column | str, delimiter: str = "\n\n", target: int = TARGET, overlap: int = OVERLAP, hard: int = HARD) -> Column:
-    """array<struct<text, tokens>> of the chunks of a text; tokens are words. Packing is a walk over the paragraphs, so it runs in Python, in Arrow batches."""
-    return F.arrow_udf(_chunks(delimiter, target, overlap, hard), "array<struct<text:string,tokens:int>>")(text)
+    """array<struct<text, tokens>> of the chunks of a text; tokens are words. Packing is a walk over the paragraphs, so it runs in Python, in Arrow batches of at most 8 MB unless the session sets its own bound."""
+    spark, key = SparkSession.active(), "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, "8m")
+    return F.arrow_udf(_chunks(delimiter, target, overlap, hard), "array<struct<text:string,tokens:int>>").asNondeterministic()(text)

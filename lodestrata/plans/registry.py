@@ -27,5 +27,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-for _module in ("relational", "retrieval", "text", "rules", "events", "knowledge"):
+for _module in ("relational", "retrieval", "text", "rules", "events", "knowledge", "questions", "gates", "curation", "documents"):
     import_module(f"lodestrata.plans.{_module}")

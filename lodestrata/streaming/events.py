@@ -35,11 +35,27 @@ def first_seen(events: DataFrame, keys: list[str], late: str, ts: str = "ts") ->
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
+def running(events: DataFrame, key: str, value: str = "value") -> DataFrame:
+    """(key, n, total, highest) for each key in every micro-batch that has events of it: counts and sums since the stream began, kept as the key's state."""
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def each(k: tuple, frames, state: GroupState):
+        import pandas as pd
+
+        n, total, highest = state.get if state.exists else (0, 0.0, float("-inf"))
+        for frame in frames:
+            n, total, highest = n + len(frame), total + float(frame[value].fillna(0).sum()), max(highest, float(frame[value].fillna(float("-inf")).max()))
+        state.update((n, total, highest))
+        yield pd.DataFrame({key: [k[0]], "n": [n], "total": [total], "highest": [highest]})
+
+    kind = dict(events.dtypes)[key]
+    return events.select(key, F.col(value).cast("double").alias(value)).groupBy(key).applyInPandasWithState(each, f"{key} {kind}, n bigint, total double, highest double", "n bigint, total double, highest double", "update", GroupStateTimeout.NoTimeout)
+
+
 def upsert_stream(stream: DataFrame, read_base, write_base, keys: list[str], order: Column) -> DataStreamWriter:
     """Each micro-batch replaces the rows of its keys in a table; of repeated keys the greatest in order wins. read_base() and write_base(df) give the table's versions."""
 
     def apply(batch: DataFrame, _: int) -> None:
-        last = batch.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
-        write_base(upsert(read_base(), last, keys))
+        write_base(upsert(read_base(), batch, keys, order=order))
 
     return stream.writeStream.foreachBatch(apply)
