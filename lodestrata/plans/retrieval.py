@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.operators import retrieval as R
+from lodestrata.operators.stored import stored
 
 from .registry import query, table
 
@@ -37,7 +38,7 @@ def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Benchmark passages as questions: the ranking by BM25, that by the share of words found, and the documents."""
     docs = table(spark, sf_dir, "documents")
-    found = R.bm25(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text"), docs.select(F.col("doc_id").alias("id"), "text"))
+    found = stored(R.bm25(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text"), docs.select(F.col("doc_id").alias("id"), "text"), 10))
     return R.top(found.select("qid", "id", "score"), 10), R.top(found.select("qid", "id", (F.col("matched") / F.col("terms")).alias("score")), 10), docs
 
 
