@@ -155,10 +155,12 @@ def graph_two_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EDGES = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "b"), ("d", "e"), ("e", "f"), ("x", "y")]
 
 
-@query("WITH RECURSIVE e(src, dst) AS (VALUES " + ", ".join(str(e) for e in _EDGES) + "), w AS (SELECT src AS start, dst AS node, 1 AS depth FROM e UNION SELECT w.start, e.dst, depth + 1 FROM w JOIN e ON w.node = e.src WHERE depth < 4) SELECT start, node, min(depth) AS depth FROM w GROUP BY ALL")
+@query("WITH RECURSIVE e(src, dst) AS (VALUES " + ", ".join(str(e) for e in _EDGES) + " UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation), w AS (SELECT src AS start, dst AS node, 1 AS depth FROM e UNION SELECT w.start, e.dst, depth + 1 FROM w JOIN e ON w.node = e.src WHERE depth < 4) SELECT start, node, min(depth) AS depth FROM w GROUP BY ALL")
 def graph_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each node of a graph with a cycle reaches in at most four steps."""
-    return graph.reach(spark.createDataFrame(_EDGES, "src string, dst string"), 4)
+    """What each node reaches in at most four steps: customers, nations and regions, and a graph with a cycle."""
+    named = lambda c, a, k, b, v: table(spark, sf_dir, c).select(F.concat(F.lit(a), F.col(k).cast("string")).alias("src"), F.concat(F.lit(b), F.col(v).cast("string")).alias("dst"))
+    edges = spark.createDataFrame(_EDGES, "src string, dst string").unionByName(named("customer", "c", "c_custkey", "n", "c_nationkey")).unionByName(named("nation", "n", "n_nationkey", "r", "n_regionkey"))
+    return graph.reach(edges, 4)
 
 
 @query("SELECT o_custkey, round(len(list_intersect(a, b)) / nullif(len(a), 0), 6) AS precision, round(len(list_intersect(a, b)) / nullif(len(b), 0), 6) AS recall FROM (SELECT o_custkey, coalesce(list(DISTINCT o_orderpriority) FILTER (o_orderstatus = 'O'), []) AS a, coalesce(list(DISTINCT o_orderpriority) FILTER (o_orderstatus = 'F'), []) AS b FROM orders GROUP BY o_custkey)")

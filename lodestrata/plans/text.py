@@ -25,9 +25,12 @@ _HEADINGS = [("What's New", ""), ("Reminders", ""), ("Line 1a", "Income"), ("Wag
 _SECTION_SQL = "CASE " + " ".join("WHEN " + {"own": "regexp_matches(h, {0})", "above": "regexp_matches(a, {0})", "both": "regexp_matches(a, {0}) OR regexp_matches(h, {0})"}[w].format(_q(p)) + f" THEN {_q(n)}" for n, p, w in classify.SECTIONS) + " ELSE 'GENERAL' END"
 
 
-@query(f"SELECT h, {_SECTION_SQL} AS section_type FROM (VALUES {', '.join(f'({_q(h)}, {_q(a)})' for h, a in _HEADINGS)}) v(h, a)")
+@query(f"WITH v(h, a) AS (VALUES {', '.join(f'({_q(h)}, {_q(a)})' for h, a in _HEADINGS)} UNION ALL SELECT left(coalesce(text, ''), 60), coalesce(role, '') FROM conversations) SELECT {_SECTION_SQL} AS section_type, count(*) AS n, min(h) AS first FROM v GROUP BY 1")
 def section_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(_HEADINGS, "h string, a string").select("h", classify.section_type(F.col("h"), F.col("a")).alias("section_type"))
+    """Turns of conversations as headings, and headings of every type."""
+    turns = table(spark, sf_dir, "conversations").select(F.left(F.coalesce("text", F.lit("")), F.lit(60)).alias("h"), F.coalesce("role", F.lit("")).alias("a"))
+    rows = spark.createDataFrame(_HEADINGS, "h string, a string").unionByName(turns)
+    return rows.groupBy(classify.section_type(F.col("h"), F.col("a")).alias("section_type")).agg(F.count("*").alias("n"), F.min("h").alias("first"))
 
 
 _REFS = [(1, "See Form 1040 and Schedule C, line 12a; Form W-2 and form 1040 again."), (2, "Pub. 596 and Publication. 17, lines 3"), (3, "nothing")]
@@ -73,7 +76,12 @@ def range_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.groupBy("conv_id", F.expr("i DIV greatest(2, n DIV 6)").alias("part")).agg(F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.count("*").alias("n"))
 
 
-@query("SELECT category, count(*) AS n FROM (SELECT CASE WHEN contains(t, 'limit') OR contains(t, 'threshold') THEN 'income_limits' WHEN contains(t, 'must be attached') THEN 'required_attachments' ELSE 'other' END AS category FROM (VALUES ('the limit'), ('must be attached'), ('plain'), ('threshold')) v(t)) GROUP BY category")
+_RULE_TEXTS = ["the limit is here", "must be attached", "plain", "a threshold", "HSA and 401k", "total must equal", "see Form 8960", "requires Schedule D", "sum of all"]
+_CATEGORY_SQL = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(t, {_q(k.lower())})" for k in keys) + f" THEN {_q(n)}" for n, keys in classify.CATEGORIES) + " ELSE 'other' END"
+
+
+@query(f"WITH r AS (SELECT lower(coalesce(text, '')) || ' ' AS t FROM documents UNION ALL SELECT lower(x) || ' ' FROM (VALUES {', '.join(f'({_q(x)})' for x in _RULE_TEXTS)}) v(x)) SELECT {_CATEGORY_SQL} AS category, count(*) AS n FROM r GROUP BY 1")
 def rule_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("the limit",), ("must be attached",), ("plain",), ("threshold",)], "t string")
+    """Documents as texts of rules, and texts of every category."""
+    rows = spark.createDataFrame([(x,) for x in _RULE_TEXTS], "t string").unionByName(table(spark, sf_dir, "documents").select(F.col("text").alias("t")))
     return rows.groupBy(classify.rule_category(F.col("t"), F.lit("")).alias("category")).agg(F.count("*").alias("n"))
