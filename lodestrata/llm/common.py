@@ -27,10 +27,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """df written once to the shared folder and read back: cuts the lineage, and a lost executor costs no recomputation."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -88,6 +88,12 @@ def labelled_sample(labels: DataFrame, label: str, per_class: int, id_col: str =
     return side(0).unionByName(side(1))
 
 
+def class_weights(labels: DataFrame, label: str, sampled: dict[int, int]) -> dict[int, float]:
+    """How many labelled rows each row of a sample stands for, by class: 1 where the bound took none away."""
+    n = {r["c"]: r["count"] for r in labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy(F.col(label).cast("int").alias("c")).count().collect()}
+    return {c: max(1.0, n.get(c, 0) / k) for c, k in sampled.items() if k}
+
+
 def learnable(labels: DataFrame, folds: int, held: int) -> DataFrame:
     """The rows of labels outside the held-out fold."""
     return labels.filter(fold("doc_id", folds) != held)

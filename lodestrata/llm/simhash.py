@@ -1,27 +1,31 @@
 """SimHash near-duplicates through an inverted index over byte positions with count filtering.
 
-A 64-bit fingerprint has eight positional bytes. Two fingerprints that differ in at most BITS = 2 bits share at least 8 - 2 = 6 of them, so the
-index needs only lists under which any two fingerprints that share six positions meet: with the positions in four blocks of two bytes, any two
-of the blocks (six lists for each fingerprint). Single-byte lists would each hold 1/256 of the corpus and their pairs would grow with its
-square. Pairs that meet in a list have their shared positional bytes tallied, those with six or more are kept, and the differing bits of what
-is left are counted.
+A 64-bit fingerprint has eight positional bytes. Two fingerprints that differ in at most BITS = 2 bits share at least six of them. Lists of single
+bytes would each hold 1/256 of the corpus and their pairs would grow with its square, so the index keeps lists of four positional bytes: the 14 sets
+of four positions out of eight that any three positions are in once (those whose numbers have an exclusive or of zero). Of these sets, three lie within
+any six positions, one at most within five, none or one in four; so the hits of a pair in the lists tally its shared bytes: three or more mean six bytes
+or more. Pairs with that guaranteed minimum of hits are kept, and the differing bits of what is left are counted.
 
 Lists longer than LIST (large groups of near copies) are not paired. Their members are linked exactly by another way: two fingerprints differ in
 at most two bits if and only if some value is within one bit of both, so each member names itself and its 64 one-bit neighbours, and members
-that name the same value are linked to the least of them. No value can be named by more than 65 fingerprints.
+that name the same value are linked to the least of them. No value can be named by more than 65 fingerprints. A pair that meets in such a list is
+linked there if at all; for any other pair all lists in which it meets are tallied.
 
 Copies have one fingerprint and enter the index once. Nulls: a null text is the empty text, with fingerprint zero, linked like any other; rows with
 a null id get a fingerprint and the component of that fingerprint (null if no row of the component has an id). Repeated rows are each returned.
 
 near_classes links texts whose sets of word shingles have a Jaccard similarity of so much, all such pairs and no others. Two sets that similar share
 one of their first n - ceil(similarity * n) + 1 shingles in any order that is common to all, so lists of those alone miss no pair. The order is by
-hash, with the FREQUENT most frequent shingles of a bounded sample last; it settles how long lists get and never what is found. SimHash links and the
-ends of each list are verified first; after that only members of a list that are not connected yet are paired, and each pair is verified.
+hash, with the FREQUENT most frequent shingles of a bounded sample last; it settles how long lists get and never what is found. The hits of a pair in the
+lists are tallied here too: pairs with too few to be similar enough end there, as do, before that, those whose marks (a parity of hashes) differ in more
+places than similar sets have elements to differ in: passages that many texts share make no pairs. SimHash links and the ends of each list are verified first; after that only members of a list that are not connected yet are paired, and each pair left is verified on the sets of both
+texts, which are made anew from the texts: sets of 64-bit hashes take more room than the texts they are of, so none is written or shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -35,7 +39,7 @@ from .common import arrow_column, drop_written, fresh, written
 from .components import components
 
 WORDS, BITS, LIST, BLOCK = 3, 2, 64, 1 << 15
-SEED, SAMPLE, FREQUENT, FEW = 42, 2_000, 20_000, 500_000
+SEED, SAMPLE, FREQUENT, FEW, MARKS = 42, 2_000, 20_000, 500_000, 256
 
 
 def _hashes(text: bytes, words: int) -> Iterator[np.ndarray]:
@@ -74,53 +78,81 @@ def simhash(text: Column | str) -> Column:
     return arrow_column(_fingerprints, "bigint", text)
 
 
-def _shingled(words: int):
+def _set(text: bytes, words: int) -> np.ndarray:
+    """The hashes of a text's shingles, each once, in order."""
+    blocks = list(_hashes(text, words))
+    return np.unique(np.concatenate(blocks)).view(np.int64) if blocks else np.zeros(0, np.int64)
+
+
+def _least(sizes: np.ndarray | int, similarity: float):
+    """The least that a set of so many shares with one that is similar enough."""
+    return np.ceil(similarity * sizes - 1e-9).astype(int)
+
+
+def _digests(words: int, similarity: float, frequent: np.ndarray):
+    """Of each text: a name of its set of shingles, its SimHash, the size of the set, those shingles of which any similar set has one among its own, and marks:
+    for each of MARKS remainders of a hash whether an odd number of the shingles has it. Marks of two sets differ in no more places than the sets have elements that the other lacks."""
+
     def each(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for array in texts:
-            prints, sets = [], []
+            names, prints, sizes, first, marks = [], [], [], [], []
             for t in pc.fill_null(array, "").cast(pa.binary()):
                 blocks = list(_hashes(t.as_py(), words))
+                h = np.unique(np.concatenate(blocks)).view(np.int64) if blocks else np.zeros(0, np.int64)
+                late = np.isin(h, frequent)
+                names.append(xxhash.xxh3_128_digest(h.tobytes()))
                 prints.append(_majority(blocks))
-                sets.append(np.unique(np.concatenate(blocks)).view(np.int64) if blocks else np.zeros(0, np.int64))
-            yield pa.StructArray.from_arrays([pa.array(prints, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["fp", "shingles"])
+                sizes.append(len(h))
+                first.append(np.concatenate((h[~late], h[late]))[: len(h) - int(_least(np.int64(len(h)), similarity)) + 1])
+                odd = np.bincount((h & (MARKS - 1)).astype(np.int64), minlength=MARKS) & 1
+                marks.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
+            columns = ((names, pa.binary()), (prints, pa.int64()), (sizes, pa.int32()), (first, pa.list_(pa.int64())), (marks, pa.list_(pa.int64())))
+            yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in columns], ["class", "fp", "n", "first", "marks"])
 
     return each
 
 
-def shingled(text: Column | str, words: int) -> Column:
-    """Struct of the SimHash of a text and the set of its shingles' hashes."""
-    return arrow_column(_shingled(words), "struct<fp:bigint,shingles:array<bigint>>", text)
+def digests(text: Column | str, words: int, similarity: float, frequent: np.ndarray | None = None) -> Column:
+    none = np.zeros(0, np.int64)
+    return arrow_column(_digests(words, similarity, none if frequent is None else frequent), "struct<class:binary,fp:bigint,n:int,first:array<bigint>,marks:array<bigint>>", text)
 
 
-def _first(frequent: np.ndarray, similarity: float):
-    """Of each set the shingles of which any other set that is similar enough has one among its own."""
-
-    def each(sets: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for array in sets:
-            out = []
-            for s in array:
-                h = np.asarray(s.values, np.int64)
-                late = np.isin(h, frequent)
-                out.append(np.concatenate((h[~late], h[late]))[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1])
-            yield pa.array(out, pa.list_(pa.int64()))
+def _shingles(words: int):
+    def each(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for array in texts:
+            yield pa.array([_set(t.as_py(), words) for t in pc.fill_null(array, "").cast(pa.binary())], pa.list_(pa.int64()))
 
     return each
 
 
-def _byte(fp: str, position: int) -> Column:
-    return F.shiftrightunsigned(F.col(fp), 8 * position).bitwiseAND(F.lit(255))
+def _similar(words: int, similarity: float):
+    """Whether two texts are similar enough. Rows come in order of the first text, so that its set is kept."""
 
+    def each(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        text, own = None, np.zeros(0, np.int64)
+        for left, right in pairs:
+            out = []
+            for a, b in zip(*(pc.fill_null(x, "").cast(pa.binary()).to_pylist() for x in (left, right)), strict=True):
+                if a != text:
+                    text, own = a, _set(a, words)
+                other = _set(b, words)
+                both = len(np.intersect1d(own, other, assume_unique=True))
+                out.append(both >= similarity * (len(own) + len(other) - both) - 1e-9)
+            yield pa.array(out, pa.bool_())
+
+    return each
 
-def shared_bytes(a: str, b: str) -> Column:
-    """How many of the eight positional bytes are equal."""
-    return sum(((_byte(a, k) == _byte(b, k)).cast("int") for k in range(8)), F.lit(0))
+
+#: Sets of four of the eight positions, any three of which are in one set; FOUND of them lie within any six positions, and no more than one within five.
+POSITIONS = [p for p in combinations(range(8), 4) if p[0] ^ p[1] ^ p[2] ^ p[3] == 0]
+FOUND = 3
 
 
 def _postings(prints: DataFrame) -> DataFrame:
-    """(key, fp): each fingerprint under its six lists of four positional bytes."""
-    block = lambda k: F.shiftrightunsigned(F.col("fp"), 16 * k).bitwiseAND(F.lit(65535))
-    keys = [F.struct(F.lit(n).alias("list"), F.shiftleft(block(i), 16).bitwiseOR(block(j)).alias("bytes")) for n, (i, j) in enumerate(combinations(range(4), 2))]
-    return prints.select("fp", F.explode(F.array(*keys)).alias("key")).select("fp", "key.*")
+    """(list, bytes, fp): each fingerprint under its lists of four positional bytes."""
+    byte = lambda k: F.shiftrightunsigned(F.col("fp"), 8 * k).bitwiseAND(F.lit(255))
+    four = lambda p: reduce(lambda x, k: F.shiftleft(x, 8).bitwiseOR(byte(k)), p[1:], byte(p[0]))
+    return prints.select("fp", F.posexplode(F.array(*map(four, POSITIONS))).alias("list", "bytes"))
 
 
 def links(prints: DataFrame) -> DataFrame:
@@ -130,10 +162,9 @@ def links(prints: DataFrame) -> DataFrame:
     met = written(_postings(prints).join(sizes, key), "postings")
     drop_written(sizes)
     short = met.filter(F.col("count") <= LIST)
-    pairs = (
-        short.select(*key, F.col("fp").alias("u")).join(short.select(*key, F.col("fp").alias("v")), key).filter("u < v")
-        .filter(shared_bytes("u", "v") >= 8 - BITS).filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= BITS).select("u", "v")
-    )
+    hits = short.select(*key, F.col("fp").alias("u")).join(short.select(*key, F.col("fp").alias("v")), key).filter("u < v")
+    tallied = hits.groupBy("u", "v").agg(F.count("*").alias("hits")).filter(F.col("hits") >= FOUND)
+    pairs = tallied.filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= BITS).select("u", "v")
     crowd = met.filter(F.col("count") > LIST).select("fp").distinct()
     flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << k if k < 63 else -(1 << 63)).cast("long") for k in range(64)))
     named = crowd.select("fp", F.explode(F.transform(flips, lambda f: F.col("fp").bitwiseXOR(f))).alias("value"))
@@ -152,19 +183,19 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return prints.join(written(named.select("fp", "root").join(roots, "root").select("fp", "component_id"), "classes"), "fp")
 
 
-def _of(sets: DataFrame, rows: DataFrame) -> DataFrame:
-    """The sets of some rows; up to FEW rows are sent to the sets, which then stay where they are."""
+def _of(sets: DataFrame, rows: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The sets of some rows, or without them; up to FEW rows are sent to the sets, which then stay where they are."""
     few = rows.limit(FEW + 1).count() <= FEW
-    return sets.join(F.broadcast(rows) if few else rows, "row", "left_semi")
+    return sets.join(F.broadcast(rows) if few else rows, rows.columns, how)
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those pairs (u, v) whose sets (row, shingles) are similar enough."""
+def _alike(pairs: DataFrame, sets: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those pairs (u, v) whose texts are similar enough."""
     nodes = written(pairs.select(F.col("u").alias("row")).unionByName(pairs.select(F.col("v").alias("row"))).distinct(), "nodes")
-    few = written(_of(sets, nodes).select("row", "shingles"), "sets")
-    side = lambda end, name: few.select(F.col("row").alias(end), F.col("shingles").alias(name))
-    sized = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", F.size("a").alias("m"), F.size("b").alias("n"), F.size(F.array_intersect("a", "b")).alias("both"))
-    return sized.filter(F.col("both") >= similarity * (F.col("m") + F.col("n") - F.col("both")) - 1e-9).select("u", "v")
+    few = _of(sets.select("row", "text"), nodes)
+    side = lambda end, name: few.select(F.col("row").alias(end), F.col("text").alias(name))
+    both = pairs.join(side("v", "b"), "v").join(side("u", "a").hint("merge"), "u")
+    return both.select("u", "v", arrow_column(_similar(words, similarity), "boolean", "a", "b").alias("alike")).filter("alike").select("u", "v")
 
 
 def _pair(a: str, b: str) -> list[Column]:
@@ -179,47 +210,61 @@ def _near_prints(sets: DataFrame) -> DataFrame:
     return same.unionByName(ends.select(*_pair("a", "b")))
 
 
-def similar(sets: DataFrame, similarity: float) -> DataFrame:
-    """(u, v) between sets (row, fp, shingles) such that the components of these links are those of all pairs that are similar enough."""
-    share = max(1, sets.count() // SAMPLE)
-    sample = sets.filter(F.pmod(F.xxhash64("row"), F.lit(share)) == 0).select(F.explode("shingles").alias("key")).groupBy("key").count().filter("count >= 4")
-    frequent = np.array([r["key"] for r in sample.orderBy(F.desc("count"), "key").limit(FREQUENT).collect()], np.int64)
-    first = arrow_column(_first(frequent, similarity), "array<bigint>", "shingles")
-    postings = written(sets.select("row", F.size("shingles").alias("n"), first.alias("first")).select("row", "n", F.explode("first").alias("key")), "postings")
+def _frequent(texts: DataFrame, words: int) -> np.ndarray:
+    """Hashes of the shingles that most texts of a sample of about SAMPLE have; FREQUENT at most."""
+    share = max(1, texts.count() // SAMPLE)
+    sample = texts.filter(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).select(F.explode(arrow_column(_shingles(words), "array<bigint>", "text")).alias("key"))
+    top = sample.groupBy("key").count().filter("count >= 4").orderBy(F.desc("count"), "key").limit(FREQUENT).collect()
+    return np.array([r["key"] for r in top], np.int64)
+
+
+def _enough(similarity: float) -> Column:
+    """Whether two sets of n_u and n_v shingles can be similar enough if their first ones have hits in common: what one of them has beyond its first is all that they can share besides."""
+    shared = similarity / (1 + similarity) * (F.col("n_u") + F.col("n_v"))
+    rest = F.greatest(*(F.ceil(similarity * F.col(n) - 1e-9) - 1 for n in ("n_u", "n_v")))
+    return (F.col("hits") + rest >= shared - 1e-6) & (F.least("n_u", "n_v") >= similarity * F.greatest("n_u", "n_v") - 1e-9)
+
+
+def similar(sets: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(u, v) between sets (row, fp, n, first, text) such that the components of these links are those of all pairs that are similar enough."""
+    postings = sets.select("row", "n", F.explode("first").alias("key"))
     shared = written(postings.groupBy("key").count().filter("count > 1").select("key"), "lists")
     met = written(postings.join(shared, "key"), "met")
-    drop_written(postings)
     steps = met.withColumn("step", F.floor(F.log("n") / F.log(F.lit(1.1))))  # so many sizes that any two are alike enough
-    heads = steps.groupBy("key", "step").agg(F.min("row").alias("low"), F.max("row").alias("high"))
-    stars = steps.join(heads, ["key", "step"]).select("row", F.explode(F.array("low", "high")).alias("head")).select(*_pair("row", "head"))
-    easy = written(stars.unionByName(_near_prints(sets)).filter("u <> v").distinct(), "pairs")
-    linked = written(_alike(easy, sets, similarity), "links")
+    own = F.struct("row", "n")
+    heads = steps.groupBy("key", "step").agg(F.min(own).alias("low"), F.max(own).alias("high"))
+    ends = steps.join(heads, ["key", "step"]).select("row", "n", F.explode(F.array_distinct(F.array("low", "high"))).alias("head")).filter("row <> head.row")
+    stars = ends.select(*_pair("row", "head.row"), F.col("n").alias("n_u"), F.col("head.n").alias("n_v")).groupBy("u", "v", F.least("n_u", "n_v").alias("n_u"), F.greatest("n_u", "n_v").alias("n_v")).agg(F.count("*").alias("hits"))
+    easy = written(stars.filter(_enough(similarity)).select("u", "v").unionByName(_near_prints(sets)).filter("u <> v").distinct(), "pairs")
+    linked = written(_alike(easy, sets, words, similarity), "links")
     reached = written(components(linked), "components")
     placed = written(met.join(reached, F.col("row") == F.col("node"), "left").select("key", "row", "n", F.coalesce("component", "row").alias("root")), "placed")
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-    rest = written(placed.join(mixed, "key"), "rest")
-    drop_written(met)
-    drop_written(placed)
-    side = lambda end: rest.select("key", F.col("row").alias(end), F.col("n").alias(f"n_{end}"), F.col("root").alias(f"root_{end}"))
-    alike = F.least("n_u", "n_v") >= similarity * F.greatest("n_u", "n_v") - 1e-9
-    hard = side("u").join(side("v"), "key").filter((F.col("root_u") < F.col("root_v")) & alike).select(*_pair("u", "v")).distinct()
-    return linked.unionByName(_alike(written(hard.join(easy, ["u", "v"], "left_anti"), "pairs"), sets, similarity))
-
-
-def _set_class(shingles: Column) -> Column:
-    return F.xxhash64(shingles)
+    named = [F.get("marks", F.lit(i)).alias(f"m{i}") for i in range(MARKS // 64)]
+    rest = written(placed.join(mixed, "key").join(sets.select("row", *named), "row"), "rest")
+    for table in (shared, met, placed):
+        drop_written(table)
+    side = lambda end: rest.select("key", *(F.col(c).alias(f"{c}_{end}") for c in rest.columns if c != "key")).withColumnRenamed(f"row_{end}", end)
+    apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"m{i}_u").bitwiseXOR(F.col(f"m{i}_v"))) for i in range(MARKS // 64)))
+    close = apart <= (1 - similarity) / (1 + similarity) * (F.col("n_u") + F.col("n_v")) + 1e-6
+    pairs = side("u").join(side("v"), "key").filter((F.col("u") < F.col("v")) & (F.col("root_u") != F.col("root_v")) & close).groupBy("u", "v", "n_u", "n_v").agg(F.count("*").alias("hits"))
+    hard = written(pairs.filter(_enough(similarity)).select("u", "v").join(easy, ["u", "v"], "left_anti"), "pairs")
+    return linked.unionByName(_alike(hard, sets, words, similarity))
 
 
 def near_classes(docs: DataFrame, words: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component_id) as classes has them, with links between similar sets of shingles; fp names the set."""
-    made = docs.select(F.col(id_col).alias("id"), shingled(text_col, words).alias("made")).select("id", "made.*")
-    prints = written(made.withColumn("c", _set_class(F.col("shingles"))).withColumn("row", F.monotonically_increasing_id()), "shingles")
-    each = written(prints.groupBy("c").agg(F.min("id").alias("least"), F.min("row").alias("row")), "distinct")
-    sets = _of(prints.select("row", "fp", "shingles"), each.select("row"))
-    reached = written(components(similar(sets, similarity)), "components")
-    named = each.join(reached, F.col("row") == F.col("node"), "left").select("c", "least", F.coalesce("component", "row").alias("root"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    made = texts.select("id", "text", digests("text", words, similarity, _frequent(texts, words)).alias("made"))
+    prints = written(made.select("id", "text", "made.*").withColumn("row", F.monotonically_increasing_id()), "digests", "zstd")
+    each = written(prints.groupBy("class").agg(F.min("id").alias("least"), F.min("row").alias("row")), "distinct")
+    reached = written(components(similar(_of(prints.drop("id", "class"), each.select("row")), words, similarity)), "components")
+    named = each.join(reached, F.col("row") == F.col("node"), "left").select("class", "least", F.coalesce("component", "row").alias("root"))
     roots = written(named.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
-    return prints.select("id", "c").join(written(named.select("c", "root").join(roots, "root").select("c", "component_id"), "classes"), "c").select("id", F.col("c").alias("fp"), "component_id")
+    found = prints.select("id", "class").join(named.join(roots, "root").select("class", "component_id"), "class")
+    out = written(found.select("id", F.col("class").alias("fp"), "component_id"), "classes")
+    drop_written(prints)
+    return out
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float | None = None) -> DataFrame:
@@ -229,12 +274,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     if similarity is None and words != WORDS:
         raise ValueError("words needs a similarity")
     near = similarity is not None
-    found = written(near_classes(docs, words, similarity, id_col, text_col) if near else classes(docs, id_col, text_col), "classes")
-    kept = found.filter(F.col("id") == F.col("component_id")).groupBy("id").agg(F.count("*").alias("n"))
-    ids = written(kept, "kept")
-    stay = docs.join(ids.select(F.col("id").alias(id_col)).hint("shuffle_hash"), id_col, "left_semi")
-    if not ids.filter("n > 1").isEmpty() or not found.groupBy("id").count().filter("id IS NOT NULL AND count > 1").isEmpty():
-        stay = _one_each(stay, found, id_col, _set_class(shingled(text_col, words).getField("shingles")) if near else simhash(text_col))
+    found = near_classes(docs, words, similarity, id_col, text_col) if near else written(classes(docs, id_col, text_col), "classes")
+    gone = written(found.filter("id <> component_id").select(F.col("id").alias(id_col)).distinct(), "gone")
+    stay = _of(docs.filter(F.col(id_col).isNotNull()), gone, "left_anti")
+    if not found.filter("id IS NOT NULL").groupBy("id").count().filter("count > 1").isEmpty():
+        name = digests(text_col, words, similarity).getField("class") if near else simhash(text_col)
+        stay = _one_each(docs.filter(F.col(id_col).isNotNull()), found, id_col, name)
     return stay.unionByName(docs.filter(F.col(id_col).isNull()))
 
 
