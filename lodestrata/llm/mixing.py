@@ -6,8 +6,9 @@ as the parent's own limit is the sum of theirs, and so went to the parent's sibl
 
 A leaf with quota q and t tokens gives all its documents q div t times (epochs 0, 1, ...) and of one more epoch the longest prefix of at most
 q mod t tokens, in the order of md5("seed:epoch:id"); documents with equal ids come in or stay out together. The prefix is found without sorting
-a leaf: tokens are summed by leaf and the key's first four hex digits, the sums give the bucket in which the budget ends, and only that
-bucket's rows (1/65536 of the leaf) are put in order, which gives the last key that is taken.
+a leaf: tokens are summed by leaf and the key's first four hex digits, those sums by the first two; running sums over the 256 parts of a leaf, and then
+over the 256 buckets of the part in which the budget ends, give the bucket in which it ends, and only that bucket's rows (1/65536 of the leaf) are put
+in order, which gives the last key that is taken. Documents without an id have the hash of their text in the key instead.
 
 DataFrame functions only. Nulls: a null text has no tokens; null domains, languages and sources are the empty name. A leaf without tokens gives all its documents
 once; a leaf of weight zero gives none beside siblings that can use the budget. Other columns pass through untouched; an empty table gives an empty one.
@@ -62,7 +63,7 @@ def quotas(leaves: DataFrame, weights: dict[str, dict[str, int]], budget: int, e
 def plan(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], budget: int | None = None, epochs: int = EPOCHS, seed: int = SEED, tokens: Column | None = None, id_col: str = "doc_id") -> DataFrame:
     """One row for each leaf: its names, quota, whole epochs, and the last key that is taken of the epoch after them (empty: none)."""
     named = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    slim = docs.select(named(domain).alias("domain"), named(F.col("lang")).alias("lang"), named(F.col("source")).alias("source"), F.col(id_col).alias("id"), (word_tokens() if tokens is None else tokens).alias("tokens"))
+    slim = docs.select(named(domain).alias("domain"), named(F.col("lang")).alias("lang"), named(F.col("source")).alias("source"), _name(id_col).alias("id"), (word_tokens() if tokens is None else tokens).alias("tokens"))
     slim = written(slim, "mix-documents")
     leaves = written(slim.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), "mix-leaves")
     total = leaves.agg(F.sum("tokens")).first()[0] or 0
@@ -70,10 +71,12 @@ def plan(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], bu
     given = quotas(leaves, weights, total if budget is None else budget, epochs).withColumn("whole", whole)
     given = written(given.withColumn("rest", F.col("quota") - F.when(F.col("tokens") > 0, F.col("whole") * F.col("tokens")).otherwise(F.lit(0))).drop("tokens"), "mix-quotas")
 
-    keyed = slim.join(given.filter("rest > 0"), list(LEVELS)).withColumn("key", key_of("id", F.col("whole"), seed)).withColumn("bucket", F.substring("key", 1, DIGITS))
+    keyed = slim.join(given.filter("rest > 0"), list(LEVELS)).withColumn("key", key_of(F.col("id"), F.col("whole"), seed)).withColumn("bucket", F.substring("key", 1, DIGITS))
     sums = keyed.groupBy(*LEVELS, "rest", "bucket").agg(F.sum("tokens").alias("tokens"))
-    till = F.sum("tokens").over(Window.partitionBy(*LEVELS).orderBy("bucket"))
-    ends = sums.withColumn("till", till).filter("till > rest").groupBy(*LEVELS).agg(F.min_by(F.struct("bucket", (F.col("till") - F.col("tokens")).alias("before")), "bucket").alias("end"))
+    parts = sums.groupBy(*LEVELS, "rest", F.substring("bucket", 1, DIGITS // 2).alias("part")).agg(F.sum("tokens").alias("tokens"))
+    part = _ends(parts.withColumn("before", F.lit(0)), "part").select(*LEVELS, F.col("end.at").alias("part"), F.col("end.before").alias("before"))
+    inner = sums.withColumn("part", F.substring("bucket", 1, DIGITS // 2)).join(part, [*LEVELS, "part"])
+    ends = _ends(inner, "bucket").select(*LEVELS, F.struct(F.col("end.at").alias("bucket"), F.col("end.before").alias("before")).alias("end"))
     ends = written(ends.select(*LEVELS, F.col("end.bucket").alias("bucket"), F.col("end.before").alias("before")), "mix-ends")
     inside = keyed.join(ends, [*LEVELS, "bucket"]).withColumn("till", F.col("before") + F.sum("tokens").over(Window.partitionBy(*LEVELS, "bucket").orderBy("key")))
     taken = inside.filter("till <= rest").groupBy(*LEVELS).agg(F.max("key").alias("within"))
@@ -85,8 +88,20 @@ def plan(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], bu
     return out
 
 
-def key_of(id_col: str, epoch: Column, seed: int) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.col(id_col).cast("string")))
+def _ends(sums: DataFrame, at: str) -> DataFrame:
+    """Of each leaf the first part at which the running sum of tokens goes over rest, and the sum before it. Rows of a leaf: 256 at most."""
+    till = F.col("before") + F.sum("tokens").over(Window.partitionBy(*LEVELS).orderBy(at))
+    over = sums.withColumn("till", till).filter("till > rest")
+    return over.groupBy(*LEVELS).agg(F.min_by(F.struct(F.col(at).alias("at"), (F.col("till") - F.col("tokens")).alias("before")), at).alias("end"))
+
+
+def _name(id_col: str) -> Column:
+    """The id as text, or for none the hash of the text."""
+    return F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("#"), F.md5(F.coalesce("text", F.lit("")))))
+
+
+def key_of(name: Column, epoch: Column, seed: int) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), name))
 
 
 def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], budget: int | None = None, epochs: int = EPOCHS, seed: int = SEED, tokens: Column | None = None, id_col: str = "doc_id", out: str = "epoch") -> DataFrame:
@@ -94,7 +109,7 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], bud
     d, la, so, last, whole = fresh(docs, *LEVELS, "last", "whole")
     leaf = plan(docs, domain, weights, budget, epochs, seed, tokens, id_col).select(F.col("domain").alias(f"{d}_"), F.col("lang").alias(f"{la}_"), F.col("source").alias(f"{so}_"), F.col("last").alias(last), F.col("whole").alias(whole))
     on = [F.coalesce(c.cast("string"), F.lit("")) == F.col(n) for c, n in ((domain, f"{d}_"), (F.col("lang"), f"{la}_"), (F.col("source"), f"{so}_"))]
-    copies = F.col(whole) + (key_of(id_col, F.col(whole), seed) <= F.col(last)).cast("int")
+    copies = F.col(whole) + (key_of(_name(id_col), F.col(whole), seed) <= F.col(last)).cast("int")
     chosen = docs.join(leaf, on).withColumn(whole, copies).filter(F.col(whole) > 0)
     return chosen.select(*docs.columns, F.explode(F.sequence(F.lit(0), F.col(whole) - 1)).alias(out))
 
