@@ -1,7 +1,7 @@
 """Token ids of whole documents in binary files of independent zstandard frames with a seek table at the end.
 
 A file holds the documents of one range of ids, in order. Ids are little-endian unsigned 32-bit integers, an end id after each document. A frame
-takes documents until it has FRAME ids or more; a longer document is parted over frames of FRAME ids. After the frames stand two skippable frames:
+takes documents until it has FRAME ids or more and ends with the last of them; what is longer than two frames is parted evenly over frames of FRAME ids or more. After the frames stand two skippable frames:
 the directory (ids, null marks and token counts of the documents) and the seek table of the public zstd seekable format, with the low 32 bits of
 XXH64 of each frame's content as its checksum. A reader that wants some documents decompresses the frames they are in and checks those.
 
@@ -55,8 +55,8 @@ class Writer:
     def _flush(self) -> None:
         if self.waiting:
             tokens = np.concatenate(self.held)
-            for i in range(0, len(tokens), FRAME):
-                self._frame(tokens[i : i + FRAME])
+            for part in np.array_split(tokens, max(1, len(tokens) // FRAME)):
+                self._frame(part)
             self.held, self.waiting = [], 0
 
     def add(self, ids: np.ndarray, valid: np.ndarray, tokens: np.ndarray, at: np.ndarray) -> None:
@@ -143,9 +143,15 @@ def with_end(tokens: np.ndarray, at: np.ndarray, end_id: int) -> tuple[np.ndarra
     return np.insert(tokens.astype(IDS), at[1:], end_id), at + np.arange(len(at))
 
 
+def _store(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system and path of a URI; Hadoop's names for S3 are read as s3."""
+    scheme, colon, rest = folder.partition("://")
+    return fs.FileSystem.from_uri(f"s3://{rest}" if colon and scheme in ("s3a", "s3n") else folder)
+
+
 def _write(folder: str, tokenizer: str, end_id: int):
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = _store(folder)
         shard = TaskContext.get().partitionId()
         name, draft = f"{root}/part-{shard:06d}.ids.zst", f"{root}/.draft-{shard:06d}-{uuid.uuid4().hex}"
         writer = None
@@ -177,7 +183,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
 
 def _digests(folder: str):
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = _store(folder)
         for batch in batches:
             for name, start in zip(batch["file"].to_pylist(), batch["start"].to_pylist(), strict=True):
                 with store.open_input_file(f"{root}/{name}") as file:

@@ -1,12 +1,13 @@
 """Whole texts to token ids with a byte-level BPE of the tokenizers library.
 
-Such a vocabulary never merges across a space or line end that stands alone between two words, so a text whose words are parted that way is the
+A byte-level BPE that parts words before it merges never merges across a space or line end that stands alone between two words, so a text whose words are parted that way is the
 sequence of its words' ids, and each worker asks the library for each word once (up to CACHE words are kept, then they are forgotten). Any other
-text (runs of white space, other white space, special tokens) is given to the library whole.
+text (runs of white space, other white space, special tokens) is given to the library whole, and so is every text where the file isn't of that kind.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from functools import cache
@@ -42,6 +43,9 @@ class Encoder:
     def __init__(self, path: str) -> None:
         self.words: dict[bytes, bytes] = {}
         self.library = Tokenizer.from_file(path)
+        kind = json.loads(self.library.to_str())
+        before = kind.get("pre_tokenizer") or {}
+        self.by_word = kind["model"]["type"] == "BPE" and not kind.get("normalizer") and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
         names = self.library.get_vocab(with_added_tokens=True)
         size = max(names.values()) + 1
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
@@ -104,7 +108,7 @@ class Encoder:
         data = np.frombuffer(texts.buffers()[2], np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, np.uint8)
         at = at - at[0]
         slow = np.zeros(len(texts), bool)
-        slow[np.searchsorted(at, _odd(data, at), side="right") - 1] = True
+        slow[np.searchsorted(at, _odd(data, at), side="right") - 1 if self.by_word else slice(None)] = True
         whole = data.tobytes()
         if any(s in whole for s in self.special):
             slow |= np.array([any(s in whole[a:b] for s in self.special) for a, b in zip(at[:-1], at[1:], strict=True)])
