@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, labelled_sample
+from .common import class_weights, fresh, labelled_sample
 from .text_stats import features, text_counts
 
 #: Bounds of the labelled sample that rules are learned from: so many rows of either class, chosen by hash of the id.
@@ -40,20 +40,20 @@ class Rule:
         return reduce(and_, (x[:, names.index(f)] > t if op == ">" else x[:, names.index(f)] <= t for f, op, t in self.terms), np.ones(len(x), bool))
 
 
-def _grow(x: np.ndarray, y: np.ndarray, names: list[str]) -> Rule:
+def _grow(x: np.ndarray, y: np.ndarray, names: list[str], w: np.ndarray) -> Rule:
     terms: list[tuple[str, str, float]] = []
     held = np.ones(len(x), bool)
     for _ in range(MAX_TERMS):
-        p0, n0 = (y & held).sum(), (~y & held).sum()
+        p0, n0 = w[y & held].sum(), w[~y & held].sum()
         if not p0 or not n0:
             break
         base, best, found = np.log2(p0 / (p0 + n0)), 1e-9, None
         for j, name in enumerate(names):
-            value = x[held, j]
+            value, yes, own = x[held, j], y[held], w[held]
             for cut in np.unique(np.quantile(value, np.linspace(0, 1, CUTS), method="lower")):
                 above = value > cut
                 for op, hit in ((">", above), ("<=", ~above)):
-                    p, n = (hit & y[held]).sum(), (hit & ~y[held]).sum()
+                    p, n = own[hit & yes].sum(), own[hit & ~yes].sum()
                     gain = p * (np.log2(p / (p + n)) - base) if p else 0.0
                     if gain > best + 1e-9:
                         best, found = gain, (name, op, float(cut))
@@ -64,32 +64,34 @@ def _grow(x: np.ndarray, y: np.ndarray, names: list[str]) -> Rule:
     return Rule(tuple(terms))
 
 
-def _prune(rule: Rule, x: np.ndarray, y: np.ndarray, names: list[str]) -> Rule:
+def _prune(rule: Rule, x: np.ndarray, y: np.ndarray, names: list[str], w: np.ndarray) -> Rule:
     def worth(k: int) -> float:
         hit = Rule(rule.terms[:k]).mask(x, names)
-        p, n = (hit & y).sum(), (hit & ~y).sum()
+        p, n = w[hit & y].sum(), w[hit & ~y].sum()
         return (p - n) / (p + n) if p + n else -1.0
 
     best = max(range(1, len(rule.terms) + 1), key=lambda k: (worth(k), -k))
     return Rule(rule.terms[:best], (worth(best) + 1) / 2)
 
 
-def learn_rules(x: np.ndarray, rejected: np.ndarray, names: list[str], seed: int = SEED) -> list[Rule]:
-    """Ordered rules for the rows of x that are marked rejected; none where either class is missing."""
+def learn_rules(x: np.ndarray, rejected: np.ndarray, names: list[str], seed: int = SEED, w: np.ndarray | None = None) -> list[Rule]:
+    """Ordered rules for the rows of x that are marked rejected; none where either class is missing, and none that no row put by for pruning bears out. w: how many rows each stands for."""
+    w = np.ones(len(x)) if w is None else w
     rules: list[Rule] = []
     rng = np.random.default_rng(seed)
     while rejected.any() and not rejected.all() and len(rules) < MAX_RULES:
         part = rng.permutation(len(x)) % 3 < 2
-        rule = _grow(x[part], rejected[part], names)
-        if rule.terms and (~part).any():
-            rule = _prune(rule, x[~part], rejected[~part], names)
-        if not rule.terms or rule.precision < MIN_PRECISION:
+        rule = _grow(x[part], rejected[part], names, w[part])
+        if not rule.terms:
+            break
+        rule = _prune(rule, x[~part], rejected[~part], names, w[~part])
+        if rule.precision < MIN_PRECISION:
             break
         rules.append(rule)
         rest = ~rule.mask(x, names)
         if rest.all():
             break
-        x, rejected = x[rest], rejected[rest]
+        x, rejected, w = x[rest], rejected[rest], w[rest]
     return rules
 
 
@@ -100,7 +102,8 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> lis
     stats = features("s")
     table = rows.select("label", *(c.alias(n) for n, c in stats.items())).toPandas()
     table = table.sort_values(list(table.columns), ignore_index=True)
-    return learn_rules(table[list(stats)].to_numpy(float), (table["label"] == 0).to_numpy(), list(stats))
+    weights = class_weights(labels, "quality", table["label"].value_counts().to_dict())
+    return learn_rules(table[list(stats)].to_numpy(float), (table["label"] == 0).to_numpy(), list(stats), SEED, table["label"].map(weights).to_numpy(float))
 
 
 def base_failed(c: str) -> Column:
