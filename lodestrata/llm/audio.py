@@ -124,10 +124,11 @@ def _entries(items: DataFrame) -> DataFrame:
 def align(prints: DataFrame, is_query: Column, id_col: str = "id") -> DataFrame:
     """prints (id, print) to (query, match, copies, offset, bit_errors, bits): for each id that is a query, the classes of recordings that align to it.
 
-    A class is named by its smallest id; copies is how many recordings it has. offset: frames to add to the query's for the match's."""
+    A class is named by its smallest id; copies is how many recordings it has. Rows that repeat an id with another fingerprint are recordings of their own. offset: frames to add to the query's for the match's."""
     own = F.struct(F.xxhash64("print"), F.hash("print"))
     keyed = written(prints.select(F.col(id_col).alias("id"), is_query.alias("asks"), "print", own.alias("key")), "prints")
-    classes = written(keyed.groupBy("key").agg(F.min("id").alias("class"), F.count("*").alias("copies"), F.min_by("print", "id").alias("print"), F.max("asks").alias("asks")), "print-classes")
+    each = keyed.groupBy("key").agg(F.min("id").alias("name"), F.count("*").alias("copies"), F.first("print").alias("print"), F.max("asks").alias("asks"))
+    classes = written(each.withColumn("class", F.monotonically_increasing_id()), "print-classes")
     side = lambda rows, name: _entries(rows).select(F.col("class").alias(name), F.col("at").alias(f"{name}_at"), F.col("two").alias(f"{name}_two"), "half", "key")
     alike = F.bit_count(F.col("q_two").bitwiseXOR(F.col("m_two"))) <= NEAR
     asked, found = side(classes.filter("asks"), "q"), side(classes, "m")
@@ -142,7 +143,7 @@ def align(prints: DataFrame, is_query: Column, id_col: str = "id") -> DataFrame:
     itself = classes.filter("asks").select(F.col("class").alias("q"), F.col("class").alias("m"), "copies", F.lit(0).alias("offset"), F.lit(0).alias("bit_errors"), (32 * F.size("print")).alias("bits"))
     pairs = written(checked.select("q", "m", "copies", "offset", "bit_errors", "bits").unionByName(itself), "aligned")
     asking = keyed.filter("asks").join(classes.select("key", F.col("class").alias("q")), "key").select(F.col("id").alias("query"), "q")
-    return asking.join(pairs, "q").select("query", F.col("m").alias("match"), "copies", "offset", "bit_errors", "bits")
+    return asking.join(pairs, "q").join(classes.select(F.col("class").alias("m"), F.col("name").alias("match")), "m").select("query", "match", "copies", "offset", "bit_errors", "bits")
 
 
 def to_wav(x: np.ndarray, rate: int = RATE) -> bytes:

@@ -18,7 +18,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, learnable(labels, 4, 2))
     held = F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out")
     scored = docs.select("doc_id", held, toxicity.toxicity("text", model).alias("t"))
-    return scored.select("doc_id", "held_out", F.col("t.score").alias("score"), (F.col("t.score") >= 0.3).cast("int").alias("predicted"), F.size("t.sentences").alias("n_sentences"))
+    return scored.select("doc_id", "held_out", F.col("t.score").alias("score"), (F.col("t.score") >= 0.3).cast("int").alias("predicted"), F.size("t.sentences").alias("n_sentences"), F.col("t.sentences").alias("sentences"))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
