@@ -10,9 +10,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.functions import classify
 from lodestrata.functions import questions as Q
 
-from .retrieval import small, vector_topk, vector_topk_by_facet
+from .retrieval import augment, bm25, cap_and_backfill, interleave, small, top, vector_topk, vector_topk_by_facet
 from .stored import stored
 
 NAV_PUBS, NAV_SECTIONS, SUMMARY_PUBS, GUARANTEE, GUARANTEE_SCORE, PREPENDED = 6, 8, 3, 3, 0.5, 2
@@ -207,3 +208,43 @@ def sections_for(asked: DataFrame, sections: DataFrame, most: int = SECTIONS) ->
     """(qid, id, rank, score): sections about a line that a question names. asked: qid, lines; sections: id, line."""
     lines = asked.select("qid", F.explode("lines").alias("line")).distinct()
     return best(sections.select("id", "line").join(small(lines), "line").select("qid", "id").distinct().withColumn("score", F.lit(0.9)), most, ["id"])
+
+
+def search(asked: DataFrame, chunks: DataFrame, rules: DataFrame | None = None, sections: DataFrame | None = None, k: int = 10) -> DataFrame:
+    """(qid, stage, place, id, score): rules and sections that a question names, at most RULES and SECTIONS of them, then its nearest chunks with at most EXTRAS that only its words find.
+
+    asked: qid, text, qvec; chunks: id, vec, text, pub; rules and sections as rules_for and sections_for have them. Ids are texts, as they come from different tables."""
+    meta = asked.select("qid", "qvec", "text", Q.tax_year(F.col("text")).alias("year"), Q.forms(F.col("text")).alias("form_refs"), F.regexp_extract(F.coalesce("text", F.lit("")), Q.ERROR_CODE, 0).alias("code"))
+    pubs = chunks.select("id", "pub")
+    main = vector_topk(meta.select("qid", "qvec"), chunks.select("id", "vec"), k).join(pubs, "id")
+    found = bm25(meta.select("qid", "text"), chunks.select("id", "text"), k)
+    worded = top(found.select("qid", "id", (F.col("score") / (F.col("score") + 1)).alias("score")), k).join(pubs, "id")
+    merged = augment(main, worded, "pub", EXTRAS)
+    stages = [(rules_for(meta, rules), RULES)] if rules is not None else []
+    if sections is not None:
+        lines = meta.select("qid", F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(?i)\blines?\s+(\d+[a-z]?)"), F.lit(1)), lambda x: F.lower(x)).alias("lines"))
+        stages.append((sections_for(lines, sections), SECTIONS))
+    named = [(d.select("qid", F.col("id").cast("string").alias("id"), "rank", "score"), cap) for d, cap in [*stages, (merged, k + EXTRAS)]]
+    return in_stages(named, ["score"]).select("qid", "stage", "place", "id", "score")
+
+
+def contexts(asked: DataFrame, chunks: DataFrame, ontology: DataFrame, k: int = 10, most: int = RERANKED) -> DataFrame:
+    """(qid, mode, id, pub, composite, place): the contexts of each question, ready for an answer: best first and last.
+
+    asked: qid, text, qvec, topics; chunks: id, vec, text, pub, year, chunk_type, chapter, section. Questions that compare years look at each year (cross_year), scenarios
+    of several topics at each topic's publications (scoped), all others go through retrieve. Then texts that begin alike count once, composite scores rank, and no publication has too many."""
+    words_of = {"terms": Q.terms(F.col("text")), "wanted": Q.numbers(F.col("text")), "years": Q.comparison_years(F.col("text")), "year": Q.tax_year(F.col("text")), "scenario": classify.intent(F.col("text")).intent == "scenario"}
+    meta = stored(asked.withColumns(words_of).withColumn("pick", F.when(F.size("years") > 1, "cross_year").when(F.col("scenario"), "scoped").otherwise("open")))
+    compared, scenes = meta.filter("pick = 'cross_year'"), meta.filter("pick = 'scoped'")
+    groups = stored(topic_groups(scenes, ontology))
+    rest = meta.filter("pick <> 'cross_year'").join(groups.select("qid").distinct(), "qid", "left_anti")
+    open_ones = retrieve(rest.select("qid", "qvec", "year", "topics"), chunks.select("id", "vec", "pub", "year", "chunk_type", "chapter"), ontology, k)
+    by_year = across_years(compared.select("qid", "qvec", "years"), chunks.select("id", "vec", "year"), k)
+    by_group = scoped_topk(scenes.select("qid", "qvec"), chunks.select("id", "vec", "pub"), groups, k)
+    ordered = lambda d, mode, *keys: best(d, 1 << 30, [*keys]).select("qid", "id", "score", "rank", F.lit(mode).alias("mode"))
+    found = ordered(by_year, "cross_year", "year", "rank").unionByName(ordered(by_group, "scoped", F.desc("score"), "id")).unionByName(open_ones.select("qid", "id", "score", F.col("place").cast("int").alias("rank"), "mode"))
+    rows = distinct_prefix(found.join(chunks.select("id", "text", F.col("pub").cast("string").alias("pub"), "chunk_type", "chapter", "section"), "id"), ["rank", "id"])
+    nav = first_pubs(navigate(rest.select("qid", "qvec", "year"), chunks.select("id", "vec", "pub", "year", "chunk_type", "chapter")), NAV_PUBS).select("qid", F.col("pub").cast("string").alias("pub"), F.lit(True).alias("nav"))
+    scored = composite(rows.join(meta.select("qid", "terms", "wanted"), "qid").join(nav, ["qid", "pub"], "left"), F.coalesce("nav", F.lit(False)), F.col("mode") == "scoped")
+    kept = cap_and_backfill(by_composite(scored), "pub", most).withColumn("rank", F.col("place"))
+    return interleave(kept).select("qid", "mode", "id", "pub", "composite", "place")

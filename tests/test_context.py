@@ -195,3 +195,27 @@ def test_vectors_without_length_or_of_another_length(spark):
     corpus = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0])], "id long, vec array<double>")
     asked = spark.createDataFrame([(9, None)], "qid long, qvec array<double>")
     assert [(r["id"], r["score"]) for r in retrieval.vector_topk(asked, corpus, 2).orderBy("rank").collect()] == [(1, 0.0), (2, 0.0)]
+
+
+def test_search_and_contexts_of_questions(spark):
+    rng = random.Random(5)
+    vec = lambda: [rng.gauss(0, 1) for _ in range(6)]
+    texts = ["standard deduction amounts", "rental property rules", "depreciation of a car", "filing status and credits"]
+    chunks = [(i, vec(), f"{texts[i % 4]} number {i}", f"p{i % 4}", 2023 + i % 3, "detail" if i % 5 else "pub_summary", "Chapter", "") for i in range(60)]
+    frame = spark.createDataFrame(chunks, "id long, vec array<double>, text string, pub string, year int, chunk_type string, chapter string, section string")
+    asked = [(1, "Compare 2023 and 2025 deductions", vec(), ["d"]), (2, "My client sold a rental property", vec(), ["r", "c"]), (3, "What is the standard deduction?", vec(), ["d"]), (4, "My client asks", vec(), ["d"]), (5, "see line 12A of Form 1040", vec(), [])]
+    queries = spark.createDataFrame(asked, "qid long, text string, qvec array<double>, topics array<string>")
+    ontology = spark.createDataFrame([("d", "p0", 0), ("r", "p1", 0), ("c", "p2", 0)], "topic string, pub string, ord int")
+    got = C.contexts(queries, frame, ontology, 8).collect()
+    assert {r["qid"]: r["mode"] for r in got} == {1: "cross_year", 2: "scoped", 3: "hierarchical", 4: "hierarchical", 5: "hierarchical"}
+    years = {c[0]: c[4] for c in chunks}
+    assert {years[r["id"]] for r in got if r["qid"] == 1} == {2023, 2025} and {r["pub"] for r in got if r["qid"] == 2} == {"p1", "p2"}
+    for q in range(1, 6):
+        mine = sorted((r for r in got if r["qid"] == q), key=lambda r: r["place"])
+        best = sorted(mine, key=lambda r: -r["composite"])
+        assert [r["place"] for r in mine] == list(range(1, len(mine) + 1)) and mine[0]["composite"] == best[0]["composite"]
+    rules = spark.createDataFrame([("R1", "//IRS1040/A", "F1040-001", "ERROR", "t", 2024)], "rule_id string, field_path string, error_code string, severity string, rule_text string, year int")
+    parts = spark.createDataFrame([(7, "12a")], "id long, line string")
+    found = C.search(queries, frame, rules, parts, 5).collect()
+    mine = sorted((r for r in found if r["qid"] == 5), key=lambda r: r["place"])
+    assert [(r["stage"], r["id"]) for r in mine[:2]] == [(0, "R1"), (1, "7")] and all(r["stage"] == 2 for r in mine[2:]) and 5 <= len(mine) - 2 <= 8
