@@ -72,9 +72,9 @@ def vec_topk_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.cell_topk(queries.drop("qlabel"), corpus.drop("dlabel"), 10, R.fit_cells(corpus, 16), 8)
 
 
-@query(f"WITH {_LEX} SELECT qid, id, rank, round(score, 4) AS score FROM l1")
+@query(f"WITH {_LEX} SELECT qid, id, rank, round(score + 1e-9, 4) AS score FROM l1")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lists(spark, sf_dir)[0].withColumn("score", F.round("score", 4))
+    return _lists(spark, sf_dir)[0].withColumn("score", F.round(F.col("score") + 1e-9, 4))
 
 
 @query(f"WITH {_LEX}, u AS (SELECT qid, id, rank, 0 AS l FROM l1 UNION ALL SELECT qid, id, rank, 1 FROM l2), f AS (SELECT qid, id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score, min(l * 1000 + rank) AS first, count(*) AS lists FROM u GROUP BY qid, id) SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, first, id) AS rank, lists FROM f")
