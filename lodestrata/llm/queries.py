@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, line_dedup, mixing, packing, quality_classifier, quality_rules, simhash, token_files, toxicity, url_filter
-from .common import fold, learnable
+from . import alignment, audio, line_dedup, mixing, packing, quality_classifier, quality_rules, runs, sharding, simhash, token_files, toxicity, url_filter
+from .common import WORD, fold, learnable
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,7 +71,58 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *(F.col(f"quality.{c}").alias(c) for c in wanted))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_simhash_near_dedup, op4_quality_classifier, op5_line_dedup, op6_mixing, op7_token_files, op8_audio, op9_packing, op10_quality_rules)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.crc32(F.col("doc_id").cast("string"))
+    split = _table(spark, sf_dir, "documents").select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), 0)).alias("words"))
+    n = F.size("words")
+    a = (F.col("g") % n).cast("int")
+    split = split.select("doc_id", "text", "words", F.when(n > 0, a).alias("a"), F.when(n > 0, (1 + F.floor((n - a) / (3 + F.col("g") % 8))).cast("int")).alias("p"))
+    again = F.transform("words", lambda x, i: F.when(i < F.col("a"), x).otherwise(F.get("words", F.col("a") + (i - F.col("a")) % F.col("p"))))
+    planted = split.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+    found = planted.select("doc_id", runs.periodic_runs("text", 6, 4).alias("r")).select("doc_id", "r.runs", "r.collapsed")
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"])), "")
+    found = found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), best.alias("best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    exponent = F.expr("(1000 * best.length) DIV -best.period").alias("exponent_milli")
+    return found.select("doc_id", "n_runs", (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"), exponent, "runs_sha256", "collapsed_sha256")
+
+
+def op12_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    data = F.encode("text", "UTF-8")
+    slim = docs.select("doc_id", "lang", "source", "n_chars", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("bigint").alias("size"), F.crc32(F.coalesce(data, F.lit(b""))).alias("text_crc32"), F.xxhash64("text").alias("copy"))
+    done = sharding.sharded(slim, F.col("size"), ["n_chars", "lang", "source", "doc_id"], shards=8, group=F.col("copy"))
+    return done.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _groups_sha256(p: alignment.Portion) -> list[str]:
+    """Of each text the sha-256 of its groups, ``a1,a2|b1;a3|b2,b3``; '' without tokens."""
+    n_a, n_b = p.in_group()
+    size = len(p.a) + len(p.b)
+    ids, mark = np.empty(size, np.int64), np.full(size, ord(","), np.uint8)
+    a_place = np.arange(len(p.a)) + (np.cumsum(n_b) - n_b)[p.a_group]
+    b_place = np.arange(len(p.b)) + np.cumsum(n_a)[p.b_group]
+    ids[a_place], ids[b_place] = p.a, p.b
+    ends = np.cumsum(n_a + n_b) - 1
+    mark[ends - n_b], mark[ends] = ord("|"), ord(";")
+    digits = np.full((size, 6), 0, np.uint8)
+    digits[:, 5] = mark
+    left = ids.copy()
+    for k in range(4, -1, -1):
+        digits[:, k] = np.where((left > 0) | (k == 4), left % 10 + 48, 0)
+        left //= 10
+    used = digits > 0
+    flat = memoryview(digits[used])
+    at = np.concatenate(([0], np.cumsum(used.sum(1))))[p.a_at + p.b_at].tolist()
+    return [hashlib.sha256(flat[i : j - 1]).hexdigest() if j > i else "" for i, j in zip(at[:-1], at[1:], strict=True)]
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.linked(_table(spark, sf_dir, "documents"), extra=_groups_sha256)
+    return found.withColumnRenamed("extra", "groups_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_simhash_near_dedup, op4_quality_classifier, op5_line_dedup, op6_mixing, op7_token_files, op8_audio, op9_packing, op10_quality_rules, op11_periodic_runs, op12_kd_sharding, op13_alignment)}
 OP2_SQL = r"""
 WITH RECURSIVE p AS (
   SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest,

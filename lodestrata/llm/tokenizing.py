@@ -21,13 +21,13 @@ CACHE, GROUP, AT_ONCE = 400_000, 512, 8 << 20
 _SPACE, _NEWLINE = 32, 10
 
 
-def _odd(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Positions in UTF-8 data that a text of single spaces and line ends between words doesn't have; at: where texts begin, and the end."""
+def _odd(data: np.ndarray, at: np.ndarray, spaced: bool = False) -> np.ndarray:
+    """Positions in UTF-8 data that a text of single spaces and line ends between words doesn't have; at: where texts begin, and the end. spaced: texts begin with a space."""
     parting = (data == _SPACE) | (data == _NEWLINE)
     other = ((data >= 9) & (data <= 13) & ~parting) | ((data >= 28) & (data <= 31))
     other[1:] |= parting[1:] & parting[:-1]
     full = at[1:] > at[:-1]
-    edges = np.concatenate((at[:-1][full], at[1:][full] - 1))
+    edges = at[1:][full] - 1 if spaced else np.concatenate((at[:-1][full], at[1:][full] - 1))
     other[edges] |= parting[edges]
     lead = np.flatnonzero((data == 0xC2) | ((data >= 0xE1) & (data <= 0xE3)))
     pad = np.concatenate((data, np.zeros(2, np.uint8)))
@@ -38,11 +38,12 @@ def _odd(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Keeps the ids, as bytes, of each word met, with the space or line end before it."""
+    """Keeps the ids, as bytes, of each word met, with the space or line end before it. plain: special tokens' strings in texts are ordinary text."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, plain: bool = False) -> None:
         self.words: dict[bytes, bytes] = {}
         self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = plain
         kind = json.loads(self.library.to_str())
         before = kind.get("pre_tokenizer") or {}
         self.by_word = kind["model"]["type"] == "BPE" and not kind.get("normalizer") and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
@@ -51,7 +52,7 @@ class Encoder:
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.opens = np.zeros(size, bool)
         self.opens[[i for name, i in names.items() if name.startswith("Ġ")]] = True
-        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values() if not (plain and t.special)]
         self.newline = self._bytes(self.library.encode("\n", add_special_tokens=False).ids)
 
     def _bytes(self, ids: list[int]) -> bytes:
@@ -98,8 +99,8 @@ class Encoder:
         ids = flat[np.repeat(start[codes] - till + n, n) + np.arange(till[-1] if len(till) else 0)]
         return ids, np.concatenate(([0], till))[np.searchsorted(opens, at)]
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of an array of texts (null: empty), and where those of each text begin and the last end."""
+    def encode(self, texts: pa.Array, spaced: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of an array of texts (null: empty), and where those of each text begin and the last end. spaced: every text that isn't empty begins with a space."""
         if len(self.words) > CACHE:
             self.words.clear()
         texts = texts.fill_null("").cast(pa.large_binary())
@@ -108,7 +109,7 @@ class Encoder:
         data = np.frombuffer(texts.buffers()[2], np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, np.uint8)
         at = at - at[0]
         slow = np.zeros(len(texts), bool)
-        slow[np.searchsorted(at, _odd(data, at), side="right") - 1 if self.by_word else slice(None)] = True
+        slow[np.searchsorted(at, _odd(data, at, spaced), side="right") - 1 if self.by_word else slice(None)] = True
         whole = data.tobytes()
         if any(s in whole for s in self.special):
             slow |= np.array([any(s in whole[a:b] for s in self.special) for a, b in zip(at[:-1], at[1:], strict=True)])
@@ -132,10 +133,10 @@ def portions(batch: pa.RecordBatch, text_col: str = "text") -> Iterator[pa.Recor
 
 
 @cache
-def encoder(path: str) -> Encoder:
-    """One for each worker process and file."""
+def encoder(path: str, plain: bool = False) -> Encoder:
+    """One for each worker process, file and way."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return Encoder(path)
+    return Encoder(path, plain)
 
 
 def default_tokenizer() -> str:
