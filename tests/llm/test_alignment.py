@@ -11,6 +11,7 @@ from tokenizers import Tokenizer
 from lodestrata.llm import alignment
 from lodestrata.llm.queries import QUERIES
 
+ALPHABET = alignment.byte_alphabet()
 NAMES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
@@ -18,7 +19,7 @@ def groups_of(text, a_model, b_model):
     """Groups (A ids, B ids) of one text, token by token."""
     if not text:
         return []
-    a = [(i, bytes(alignment.byte_alphabet()[c] for c in a_model.id_to_token(i))) for i in a_model.encode(" " + text, add_special_tokens=False).ids]
+    a = [(i, bytes(ALPHABET[c] for c in a_model.id_to_token(i))) for i in a_model.encode(" " + text, add_special_tokens=False).ids]
     b = [(i, bytes([int(p[3:5], 16)]) if b_model.is_byte(i) else p.replace("▁", " ").encode()) for i, p in ((i, b_model.id_to_piece(i)) for i in b_model.encode(text))]
     if not b"".join(x for _, x in a) == b"".join(x for _, x in b) == (" " + text).encode():
         return []
