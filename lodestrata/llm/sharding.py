@@ -18,10 +18,11 @@ Columns of the rows called shard or slot give way.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -74,6 +75,14 @@ def _scaled(points: DataFrame, dims: int) -> DataFrame:
     return points.select("key", "weight", "rows", F.lit(0).cast("bigint").alias("node"), *(F.least(F.greatest(scale(x), F.lit(0)), F.lit((1 << 31) - 1)).cast("bigint").alias(x) for x in xs))
 
 
+def _local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table, fewer rows than there are shards, out of one JSON literal: no Python runs on executors for it."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    kinds = ",".join(":".join(c.split()) for c in schema.split(", "))
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{kinds}>>")))
+
+
 def _along(dim: Column, dims: int) -> Column:
     """The 63-bit key along the dimension numbered dim."""
     x = reduce(lambda c, i: c.when(dim == i, F.col(f"x{i}")), range(dims), F.when(F.lit(False), F.lit(0))).cast("bigint")
@@ -83,11 +92,11 @@ def _along(dim: Column, dims: int) -> Column:
 def _cuts(points: DataFrame, asked: list[tuple[int, int, int]], dims: int) -> list[tuple[int, int, int, int]]:
     """asked: (node, dim, aim), fewer than shards. (node, miss, dim, cut) of each: cut is the last key on the left side, at the point where the weight there comes nearest to aim."""
     spark = points.sparkSession
-    wanted = F.broadcast(spark.createDataFrame(asked, "node bigint, dim int, aim bigint"))
+    wanted = F.broadcast(_local(spark, asked, "node bigint, dim int, aim bigint"))
     inside = points.join(wanted, "node").select("node", "weight", _along(F.col("dim"), dims).alias("at"))
     found = [(node, aim, 0, 0, -1) for node, _, aim in asked]
     for top, shift in zip(_BITS, _BITS[1:], strict=False):
-        known = F.broadcast(spark.createDataFrame(found, "node bigint, aim bigint, prefix bigint, before bigint, previous bigint"))
+        known = F.broadcast(_local(spark, found, "node bigint, aim bigint, prefix bigint, before bigint, previous bigint"))
         here = inside.join(known.select("node", "prefix"), "node").filter(F.shiftright("at", top) == F.shiftright("prefix", top))
         sums = here.groupBy("node", F.shiftright("at", shift).alias("digit")).agg(F.sum("weight").alias("w"), F.min("at").alias("first"), F.max("at").alias("last"))
         run = Window.partitionBy("node").orderBy("digit")
@@ -127,7 +136,7 @@ def tree(points: DataFrame, dims: int, shards: int) -> DataFrame:
     while any(k > 1 for k in parts.values()):
         cuts = _level(points, dims, parts, SLACK * total / shards)
         table = [(n, *cuts.get(n, (0, 0))) for n, k in parts.items() if k > 1]
-        known = F.broadcast(points.sparkSession.createDataFrame(table, "node bigint, dim int, cut bigint"))
+        known = F.broadcast(_local(points.sparkSession, table, "node bigint, dim int, cut bigint"))
         joined = points.join(known, "node", "left")
         right = F.coalesce((_along(F.col("dim"), dims) > F.col("cut")).cast("bigint"), F.lit(0))
         after = written(joined.withColumn("node", F.col("node") * 2 + right).drop("dim", "cut"), "shard-level")
@@ -135,7 +144,7 @@ def tree(points: DataFrame, dims: int, shards: int) -> DataFrame:
         points = after
         halves = [(n * 2 + side, m, first[n] + (k // 2) * side) for n, k in parts.items() for side, m in ((0, k // 2 if k > 1 else 1), (1, k - k // 2 if k > 1 else 0)) if m]
         parts, first = {n: m for n, m, _ in halves}, {n: f for n, _, f in halves}
-    names = F.broadcast(points.sparkSession.createDataFrame(list(first.items()), "node bigint, shard int"))
+    names = F.broadcast(_local(points.sparkSession, list(first.items()), "node bigint, shard int"))
     return points.join(names, "node")
 
 
