@@ -8,6 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyarrow import fs
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lodestrata.llm import packing, token_files
@@ -116,7 +117,7 @@ def test_evolution_beats_best_fit_and_finds_a_perfect_packing():
     cuts = np.sort(rng.integers(1, 99, (40, 2)), axis=1)
     sizes = rng.permutation(np.concatenate([np.maximum(np.diff(np.column_stack([np.zeros(40, int), cuts, np.full(40, 100)]), axis=1), 1).ravel()]))
     start = packing.fitness(sizes, packing.pack(sizes, range(len(sizes)), 100), 100)
-    found = packing.fitness(sizes, packing.evolve(sizes, [], 100, [1], 200), 100)
+    found = packing.fitness(sizes, packing.evolve(sizes, [], 100, [1], 200)[0], 100)
     assert found < start and found[0] <= -(-sizes.sum() // 100) + 1
 
 
@@ -176,5 +177,18 @@ def test_other_tokenizers_are_asked_for_whole_texts():
 
 @pytest.mark.parametrize("sizes", [[], [5], [100], [60, 60, 60], [1] * 50])
 def test_small_blocks(sizes):
-    bins = packing.evolve(np.array(sizes, np.int64), [], 100, [1])
+    bins, _ = packing.evolve(np.array(sizes, np.int64), [], 100, [1])
     assert len(bins) == len(sizes) and (not sizes or np.bincount(bins, sizes).max() <= 100)
+
+
+@pytest.mark.parametrize(("sf", "most"), [("sf0.01", 329), ("sf0.1", 3373)])
+def test_generations_make_the_packing(spark, sf, most):
+    """At both sizes the first chromosomes are worse than the result, generations run, and the result has the fewest sequences that its tokens need."""
+    pieces = packing.cut(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")).cache()
+    done = packing.packed(pieces).select("sequence_id", "length", "generations").cache()
+    tokens, sequences, least, most_generations = done.agg(F.sum("length"), F.count_distinct("sequence_id"), F.min(F.when(F.col("length") < 2048, F.col("generations"))), F.max("generations")).first()
+    assert least > 0 and most_generations > 3
+    loose = np.array([r["length"] for r in pieces.filter("length < 2048").collect()])
+    full = pieces.filter("length = 2048").count()
+    starts = [int(packing.pack(loose, np.random.default_rng(i).permutation(len(loose)).tolist(), 2048).max()) + 1 for i in range(3)]
+    assert -(-tokens // 2048) <= sequences <= -(-int(loose.sum()) // 2048) + full < min(starts) + full and sequences - full <= most
