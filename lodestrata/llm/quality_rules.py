@@ -1,8 +1,8 @@
 """Quality rules: a learned decision list over text statistics (sequential covering with grow and prune sets).
 
-Each rule is a conjunction of at most MAX_TERMS thresholds. A rule is grown on two thirds of the labelled rows by FOIL gain, pruned on the
-other third by (p - n) / (p + n), and kept if it is precise there; what it covers is removed and the next one is sought. The list is emitted as
-ordered ``when(...).when(...).otherwise(...)`` and so runs inside Spark's generated code.
+Each rule is a conjunction of at most MAX_TERMS thresholds with a verdict, keep or reject. In each turn a rule for either verdict is grown on two thirds of the labelled rows by FOIL gain and pruned on the
+other third by (p - n) / (p + n); of those that are precise enough there the one that covers more comes next in the list. What it covers is removed and the next turn begins, so later rules are sought among what is left and hold only there. The list is emitted as
+ordered ``when(...).when(...).otherwise(...)``, so a rule decides only what no rule before it does, and runs inside Spark's generated code. What no rule decides is kept.
 
 Nulls: a null text is the empty text. Empty texts have no words and fail the base rule. Repeated rows are each judged alone. Without labels of
 both classes the list is empty and only the base rule rejects. An empty table gives an empty table; other columns are passed through untouched.
@@ -10,7 +10,7 @@ both classes the list is empty and only the base rule rejects. An empty table gi
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from operator import and_
 
@@ -23,15 +23,17 @@ from .text_stats import features, text_counts
 
 #: Bounds of the labelled sample that rules are learned from: so many rows of either class, chosen by hash of the id.
 PER_CLASS = 10_000
-MAX_RULES, MAX_TERMS, CUTS, MIN_PRECISION, SEED = 24, 4, 64, 0.9, 42
+MAX_RULES, MAX_TERMS, CUTS, MIN_PRECISION, KEEP_PRECISION, SEED = 24, 4, 64, 0.9, 0.995, 42
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Rejects what meets all terms: (feature, ">" or "<=", threshold)."""
+    """Rejects, or keeps, what meets all terms: (feature, ">" or "<=", threshold)."""
 
     terms: tuple[tuple[str, str, float], ...]
     precision: float = field(compare=False, default=1.0)
+    keep: bool = False
+    covered: float = field(compare=False, default=0.0)
 
     def column(self, stats: dict[str, Column]) -> Column:
         return reduce(and_, (stats[f] > F.lit(t) if op == ">" else stats[f] <= F.lit(t) for f, op, t in self.terms))
@@ -71,30 +73,50 @@ def _prune(rule: Rule, x: np.ndarray, y: np.ndarray, names: list[str], w: np.nda
         return (p - n) / (p + n) if p + n else -1.0
 
     best = max(range(1, len(rule.terms) + 1), key=lambda k: (worth(k), -k))
-    return Rule(rule.terms[:best], (worth(best) + 1) / 2)
+    hit = Rule(rule.terms[:best]).mask(x, names)
+    return Rule(rule.terms[:best], float((worth(best) + 1) / 2), rule.keep, float(w[hit & y].sum() - w[hit & ~y].sum()))
 
 
 def learn_rules(x: np.ndarray, rejected: np.ndarray, names: list[str], seed: int = SEED, w: np.ndarray | None = None) -> list[Rule]:
-    """Ordered rules for the rows of x that are marked rejected; none where either class is missing, and none that no row put by for pruning bears out. w: how many rows each stands for."""
+    """Ordered rules of both verdicts for the rows of x that are marked rejected or not; none where either class is missing, and none that no row put by for pruning bears out. w: how many rows each stands for.
+
+    Keeping rules after the last rejecting one say what holds without them and are left out."""
     w = np.ones(len(x)) if w is None else w
     rules: list[Rule] = []
     rng = np.random.default_rng(seed)
     while rejected.any() and not rejected.all() and len(rules) < MAX_RULES:
         part = rng.permutation(len(x)) % 3 < 2
-        rule = _grow(x[part], rejected[part], names, w[part])
-        if not rule.terms:
-            break
-        rule = _prune(rule, x[~part], rejected[~part], names, w[~part])
-        if rule.precision < MIN_PRECISION:
+        found = []
+        for keep in (False, True):
+            wanted = ~rejected if keep else rejected
+            rule = _grow(x[part], wanted[part], names, w[part])
+            if rule.terms:
+                rule = _prune(rule, x[~part], wanted[~part], names, w[~part])
+                if rule.precision >= (KEEP_PRECISION if keep else MIN_PRECISION):
+                    found.append(replace(rule, keep=keep))
+        if not found:
             break
-        rules.append(rule)
+        rule = max(found, key=lambda r: (r.covered, not r.keep))
         rest = ~rule.mask(x, names)
         if rest.all():
             break
+        rules.append(rule)
         x, rejected, w = x[rest], rejected[rest], w[rest]
+    while rules and rules[-1].keep:
+        rules.pop()
     return rules
 
 
+def rejects(rules: list[Rule], x: np.ndarray, names: list[str]) -> np.ndarray:
+    """Where the list rejects rows of x: the first rule that holds decides."""
+    out, open_ = np.zeros(len(x), bool), np.ones(len(x), bool)
+    for rule in rules:
+        hit = open_ & rule.mask(x, names)
+        out |= hit & (not rule.keep)
+        open_ &= ~hit
+    return out
+
+
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> list[Rule]:
     """Rules from documents with a quality label. Only the statistics of at most 2 * per_class labelled rows reach the driver."""
     ids = labelled_sample(labels, "quality", per_class)
@@ -114,7 +136,7 @@ def verdict(c: str, rules: list[Rule]) -> Column:
     """True where the document is kept: the first rule that holds decides, none: kept."""
     stats, out = features(c), F.when(base_failed(c), F.lit(False))
     for rule in rules:
-        out = out.when(rule.column(stats), F.lit(False))
+        out = out.when(rule.column(stats), F.lit(rule.keep))
     return out.otherwise(F.lit(True))
 
 

@@ -52,8 +52,9 @@ def test_covering_finds_the_planted_rules():
     x = rng.uniform(size=(3000, 4))
     bad = (x[:, 0] > 0.8) | ((x[:, 1] > 0.7) & (x[:, 2] <= 0.2))
     rules = quality_rules.learn_rules(x, bad, list("abcd"))
-    hit = np.any([r.mask(x, list("abcd")) for r in rules], axis=0)
+    hit = quality_rules.rejects(rules, x, list("abcd"))
     assert (hit == bad).mean() > 0.98 and not any(f == "d" for r in rules for f, _, _ in r.terms[:1])
+    assert (~bad | hit).mean() > 0.99 and any(not r.keep for r in rules) and not rules[-1].keep
     assert quality_rules.learn_rules(x, np.zeros(3000, bool), list("abcd")) == [] == quality_rules.learn_rules(x, np.ones(3000, bool), list("abcd"))
 
 

@@ -180,16 +180,56 @@ def test_a_list_of_several_rules_and_their_pruning(spark):
     rules = quality_rules.learn_rules(x, bad, list("abc"))
     assert len(rules) >= 3
     rows = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double")
-    out = F.lit(False)
+    out = F.when(F.lit(False), F.lit(False))
     for r in rules:
-        out = out | r.column({c: F.col(c) for c in "abc"})
-    assert [r[0] for r in rows.select(out).collect()] == np.any([r.mask(x, list("abc")) for r in rules], axis=0).tolist()
+        out = out.when(r.column({c: F.col(c) for c in "abc"}), F.lit(not r.keep))
+    assert [r[0] for r in rows.select(out.otherwise(F.lit(False))).collect()] == quality_rules.rejects(rules, x, list("abc")).tolist()
     noisy = quality_rules.Rule((("a", ">", 0.9), ("b", ">", 0.2), ("c", ">", 0.2)))
     w = np.ones(4000)
     assert quality_rules._prune(noisy, x, x[:, 0] > 0.9, list("abc"), w).terms == noisy.terms[:1]
     assert quality_rules.learn_rules(x[:2], np.array([True, False]), list("abc")) == []
 
 
+def test_the_order_of_keeping_and_rejecting_rules_matters():
+    """Half of the rows are good for one plain reason; what rejects the rest would reject many of them as well, were it asked first."""
+    rng = np.random.default_rng(11)
+    x = rng.uniform(size=(6000, 3))
+    bad = (x[:, 0] > 0.5) & (x[:, 1] <= 0.6)
+    rules = quality_rules.learn_rules(x, bad, list("abc"))
+    assert any(r.keep for r in rules) and any(not r.keep for r in rules[[r.keep for r in rules].index(True) :])
+    assert (quality_rules.rejects(rules, x, list("abc")) == bad).mean() > 0.99
+    hand = [quality_rules.Rule((("a", "<=", 0.5),), keep=True), quality_rules.Rule((("b", "<=", 0.6),))]
+    assert np.array_equal(quality_rules.rejects(hand, x, list("abc")), bad) and not np.array_equal(quality_rules.rejects(hand[::-1], x, list("abc")), bad)
+
+
+def ratios(text):
+    """The features of a text, worked out anew from its words and lines."""
+    words, lines = (text or "").encode().split(), [x for x in (text or "").split("\n") if x.encode().split()]
+    n, chars, symbols, dups, repeats = brute_counts(text or "")
+    per = lambda a, b: a / max(b, 1)
+    ascii_ = lambda low, high: sum(low <= c <= high for c in (text or ""))
+    return {
+        "words_log": math.log1p(n), "word_length": per(chars, n), "symbols": per(symbols, chars), "dup_lines": per(dups, len(lines)), "repeats": per(repeats, n), "distinct": per(len(set(words)), n),
+        "upper": per(ascii_("A", "Z"), chars), "digits": per(ascii_("0", "9"), chars), "bangs": per((text or "").count("!"), n), "stops": per((text or "").count("."), n), "line_words": per(n, len(lines)),
+        "longest_word_log": math.log1p(max(map(len, words), default=0)), "longest_line": per(max((len(x.encode()) for x in lines), default=0), chars),
+    }
+
+
+def test_op4_and_op10_recomputed_from_the_texts(spark, docs):
+    """Scores and verdicts of the registered queries from ratios and models evaluated rule by rule in Python."""
+    table, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model, rules = quality_classifier.fit(table, learnable(labels, 5, 0)), quality_rules.learn(table, labels)
+    scores = {r["doc_id"]: r["score"] for r in rows_of(spark, "op4_quality_classifier")}
+    kept = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in rows_of(spark, "op10_quality_rules")}
+    holds = lambda terms, f: all(f[n] > t if op == ">" else f[n] <= t for n, op, t in terms)
+    for i, text in docs.items():
+        f = ratios(text)
+        total = model.intercept + sum(w for terms, w in model.rules if holds(terms, f))
+        assert scores[i] == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-6), i
+        first = next((r for r in rules if holds(r.terms, f)), None)
+        assert kept[i][1] == (not kept[i][0] and (first is None or first.keep)), i
+
+
 def test_pipeline_on_odd_tables(spark, tmp_path):
     import corpus_pipeline
 
