@@ -308,10 +308,25 @@ def _mentions(node: Node, kinds: tuple[str, ...]) -> bool:
     return isinstance(node, tuple) and (node[0] in kinds or any(_mentions(x, kinds) for x in node[1:]))
 
 
-def violations(records: DataFrame, rules: dict[str, str], out: str = "fired", compat: bool = False) -> DataFrame:
-    """records with one more column: the ids of the rules that each breaks, in the order of the rules. Fields that records don't have are missing; rules that can't be read don't fire."""
+#: Rules that become one column each; more of them are evaluated by the interpreter of rule_tables, with the same results.
+COLUMNS = 100
+
+
+def violations(records: DataFrame, rules: dict[str, str], out: str = "fired", compat: bool = False, record: str | None = None) -> DataFrame:
+    """records with one more column: the ids of the rules that each breaks, in the order of the rules. Fields that records don't have are missing; rules that can't be read don't fire.
+
+    record: a map or VARIANT column that holds the fields of a record. Records none of whose columns a rule names are an error."""
     types, bad = dict(records.dtypes), unread(rules)
-    fired: list[Column] = [F.when(violated(r, types, compat), F.lit(i)) for i, r in rules.items() if i not in bad]
+    read = {i: r for i, r in rules.items() if i not in bad}
+    named = set().union(*map(fields, read.values())) if read else set()
+    if record is not None or len(read) > COLUMNS:
+        from . import rule_tables
+
+        listed = records.sparkSession.createDataFrame([(i, r, n) for n, (i, r) in enumerate(read.items())], "rule_id string, expression string, n int")
+        return rule_tables.fired_by(records, rule_tables.compiled(listed), record, out, compat, "n")
+    if named and not {n.lower() for n in named} & {c.lower() for c in records.columns}:
+        raise ValueError(f"no rule names a column of the records ({', '.join(records.columns)}); records in a map or VARIANT column are named by record=")
+    fired: list[Column] = [F.when(violated(r, types, compat), F.lit(i)) for i, r in read.items()]
     return records.withColumn(out, F.array_compact(F.array(*fired)) if fired else F.array().cast("array<string>"))
 
 

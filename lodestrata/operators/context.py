@@ -136,7 +136,7 @@ def topic_groups(asked: DataFrame, ontology: DataFrame) -> DataFrame:
 
 def scoped_topk(queries: DataFrame, chunks: DataFrame, scope: DataFrame, k: int) -> DataFrame:
     """(qid, group, id, score, rank): of each group of a question its max(2, k / groups) nearest chunks. scope: qid, group, groups, pub; one pass over the chunks."""
-    found = vector_topk_by_facet(queries.select("qid", "qvec"), chunks.select("id", "vec", F.col("pub").cast("string").alias("pub")), k, "pub")
+    found = vector_topk_by_facet(queries.select("qid", "qvec"), chunks.select("id", "vec", F.col("pub").cast("string").alias("pub")), k, "pub", scope)
     rows = found.join(scope.withColumn("pub", F.col("pub").cast("string")), ["qid", "pub"])
     w = Window.partitionBy("qid", "group").orderBy(F.desc("score"), "id")
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= F.greatest(F.lit(2), F.expr(f"{k} DIV groups"))).select("qid", "group", "pub", "id", "score", "rank")
@@ -148,21 +148,30 @@ def across_years(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     return scoped_topk(queries, chunks.select("id", "vec", F.col("year").alias("pub")), scope, k).withColumnRenamed("group", "year").drop("pub")
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, ontology: DataFrame | None = None, k: int = 10, default_year: int = Q.DEFAULT_YEAR) -> DataFrame:
+def scope_of(queries: DataFrame, chunks: DataFrame, ontology: DataFrame | None = None) -> DataFrame:
+    """(qid, pub, rank, added): the first NAV_PUBS publications that each question is navigated to, and after them those that its topics add (added). Tables as retrieve has them."""
+    pub = F.col("pub").cast("string")
+    chunks = chunks.withColumn("pub", pub)
+    scope = stored(first_pubs(navigate(queries, chunks), NAV_PUBS).withColumn("added", F.lit(False)))
+    if ontology is None:
+        return scope
+    more = topic_pubs(queries, ontology.withColumn("pub", pub), scope).select("qid", "pub", (F.col("rank") + NAV_PUBS).alias("rank"), F.lit(True).alias("added"))
+    return stored(scope.unionByName(more))
+
+
+def retrieve(queries: DataFrame, chunks: DataFrame, ontology: DataFrame | None = None, k: int = 10, default_year: int = Q.DEFAULT_YEAR, scope: DataFrame | None = None) -> DataFrame:
     """(qid, mode, stage, place, id, pub, score): the contexts of each question by navigating to publications and drilling into them.
 
     queries: qid, qvec, year (may be null), topics (may be empty); chunks: id, vec, pub, year, chunk_type, chapter. Stages, in order of place:
     0 at most two summaries of the scope, 1 the nearest chunks of the scope in the question's year (a later year than the default: in all years),
     2 of publications that have none in that year, their nearest in any, 3 for publications still without a context their summaries, or else chunks.
-    The scope is the first NAV_PUBS publications navigated to and those that topics add. Questions whose navigation finds nothing search all chunks (flat_fallback)."""
+    The scope is that of scope_of, unless given; it travels with the question, so no chunk outside it is scored. Questions whose navigation finds nothing search all chunks (flat_fallback)."""
     pub = F.col("pub").cast("string")
     chunks = chunks.withColumn("pub", pub)
     queries = stored(queries)
-    scope = stored(first_pubs(navigate(queries, chunks), NAV_PUBS))
-    if ontology is not None:
-        scope = stored(scope.unionByName(topic_pubs(queries, ontology.withColumn("pub", pub), scope).withColumn("rank", F.col("rank") + NAV_PUBS)))
+    scope = (scope_of(queries, chunks, ontology) if scope is None else scope).select("qid", "pub", "rank")
     drilled = queries.withColumn("year", F.when(F.col("year") <= default_year, F.col("year")))
-    by_place = vector_topk_by_facet(queries.select("qid", "qvec"), chunks.select("id", "vec", F.concat_ws("@", "pub", F.col("year").cast("string")).alias("at")), max(5, k), "at").join(chunks.select("id", "pub", F.col("year").alias("chunk_year")), "id")
+    by_place = vector_topk_by_facet(queries.select("qid", "qvec"), chunks.select("id", "vec", "pub", F.concat_ws("@", "pub", F.col("year").cast("string")).alias("at")), max(5, k), "at", scope, "pub").join(chunks.select("id", "pub", F.col("year").alias("chunk_year")), "id")
     scoped = stored(by_place.join(scope.select("qid", "pub"), ["qid", "pub"], "left_semi").join(drilled.select("qid", "year"), "qid"))
     same = F.col("year").isNull() | F.col("year").eqNullSafe(F.col("chunk_year"))
     main = best(scoped.filter(same), k, [F.desc("score"), "id"])
@@ -175,7 +184,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, ontology: DataFrame | None =
     whole = lead.withColumn("best_kind", F.min(F.when(F.col("kind") < 2, 0).otherwise(1)).over(Window.partitionBy("pub"))).filter((F.col("best_kind") == 1) | (F.col("kind") < 2))
     sure = best(absent.join(whole.select("pub", "id", "kind"), "pub"), 1 << 30, ["pub", "kind", "id"]).withColumn("score", F.lit(GUARANTEE_SCORE))
     summaries = chunks.filter(F.col("chunk_type").isin(*SUMMARIES)).select("id", "vec", "pub")
-    near = vector_topk_by_facet(queries.select("qid", "qvec"), summaries, SUMMARY_PUBS, "pub").join(scope.select("qid", "pub"), ["qid", "pub"], "left_semi")
+    near = vector_topk_by_facet(queries.select("qid", "qvec"), summaries, SUMMARY_PUBS, "pub", scope)
     main, backfill, sure = stored(main), stored(backfill), stored(sure)
     details = main.select("qid", "id").unionByName(backfill.select("qid", "id")).unionByName(sure.select("qid", "id"))
     heads = best(near, SUMMARY_PUBS, [F.desc("score"), "id"]).join(details, ["qid", "id"], "left_anti").join(details.select("qid").distinct(), "qid", "left_semi")
@@ -238,13 +247,15 @@ def contexts(asked: DataFrame, chunks: DataFrame, ontology: DataFrame, k: int =
     compared, scenes = meta.filter("pick = 'cross_year'"), meta.filter("pick = 'scoped'")
     groups = stored(topic_groups(scenes, ontology))
     rest = meta.filter("pick <> 'cross_year'").join(groups.select("qid").distinct(), "qid", "left_anti")
-    open_ones = retrieve(rest.select("qid", "qvec", "year", "topics"), chunks.select("id", "vec", "pub", "year", "chunk_type", "chapter"), ontology, k)
+    open_chunks, open_queries = chunks.select("id", "vec", "pub", "year", "chunk_type", "chapter"), stored(rest.select("qid", "qvec", "year", "topics"))
+    scope = scope_of(open_queries, open_chunks, ontology)
+    open_ones = retrieve(open_queries, open_chunks, ontology, k, scope=scope)
     by_year = across_years(compared.select("qid", "qvec", "years"), chunks.select("id", "vec", "year"), k)
     by_group = scoped_topk(scenes.select("qid", "qvec"), chunks.select("id", "vec", "pub"), groups, k)
     ordered = lambda d, mode, *keys: best(d, 1 << 30, [*keys]).select("qid", "id", "score", "rank", F.lit(mode).alias("mode"))
     found = ordered(by_year, "cross_year", "year", "rank").unionByName(ordered(by_group, "scoped", F.desc("score"), "id")).unionByName(open_ones.select("qid", "id", "score", F.col("place").cast("int").alias("rank"), "mode"))
     rows = distinct_prefix(found.join(chunks.select("id", "text", F.col("pub").cast("string").alias("pub"), "chunk_type", "chapter", "section"), "id"), ["rank", "id"])
-    nav = first_pubs(navigate(rest.select("qid", "qvec", "year"), chunks.select("id", "vec", "pub", "year", "chunk_type", "chapter")), NAV_PUBS).select("qid", F.col("pub").cast("string").alias("pub"), F.lit(True).alias("nav"))
-    scored = composite(rows.join(meta.select("qid", "terms", "wanted"), "qid").join(nav, ["qid", "pub"], "left"), F.coalesce("nav", F.lit(False)), F.col("mode") == "scoped")
+    placed = scope.select("qid", "pub", (~F.col("added")).alias("nav"), "added").unionByName(groups.select("qid", F.col("pub").cast("string").alias("pub"), F.lit(False).alias("nav"), F.lit(True).alias("added")))
+    scored = composite(rows.join(meta.select("qid", "terms", "wanted"), "qid").join(placed, ["qid", "pub"], "left"), F.coalesce("nav", F.lit(False)), F.coalesce("added", F.lit(False)))
     kept = cap_and_backfill(by_composite(scored), "pub", most).withColumn("rank", F.col("place"))
     return interleave(kept).select("qid", "mode", "id", "pub", "composite", "place")

@@ -114,8 +114,10 @@ def general_gold(entries: DataFrame) -> DataFrame:
 
 
 def gold_counts(entries: DataFrame) -> DataFrame:
-    """(expected_pub, difficulty, n, verified) with totals of each and of all, in one aggregation; null stands for all."""
-    return entries.cube("expected_pub", "difficulty").agg(F.count("*").alias("n"), F.count("verified_by").alias("verified")).filter("expected_pub IS NULL OR difficulty IS NULL")
+    """(expected_pub, difficulty, all_pubs, all_difficulties, n, verified): totals by publication, by difficulty and of all, in one aggregation. all_pubs and all_difficulties tell a total from a label that is null."""
+    all_of = lambda c: (F.grouping(c) == 1).alias(f"all_{ {'expected_pub': 'pubs', 'difficulty': 'difficulties'}[c] }")
+    sets = entries.groupingSets([[], [F.col("expected_pub")], [F.col("difficulty")]], F.col("expected_pub"), F.col("difficulty"))
+    return sets.agg(all_of("expected_pub"), all_of("difficulty"), F.count("*").alias("n"), F.count("verified_by").alias("verified"))
 
 
 def bucket_sample(rows: DataFrame, group: str, order: list[str], id_col: str, n: int = BUCKETS, seed: int = SEED) -> DataFrame:

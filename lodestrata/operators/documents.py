@@ -9,7 +9,8 @@ from lodestrata.functions import classify
 from lodestrata.functions import questions as Q
 from lodestrata.functions import texts as T
 
-from . import knowledge, sections
+from . import chunking, knowledge
+from .stored import stored
 
 SUMMARY_TOKENS, CHAPTER_TOKENS, SUMMARY, GENERAL = 500, 350, "(Publication Summary)", "(General)"
 
@@ -22,49 +23,64 @@ def chapter_ranges(pages: DataFrame, doc: str = "doc_id", page: str = "page_num"
 
 
 def first_range(rows: DataFrame, ranges: DataFrame, key: str, at: str, low: str, high: str, order: str, value: str) -> DataFrame:
-    """rows with value of the first range (in order) of their key that holds at; null where none does. Joined by key, so only ranges of the own key are compared."""
-    marked = rows.withColumn("_at", F.col(at))
-    own = ranges.select(F.col(key), F.struct(F.col(order).alias("o"), F.col(low).alias("l"), F.col(high).alias("h"), F.col(value).alias("v")).alias("_r")).groupBy(key).agg(F.array_sort(F.collect_list("_r")).alias("_ranges"))
-    hit = F.get(F.filter("_ranges", lambda r: F.col("_at").between(r["l"], r["h"])), F.lit(0))["v"]
-    return marked.join(own, key, "left").withColumn(value, hit).drop("_at", "_ranges")
+    """rows with value of the first range (in order, then by value) of their key that holds at; null where none does.
+
+    Whole numbers. Each range is parted into the largest aligned blocks of 1, 2, 4, ... numbers that it is made of, two of a size at most, and a place is looked up as the block of each of
+    the sizes that occur (63 at most): an equality join on (key, size, block), whose rows are the ranges that do hold the place. Of those the first is kept by an aggregation; no list of ranges is gathered and none is compared
+    in vain."""
+    row = "_row"
+    numbered = stored(rows.withColumn(row, F.monotonically_increasing_id()))
+    own = ranges.filter(F.col(key).isNotNull() & (F.col(low) <= F.col(high))).select(F.col(key).alias("_key"), F.col(low).cast("bigint").alias("_l"), F.col(high).cast("bigint").alias("_h"), F.struct(F.col(order).alias("o"), F.col(value).alias("v")).alias("_r"))
+    blocks = stored(own.select("_key", "_r", F.explode(_dyadic(F.col("_l"), F.col("_h"))).alias("_b")).select("_key", "_r", "_b.size", "_b.block"))
+    sizes = sorted(r["size"] for r in blocks.select("size").distinct().collect())  # 63 at most
+    place = F.col(at).cast("bigint")
+    asked = numbered.filter(place.isNotNull()).select(row, F.col(key).alias("_key"), F.explode(F.array(*(F.struct(F.lit(s).alias("size"), F.shiftright(place, s).alias("block")) for s in sizes)).cast("array<struct<size:int,block:bigint>>")).alias("_b")).select(row, "_key", "_b.size", "_b.block")
+    found = asked.join(blocks, ["_key", "size", "block"]).groupBy(row).agg(F.min("_r").alias("_r"))
+    return numbered.join(found, row, "left").withColumn(value, F.col("_r.v")).drop(row, "_r")
+
+
+def _dyadic(low: Column, high: Column) -> Column:
+    """array<struct<size, block>>: the blocks [block * 2^size, (block + 1) * 2^size) that low..high is made of. Going up through the sizes, what doesn't fill a block of the next size on either side is split off."""
+    step = lambda s, i: F.struct(
+        F.when(s["l"] <= s["h"], F.shiftright(s["l"] + 1, 1)).otherwise(s["l"]).alias("l"),
+        F.when(s["l"] <= s["h"], F.shiftright(s["h"] + 1, 1) - 1).otherwise(s["h"]).alias("h"),
+        F.when(
+            s["l"] <= s["h"],
+            F.concat(
+                s["out"],
+                F.when(s["l"] % 2 != 0, F.array(F.struct(i.alias("size"), s["l"].alias("block")))).otherwise(_NO_BLOCKS()),
+                F.when((s["h"] % 2 == 0) & ((s["l"] % 2 == 0) | (s["h"] > s["l"])), F.array(F.struct(i.alias("size"), s["h"].alias("block")))).otherwise(_NO_BLOCKS()),
+            ),
+        ).otherwise(s["out"]).alias("out"),
+    )
+    return F.aggregate(F.sequence(F.lit(0), F.lit(62)), F.struct(low.alias("l"), high.alias("h"), _NO_BLOCKS().alias("out")), step, lambda s: s["out"])
+
+
+def _NO_BLOCKS() -> Column:
+    return F.array().cast("array<struct<size:int,block:bigint>>")
 
 
 def lines(pages: DataFrame, doc: str = "doc_id", page: str = "page_num", text: str = "text") -> DataFrame:
-    """(doc, page, at, line, chapter, section): lines of pages in their order with the chapter and section that they stand under. A new chapter ends the section."""
+    """(doc, page, at, line, chapter, section): lines of pages in their order, with the chapter or section that the line itself names."""
     rows = pages.select(doc, F.col(page).alias("page"), F.posexplode(F.split(T.without_headers(F.col(text)), "\n")).alias("at", "line")).withColumn("h", T.heading(F.col("line")))
-    upto = Window.partitionBy(doc).orderBy("page", "at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marked = rows.withColumns({"chapter": F.last("h.chapter", ignorenulls=True).over(upto), "_part": F.count("h.chapter").over(upto)})
-    within = Window.partitionBy(doc, "_part").orderBy("page", "at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    is_heading = F.col("h.chapter").isNotNull() | F.col("h.section").isNotNull()
-    return marked.withColumn("section", F.last("h.section", ignorenulls=True).over(within)).select(doc, "page", "at", "line", "chapter", "section", is_heading.alias("is_heading"))
-
-
-def walk(pages: DataFrame, doc: str = "doc_id", page: str = "page_num", text: str = "text", target: int = sections.TARGET, overlap: int = sections.OVERLAP, hard: int = sections.HARD) -> DataFrame:
-    """(doc, chunk_index, chapter, section, page_start, page_end, text, token_count, forms, lines): what stands under one heading is packed into chunks, and no chunk goes over a heading.
-
-    Blank lines and page ends part paragraphs. A block (what stands under one heading) is gathered in one row; documents aren't."""
-    rows = lines(pages, doc, page, text)
-    upto = Window.partitionBy(doc).orderBy("page", "at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    body = rows.withColumn("block", F.count_if("is_heading").over(upto)).filter("NOT is_heading")
-    listed = F.array_sort(F.collect_list(F.struct("page", "at", "line")))
-    parts = body.groupBy(doc, "block", "page").agg(F.first("chapter").alias("chapter"), F.first("section").alias("section"), F.array_join(F.transform(listed, lambda x: x.line), "\n").alias("t"))
-    blocks = parts.groupBy(doc, "block").agg(F.first("chapter").alias("chapter"), F.first("section").alias("section"), F.min("page").alias("page_start"), F.max("page").alias("page_end"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "t"))), lambda x: x.t), "\n\n").alias("t"))
-    clean = F.array_join(T.paragraphs(F.col("t")), "\n\n")
-    made = blocks.select(doc, "block", "chapter", "section", "page_start", "page_end", F.posexplode(sections.chunks(clean, "\n\n", target, overlap, hard)).alias("n", "c"))
-    refs = classify.references(F.col("c.text"))
-    index = F.row_number().over(Window.partitionBy(doc).orderBy("block", "n")) - 1
+    return rows.select(doc, "page", "at", "line", "h.chapter", "h.section")
+
+
+def walk(pages: DataFrame, doc: str = "doc_id", page: str = "page_num", text: str = "text", target: int = chunking.TARGET, overlap: int = chunking.OVERLAP, hard: int = chunking.HARD, count: chunking.Counter = chunking.quarter, ranges: DataFrame | None = None) -> DataFrame:
+    """(doc, chunk_index, chapter, section, page_start, page_end, text, token_count, form_refs, line_refs): what stands under one heading is packed into chunks, and no chunk goes over a heading. Pages are those on which
+    the chunk's first and last words stand. ranges, as chapter_ranges has them: the chapter of a chunk under no heading of a chapter is that of its first page."""
+    made = chunking.walked(lines(pages, doc, page, text), doc, 10, target, overlap, hard, count)
+    if ranges is not None:
+        placed = first_range(made, ranges.withColumn("_title", F.col("title")), doc, "page_start", "first_page", "last_page", "number", "_title")
+        made = placed.withColumn("chapter", F.coalesce("chapter", "_title")).drop("_title")
+    refs = classify.references(F.col("text"))
     return made.select(
-        doc, index.alias("chunk_index"), "chapter", "section", "page_start", "page_end", F.col("c.text").alias("text"), Q.tokens(F.col("c.text")).alias("token_count"),
+        doc, "chunk_index", "chapter", "section", "page_start", "page_end", "text", "token_count",
         F.array_distinct(F.concat(F.transform(refs["forms"], lambda x: F.concat(F.lit("Form"), x)), F.transform(refs["schedules"], lambda x: F.concat(F.lit("Schedule"), x)))).alias("form_refs"),
         F.array_distinct(F.transform(refs["lines"], F.lower)).alias("line_refs"),
     )
 
 
-def page_of(text: Column, places: Column) -> Column:
-    """The page of the last paragraph that begins at or before a place. places: array of struct(start, page) in order."""
-    return F.get(F.reverse(F.filter(places, lambda p: p["start"] <= text)), F.lit(0))["page"]
-
-
 def inferred_chapters(chunks: DataFrame, pub: str, order: str, page: str, text: str = "text") -> DataFrame:
     """(pub, part, first_page, last_page, n): ranges of pages for publications without chapters, each of max(20, a sixth) chunks where there are more than 30; else one range."""
     w = Window.partitionBy(pub)
@@ -73,10 +89,45 @@ def inferred_chapters(chunks: DataFrame, pub: str, order: str, page: str, text:
     return placed.groupBy(pub, F.expr("i DIV size").alias("part")).agg(F.min(page).alias("first_page"), F.max(page).alias("last_page"), F.count("*").alias("n"))
 
 
-def named_chapters(chunks: DataFrame, pub: str, page: str, text: str = "text", least: int = 2) -> DataFrame:
-    """(pub, number, first_page): chapters that the texts of a publication refer to so often, by the page of the first reference."""
-    found = chunks.select(pub, page, F.explode(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"(?i)\bchapter\s+(\d+)"), F.lit(1))).alias("number"))
-    return found.groupBy(pub, F.col("number").cast("int").alias("number")).agg(F.min(page).alias("first_page"), F.count("*").alias("n")).filter(F.col("n") >= least).drop("n")
+# Fixed value: a chapter's number and title on a line of a text.
+CHAPTER_IN_TEXT = r"(?im)(?:^|\n)\s*(?:\d+\s+)?Chapter\s+(\d+)[\.\s]+([\w\s\(\)&,\-/']+?)(?:\s+Publication|\s*$)"
+INTRODUCTION = "Introduction"
+
+
+def named_chapters(chunks: DataFrame) -> DataFrame:
+    """(pub, page, label) of chunks (pub, chunk_index, page_start, text): pages on which a chapter begins, as the texts name chapters. Of the references on a page the last that is the first one to its chapter counts,
+    or else the first at all."""
+    met = F.posexplode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(CHAPTER_IN_TEXT), F.lit(0))).alias("pos", "m")
+    part = lambda i: F.regexp_extract("m", CHAPTER_IN_TEXT, i)
+    refs = chunks.select("pub", F.col("page_start").alias("page"), F.col("chunk_index").alias("i"), met).select("pub", "page", F.struct("i", "pos").alias("at"), part(1).cast("int").alias("number"), F.btrim(part(2), F.lit(" \t\n\r")).alias("title"))
+    opens = F.row_number().over(Window.partitionBy("pub", "number").orderBy("at")) == 1
+    label = F.concat(F.lit("Chapter "), F.col("number").cast("string"), F.lit(". "), F.col("title"))
+    marked = refs.withColumns({"opens": opens, "label": label})
+    pick = F.coalesce(F.max_by("label", F.when(F.col("opens"), F.col("at"))), F.min_by("label", "at"))
+    return marked.groupBy("pub", "page").agg(pick.alias("label"))
+
+
+def with_chapters(chunks: DataFrame) -> DataFrame:
+    """chunks (pub, chunk_index, page_start, page_end, text, chapter and others) where the chunks of publications that have no chapter at all are placed in chapters that their texts name, by page: those before the first are
+    the introduction. Where fewer than two pages or groups are found, publications of more than 30 chunks are parted into ranges of pages of max(20, a sixth) chunks, and smaller ones are of one general chapter."""
+    titled = chunks.groupBy("pub").agg(F.max(F.coalesce(F.col("chapter") != "", F.lit(False))).alias("_titled"))
+    rows = stored(chunks.join(titled, "pub"))
+    bare = rows.filter("NOT _titled")
+    starts = named_chapters(bare).withColumn("last", F.lead("page").over(Window.partitionBy("pub").orderBy("page")) - 1)
+    starts = stored(starts.withColumn("pages", F.count("*").over(Window.partitionBy("pub"))).filter("pages > 1").withColumn("last", F.coalesce("last", F.lit((1 << 31) - 1))))
+    placed = first_range(bare.join(starts.select("pub").distinct(), "pub", "left_semi"), starts.withColumnRenamed("label", "_label"), "pub", "page_start", "page", "last", "page", "_label")
+    placed = placed.withColumn("_label", F.coalesce("_label", F.lit(INTRODUCTION)))
+    whole = F.min("_label").over(Window.partitionBy("pub")) != F.max("_label").over(Window.partitionBy("pub"))
+    placed = stored(placed.withColumn("_good", whole).filter("_good"))
+    rest = bare.join(placed.select("pub").distinct(), "pub", "left_anti")
+    w = Window.partitionBy("pub")
+    size = F.when(F.col("_n") > 30, F.greatest(F.lit(20), F.expr("_n DIV 6"))).otherwise(F.col("_n"))
+    parted = rest.withColumn("_n", F.count("*").over(w)).withColumn("_part", ((F.row_number().over(w.orderBy("chunk_index")) - 1) / size).cast("int"))
+    of = Window.partitionBy("pub", "_part")
+    pages = F.format_string("Pages %s–%s", F.min_by("page_start", "chunk_index").over(of).cast("string"), F.max_by("page_end", "chunk_index").over(of).cast("string"))
+    parted = parted.withColumn("_label", F.when(F.col("_n") > 30, pages).otherwise(F.lit(GENERAL)))
+    done = [d.withColumn("chapter", F.col("_label")).select(chunks.columns) for d in (placed, parted)]
+    return rows.filter("_titled").select(chunks.columns).unionByName(done[0]).unionByName(done[1])
 
 
 def line_reference(heading: Column, mapped: list[str]) -> Column:
@@ -148,16 +199,40 @@ def summaries(chunks: DataFrame, titles: DataFrame, sections_a_chapter: int = 5,
     return rows.select("pub", F.format_string("p%s-%s::summary", F.col("pub"), F.col("year").cast("string")).alias("chunk_id"), F.lit(-1).alias("chunk_index"), F.lit(SUMMARY).alias("chapter"), text.alias("text"), Q.tokens(text).alias("token_count"), F.lit("pub_summary").alias("chunk_type"))
 
 
-def chapter_summaries(chunks: DataFrame, years: DataFrame, sections_a_chapter: int = 8, tokens: int = CHAPTER_TOKENS) -> DataFrame:
-    """As summaries, one anchor for each chapter, numbered in order from 0; negative chunk_index. years: pub, year."""
+PASSAGE, OVERVIEW, LISTED, LIMITS = 150, 100, 8, 10
+
+
+def chapter_summaries(chunks: DataFrame, years: DataFrame, sections_a_chapter: int = LISTED, tokens: int = CHAPTER_TOKENS) -> DataFrame:
+    """As summaries, one anchor for each chapter, numbered in order from 0; negative chunk_index. years: pub, year. Under the head stand the chapter's first passage (the first words of the first of its first three chunks that
+    is long enough), its first sections, forms, amounts and limits, and how many passages it has; parts go from the end until the text has at most so many tokens.
+
+    chunks: pub, chunk_index, chapter, section, text, form_refs. Of a chapter only its first three chunks' words, and the first few distinct sections, forms and terms are gathered."""
+    chapter = F.coalesce(F.nullif("chapter", F.lit("")), F.lit(GENERAL))
+    rows = chunks.select("pub", chapter.alias("chapter"), "chunk_index", "section", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("form_refs", F.array().cast("array<string>")).alias("form_refs"))
+    by = ["pub", "chapter"]
     groups = knowledge.chapters(chunks, "pub", "chapter", "chunk_index", GENERAL)
-    sec = chunks.filter("section <> ''").groupBy("pub", F.coalesce(F.nullif("chapter", F.lit("")), F.lit(GENERAL)).alias("chapter"), "section").agg(F.min("chunk_index").alias("at"))
-    kept = sec.withColumn("k", F.row_number().over(Window.partitionBy("pub", "chapter").orderBy("at"))).filter(F.col("k") <= sections_a_chapter)
-    own = kept.groupBy("pub", "chapter").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "section"))), lambda x: F.concat(F.lit("  - "), x.section)).alias("own"))
-    rows = groups.join(own, ["pub", "chapter"], "left").join(years, "pub").withColumn("i", F.row_number().over(Window.partitionBy("pub").orderBy("first", "chapter")) - 1)
+
+    def listed(items: DataFrame, order: str, most: int, name: str) -> DataFrame:
+        """The first distinct items (pub, chapter, item, at) of each chapter in one line."""
+        first = items.groupBy(*by, "item").agg(F.min("at").alias("at")).withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(order))).filter(F.col("k") <= most)
+        return first.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "item"))), lambda x: x.item), ", ").alias(name))
+
+    sec = listed(rows.filter("section <> ''").select(*by, F.col("section").alias("item"), F.col("chunk_index").alias("at")), "at", sections_a_chapter, "sections")
+    forms = listed(rows.select(*by, F.explode("form_refs").alias("item"), F.col("chunk_index").alias("at")), "item", LISTED, "forms")
+    found = rows.select(*by, "chunk_index", F.posexplode(T.key_terms(F.col("text"), F.col("form_refs"))).alias("pos", "item"))
+    limits = listed(found.select(*by, "item", F.struct("chunk_index", "pos").alias("at")), "at", LIMITS, "limits")
+    words = F.filter(F.split(F.trim("text"), r"\s+"), lambda w: w != "")
+    lead = rows.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("chunk_index"))).filter((F.col("k") <= 3) & (F.length("text") > OVERVIEW))
+    lead = lead.groupBy(*by).agg(F.min_by("text", "k").alias("text")).select(*by, F.concat(F.array_join(F.slice(words, 1, PASSAGE), " "), F.when(F.size(words) > PASSAGE, "...").otherwise("")).alias("passage"))
+    made = groups
+    for side in (sec, forms, limits, lead):
+        made = made.join(side, by, "left")
+    made = made.join(years, "pub").withColumn("i", F.row_number().over(Window.partitionBy("pub").orderBy("first", "chapter")) - 1)
     head = F.format_string("[SECTION SUMMARY] Publication %s (Tax Year %s), %s", F.col("pub"), F.col("year").cast("string"), F.col("chapter"))
-    text = fitted(head, F.coalesce("own", F.array().cast("array<string>")), F.format_string("%d passages.", F.col("n")), tokens)
-    return rows.select("pub", F.format_string("p%s-%s::section_summary::%04d", F.col("pub"), F.col("year").cast("string"), F.col("i")).alias("chunk_id"), (-2 - F.col("i")).alias("chunk_index"), "chapter", text.alias("text"), Q.tokens(text).alias("token_count"), F.lit("section_summary").alias("chunk_type"))
+    parts = F.array_compact(F.array(head, F.col("passage"), F.concat(F.lit("Key sections: "), "sections"), F.concat(F.lit("Forms: "), "forms"), F.concat(F.lit("Amounts and limits: "), "limits"), F.format_string("%d passages.", F.col("n"))))
+    prefixes = F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "\n"))
+    text = F.coalesce(F.get(F.filter(prefixes, lambda t: Q.tokens(t) <= tokens), F.lit(0)), head)
+    return made.select("pub", F.format_string("p%s-%s::section_summary::%04d", F.col("pub"), F.col("year").cast("string"), F.col("i")).alias("chunk_id"), (-2 - F.col("i")).alias("chunk_index"), "chapter", text.alias("text"), Q.tokens(text).alias("token_count"), F.lit("section_summary").alias("chunk_type"))
 
 
 def topic_of_chapters(parts: DataFrame, topics: DataFrame) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stored import stored
+from .retrieval import slice_name
 
 
 def nodes(rows: DataFrame, label: str, key: str, *properties: str) -> DataFrame:
@@ -45,41 +46,48 @@ def hashed_vector(words: Column, size: int = 64) -> Column:
     return F.transform(count, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
 
 
-def topics_of(texts: DataFrame, terms: DataFrame, text_col: str, most: int = 7, listed: int = 5000) -> DataFrame:
-    """texts with the topics whose terms (topic, term) occur in them, by the number of terms found, at most so many.
+def topics_of(texts: DataFrame, terms: DataFrame, text_col: str, most: int = 7, block: int = 200_000) -> DataFrame:
+    """texts with the topics whose terms (topic, term) occur in them, by the number of different terms found, then by name, at most so many. Upper and lower case are the same; empty and null terms are none.
 
-    Up to so many terms stand as arrays inside the expression, so no text is copied for a join. Of more, each is looked up by its first word among the words of the texts."""
-    rows = terms.select("topic", F.lower("term").alias("term")).distinct()
-    few = rows.orderBy("topic", "term").limit(listed + 1).collect()
+    An Aho-Corasick automaton finds all terms in one pass over a text, whatever they are made of. Each task builds it; a block of at most about so many terms goes to the tasks at a time, and the blocks run one after the other over the same row, so no text is copied or shuffled."""
+    rows = terms.select("topic", F.lower("term").alias("term")).filter("topic IS NOT NULL AND term <> ''").distinct()
+    n = rows.count()
+    blocks = 1 if n <= block else -(-2 * n // block)  # dealt by hash, half full on average
+    found = F.array().cast(_TALLY)
     lower = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    if len(few) > listed:
-        return _topics_by_word(texts, rows, lower, most)
-    by_topic: dict[str, list[str]] = {}
-    for r in few:
-        by_topic.setdefault(r["topic"], []).append(r["term"])
-    found = [F.struct((-sum((lower.contains(t).cast("int") for t in ts), F.lit(0))).alias("n"), F.lit(topic).alias("topic")) for topic, ts in by_topic.items()]
-    ranked = F.array_sort(F.filter(F.array(*found), lambda x: x.n < 0)) if found else F.array().cast("array<struct<n:int,topic:string>>")
+    for i in range(blocks if n else 0):
+        own = rows if blocks == 1 else rows.filter(F.pmod(F.xxhash64("term"), F.lit(blocks)) == i)
+        by_term: dict[str, list[str]] = {}
+        for r in own.collect():
+            by_term.setdefault(r["term"], []).append(r["topic"])
+        found = F.arrow_udf(_tally(by_term), _TALLY)(lower, found)
+    ranked = F.array_sort(F.transform(found, lambda x: F.struct((-x.n).alias("n"), x.topic.alias("topic"))))
     return texts.withColumn("topics", F.transform(F.slice(ranked, 1, most), lambda x: x.topic))
 
 
-def _topics_by_word(texts: DataFrame, terms: DataFrame, lower: Column, most: int) -> DataFrame:
-    """Each term is looked up by its longest word among all pieces of that length of the texts' words, and then in the whole text. Terms without a letter or digit are not found."""
-    words = lambda c: F.filter(F.split(c, r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    keyed = terms.withColumn("key", F.coalesce(F.get(F.array_sort(words(F.col("term")), lambda a, b: F.length(b) - F.length(a)), F.lit(0)), F.lit("")))
-    size = keyed.filter("key <> ''").select(F.length("key").alias("size")).distinct()
-    sizes = [r["size"] for r in size.collect()]  # lengths of words, a handful
-    rows = stored(texts.withColumn("_row", F.monotonically_increasing_id())).withColumn("_low", lower)
-    none = F.array().cast("array<string>")
+_TALLY = "array<struct<topic:string,n:int>>"
 
-    def pieces_of(n: int) -> Column:
-        cut = lambda w: F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substr(w, i, F.lit(n)))).otherwise(none)
-        return F.flatten(F.transform(words(F.col("_low")), cut))
 
-    pieces = F.array_distinct(F.flatten(F.array(*map(pieces_of, sizes)))) if sizes else none
-    met = rows.select("_row", "_low", F.explode(pieces).alias("key")).join(keyed.filter("key <> ''"), "key").filter(F.contains("_low", "term")).groupBy("_row", "topic").agg(F.count_distinct("term").alias("n"))
-    ranked = met.withColumn("r", F.row_number().over(Window.partitionBy("_row").orderBy(F.desc("n"), "topic"))).filter(F.col("r") <= most)
-    listed = ranked.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "topic"))), lambda x: x.topic).alias("topics"))
-    return rows.join(listed, "_row", "left").drop("_row", "_low").withColumn("topics", F.coalesce("topics", F.array().cast("array<string>")))
+def _tally(by_term: dict[str, list[str]]):
+    """Adds the different terms found of each topic to those of the blocks before."""
+
+    def each(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        automaton = ahocorasick.Automaton()
+        for term, topics in by_term.items():
+            automaton.add_word(term, (term, topics))
+        automaton.make_automaton()
+        kind = pa.list_(pa.struct([("topic", pa.string()), ("n", pa.int32())]))
+        for texts, before in batches:
+            out = []
+            for text, had in zip(texts.to_pylist(), before.to_pylist(), strict=True):
+                count = {x["topic"]: x["n"] for x in had}
+                for topics in {term: topics for _, (term, topics) in automaton.iter(text)}.values():
+                    for topic in topics:
+                        count[topic] = count.get(topic, 0) + 1
+                out.append([{"topic": t, "n": n} for t, n in count.items()])
+            yield pa.array(out, kind)
+
+    return each
 
 
 def embedded(chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]], dimension: int, text: str = "text", vector: str = "embedding", batch: int = 256, tries: int = 3, force: bool = False) -> DataFrame:
@@ -116,15 +124,19 @@ def review_scores(reviews: DataFrame, category: str, correct: str) -> DataFrame:
 
 
 def judge_report(scores: DataFrame, slices: list[str], dimensions: list[str], passed: Column, extremes: bool = False) -> DataFrame:
-    """Means (and extremes) of judge scores over rows that have them and the pass rate over all rows, in all and by each slice, in one aggregation."""
+    """Means (and extremes) of judge scores over rows that have them and the pass rate over all rows, in all and by each slice, in one aggregation; slice names which."""
     sets = scores.groupingSets([[], *([F.col(s)] for s in slices)], *(F.col(s) for s in slices))
     means = [F.round(F.avg(d), 6).alias(f"mean_{d}") for d in dimensions]
     ends = [f(d).alias(f"{n}_{d}") for d in dimensions for n, f in (("min", F.min), ("max", F.max))] if extremes else []
-    return sets.agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce(passed, F.lit(False)).cast("int")), 6).alias("pass_rate"), *means, *ends)
+    return sets.agg(slice_name(slices).alias("slice"), F.count("*").alias("n"), F.round(F.avg(F.coalesce(passed, F.lit(False)).cast("int")), 6).alias("pass_rate"), *means, *ends)
 
 
-def missed(expected: DataFrame, retrieved: DataFrame, question: str, item: str, most: int = 1000) -> DataFrame:
-    """(item, n, questions): expected items that their question's results lack, how often, and the first of those questions in order, at most so many."""
-    gone = expected.select(question, item).distinct().join(retrieved.select(question, item), [question, item], "left_anti")
-    placed = gone.withColumn("place", F.row_number().over(Window.partitionBy(item).orderBy(question)))
+def missed(expected: DataFrame, retrieved: DataFrame, question: str, item: str, most: int) -> DataFrame:
+    """(item, n, questions): expected items that their question's results lack, how often, and the first of those questions in order, so many. missed_pairs has all of them."""
+    placed = missed_pairs(expected, retrieved, question, item).withColumn("place", F.row_number().over(Window.partitionBy(item).orderBy(question)))
     return placed.groupBy(item).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("place") <= most, F.col(question)))).alias("questions"))
+
+
+def missed_pairs(expected: DataFrame, retrieved: DataFrame, question: str, item: str) -> DataFrame:
+    """(question, item) of expected items that their question's results lack; nothing is gathered."""
+    return expected.select(question, item).distinct().join(retrieved.select(question, item), [question, item], "left_anti")

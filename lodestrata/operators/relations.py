@@ -7,13 +7,19 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 
 def last_rows(rows: DataFrame, keys: list[str], order: Column | None = None) -> DataFrame:
-    """One row for each key: the greatest in order (by default in all columns). Rows with a null among their keys all stay."""
+    """One row for each key: the greatest in order (by default in all columns), of equal ones the greatest in all columns that have an order. A null order comes before all others. Rows with a null among their keys all stay."""
     whole = reduce(and_, (F.col(k).isNotNull() for k in keys))
-    own = F.struct(*rows.columns)
-    return rows.filter(whole).groupBy(*keys).agg(F.max_by(own, order if order is not None else own).alias("r")).select("r.*").unionByName(rows.filter(~whole))
+    own, orderable = F.struct(*rows.columns), [f.name for f in rows.schema.fields if not _has_map(f.dataType)]
+    by = F.struct(*([order.isNotNull(), order] if order is not None else []), *orderable)
+    return rows.filter(whole).groupBy(*keys).agg(F.max_by(own, by).alias("r")).select("r.*").unionByName(rows.filter(~whole))
+
+
+def _has_map(kind: DataType) -> bool:
+    return kind.typeName() in ("map", "variant") or any(_has_map(k) for k in ([kind.elementType] if isinstance(kind, ArrayType) else [f.dataType for f in kind.fields] if isinstance(kind, StructType) else []))
 
 
 def upsert(base: DataFrame, delta: DataFrame, keys: list[str], columns: list[str] | None = None, order: Column | None = None, insert: bool = True) -> DataFrame:
@@ -39,8 +45,8 @@ def append_log(rows: DataFrame, path: str, at: Column | None = None) -> None:
 
 
 def latest_flag(rows: DataFrame, keys: list[str], version: str, out: str = "is_current") -> DataFrame:
-    """True on the rows of each key's greatest version."""
-    return rows.withColumn(out, F.col(version) == F.max(version).over(Window.partitionBy(*keys)))
+    """True on the rows of each key's greatest version, false on all others, those without a version too."""
+    return rows.withColumn(out, F.coalesce(F.col(version) == F.max(version).over(Window.partitionBy(*keys)), F.lit(False)))
 
 
 def duplicates(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,8 +6,6 @@ BROADCAST rows and is joined by key otherwise, except for exact vector search, w
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -17,11 +15,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import lexical
 from .stored import stored
 
 #: Rows of a side that may be broadcast, by count.
 BROADCAST = 10_000
-K1, B = 1.2, 0.75
 
 
 def small(df: DataFrame, rows: int = BROADCAST) -> DataFrame:
@@ -46,7 +44,7 @@ def top(scored: DataFrame, k: int, digits: int = 6) -> DataFrame:
 
 
 def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, facet: str | None = None) -> DataFrame:
-    """queries (qid, qvec), corpus (id, vec): the k most similar vectors of other ids; a null vector has similarity 0 to all.
+    """queries (qid, qvec), corpus (id, vec): the k most similar vectors of other ids; a null vector has similarity 0 to all. Ids are of any type that has an order, the same in the result; rows with a null qid or id have no part.
 
     facet: both have a column of that name, and only pairs that agree in it count, null with null. Each block of at most about BROADCAST queries becomes
     a matrix that each task multiplies with its own rows, of which it keeps the k best.
@@ -54,20 +52,28 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, facet: str | None
     return top(_best_by_block(queries, corpus, k, facet, True).select("qid", "id", "score"), k)
 
 
-def vector_topk_by_facet(queries: DataFrame, corpus: DataFrame, k: int, facet: str) -> DataFrame:
-    """(qid, id, facet, score, rank): the k best of each query in each facet of the corpus."""
+def vector_topk_by_facet(queries: DataFrame, corpus: DataFrame, k: int, facet: str, scope: DataFrame | None = None, scope_by: str | None = None) -> DataFrame:
+    """(qid, id, facet, score, rank): the k best of each query in each facet of the corpus.
+
+    scope (qid, and a column called scope_by, by default facet): the values of the corpus's column scope_by in which a query looks at all; they travel with the query, and no other pair is scored. All rows of a facet have one value of scope_by."""
     w = Window.partitionBy("qid", "facet").orderBy(F.desc("score"), "id")
+    if scope is not None:
+        by = scope_by or facet
+        own = scope.filter(F.col(by).isNotNull()).groupBy("qid").agg(F.collect_set(F.col(by).cast("string")).alias("_scope"))
+        queries, corpus = queries.join(own, "qid"), corpus.withColumn("_scope", F.col(by).cast("string"))
     best = _best_by_block(queries, corpus, k, facet, False).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return best.withColumnRenamed("facet", facet) if facet != "facet" else best
 
 
 def _best_by_block(queries: DataFrame, corpus: DataFrame, k: int, facet: str | None, same: bool) -> DataFrame:
-    """The k best of each task and query. Blocks are dealt by hash and half full on average, as their sizes vary."""
+    """The k best of each task and query. Blocks are dealt by hash and half full on average, as their sizes vary. Of several blocks each is written before the next is read, so the driver holds one at a time."""
+    queries = queries.filter("qid IS NOT NULL")
     n = queries.count()
-    blocks = 1 if n <= BROADCAST else -(-2 * n // max(1, BROADCAST))
+    if n <= BROADCAST:
+        return _best_by_task(queries, corpus, k, facet, same)
+    blocks = -(-2 * n // max(1, BROADCAST))
     block = F.pmod(F.xxhash64("qid"), F.lit(blocks))
-    found = [_best_by_task(queries if blocks == 1 else queries.filter(block == i), corpus, k, facet, same) for i in range(blocks)]
-    return reduce(DataFrame.unionByName, found)
+    return reduce(DataFrame.unionByName, [stored(_best_by_task(queries.filter(block == i), corpus, k, facet, same)) for i in range(blocks)])
 
 
 def _matrix(vectors: pa.Array, size: int | None = None) -> np.ndarray:
@@ -87,27 +93,42 @@ def _matrix(vectors: pa.Array, size: int | None = None) -> np.ndarray:
 
 def _best_by_task(queries: DataFrame, corpus: DataFrame, k: int, facet: str | None, same: bool) -> DataFrame:
     label = F.coalesce(F.concat(F.lit("="), F.col(facet).cast("string")), F.lit("")) if facet else F.lit("")  # null is no text
-    asked = queries.select("qid", "qvec", (label if same else F.lit("")).alias("facet")).toArrow()
-    qids, q = asked["qid"].to_numpy(), _matrix(asked["qvec"])
-    qfacets = asked["facet"].to_pandas().to_numpy() if facet and same else None
+    scoped = "_scope" in queries.columns
+    asked = queries.select("qid", "qvec", (label if same else F.lit("")).alias("facet"), *(["_scope"] if scoped else [])).toArrow().combine_chunks()
+    qids, q = asked["qid"], _matrix(asked["qvec"])
+    columns_of: dict[str, list[int]] = {}  # by facet or scope: the queries that look there
+    if scoped or facet and same:
+        for i, own in enumerate(asked["_scope" if scoped else "facet"].to_pylist()):
+            for f in own if scoped else [own]:
+                columns_of.setdefault(f, []).append(i)
+    places: dict[object, list[int]] = {}  # by id: the queries that have it
+    for i, v in enumerate(qids.to_pylist()):
+        places.setdefault(v, []).append(i)
     step = max(1, (1 << 22) // max(1, len(qids)))
+    kinds = [d.schema[c].dataType.simpleString() for d, c in ((queries, "qid"), (corpus, "id"))]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, step):
                 part = batch.slice(i, step).sort_by("id")
-                ids, facets = part["id"].to_numpy(), part["facet"].to_numpy(zero_copy_only=False)
+                facets = part["facet"].to_numpy(zero_copy_only=False)
+                scopes = part["_scope"].to_numpy(zero_copy_only=False) if scoped else facets
                 own = _matrix(part["vec"], q.shape[1] or None)
                 scores = np.round(own @ q.T, 6) if q.shape[1] else np.zeros((len(own), len(qids)))
-                scores[ids[:, None] == qids[None, :]] = -np.inf
-                found = [_best(scores, np.flatnonzero(facets == f), k, None if qfacets is None else np.flatnonzero(qfacets == f)) for f in np.unique(facets)]
+                for row, v in enumerate(part["id"].to_pylist()):
+                    if v in places:
+                        scores[row, places[v]] = -np.inf
+                found = []
+                for f in np.unique(facets):
+                    rows = np.flatnonzero(facets == f)
+                    found.append(_best(scores, rows, k, np.array(columns_of.get(scopes[rows[0]], []), np.int64) if columns_of or scoped else None))
                 rows, columns = (np.concatenate([x[n] for x in found]) for n in (0, 1))
-                yield pa.RecordBatch.from_pydict({"qid": pa.array(qids[columns], pa.int64()), "id": pa.array(ids[rows], pa.int64()), "facet": pa.array(facets[rows], pa.string()), "score": pa.array(scores[rows, columns])})
+                yield pa.RecordBatch.from_arrays([qids.take(pa.array(columns)).combine_chunks(), part["id"].take(pa.array(rows)), pa.array(facets[rows], pa.string()), pa.array(scores[rows, columns], pa.float64())], ["qid", "id", "facet", "score"])
 
-    rows = corpus.filter("id IS NOT NULL").select(F.col("id").cast("bigint").alias("id"), "vec", label.alias("facet"))
+    rows = corpus.filter("id IS NOT NULL").select("id", "vec", label.alias("facet"), *(["_scope"] if scoped else []))
     if not len(qids):
-        return rows.limit(0).selectExpr("id AS qid", "id", "facet", "0.0D AS score")
-    return rows.mapInArrow(each, "qid bigint, id bigint, facet string, score double").withColumn("facet", F.when(F.col("facet") != "", F.substr("facet", F.lit(2))))
+        return rows.limit(0).selectExpr(f"CAST(NULL AS {kinds[0]}) AS qid", "id", "facet", "0.0D AS score")
+    return rows.mapInArrow(each, f"qid {kinds[0]}, id {kinds[1]}, facet string, score double").withColumn("facet", F.when(F.col("facet") != "", F.substr("facet", F.lit(2))))
 
 
 def _best(scores: np.ndarray, rows: np.ndarray, k: int, columns: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -154,72 +175,13 @@ def words(text: Column | str) -> Column:
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """queries (qid, text), docs (id, text): (qid, id, score, matched, terms) of documents with a word of the query: of each task the k best of a query by score and the k best by the share of words found.
-
-    matched and terms: distinct query words found and in all. The texts are read once for each block of at most about BROADCAST queries: what they hold of the
-    block's words is written, as numbers; from that come the numbers of documents, and then each task's scores. No pair of query and document is shuffled but the best."""
-    asked = queries.select(F.col("qid").cast("bigint").alias("qid"), F.array_distinct(words("text")).alias("w")).filter(F.size("w") > 0)
-    n = asked.count()
-    blocks = 1 if n <= BROADCAST else -(-2 * n // max(1, BROADCAST))
-    block = F.pmod(F.xxhash64("qid"), F.lit(blocks))
-    rows = docs.filter("id IS NOT NULL").select(F.col("id").cast("bigint").alias("id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
-    found = [_bm25_block(asked if blocks == 1 else asked.filter(block == i), rows, k) for i in range(blocks)]
-    return reduce(DataFrame.unionByName, found)
-
-
-def _counts(vocabulary: dict[str, int]):
-    """Of each text its number of words and, of the words in the vocabulary, the numbers and how often they occur."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = re.compile("[a-z0-9]+").findall
-        for batch in batches:
-            lengths, terms, counts = [], [], []
-            for text in batch["text"].to_pylist():
-                own = find(text)
-                held = Counter(filter(vocabulary.__contains__, own))
-                lengths.append(len(own))
-                terms.append([vocabulary[w] for w in held])
-                counts.append(list(held.values()))
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(lengths, pa.int32()), pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["id", "length", "terms", "counts"])
-
-    return each
-
-
-def _bm25_block(asked: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    table = asked.toArrow()
-    qids, lists = table["qid"].to_numpy(), table["w"].to_pylist()
-    vocabulary = {w: i for i, w in enumerate(sorted({w for ws in lists for w in ws}))}
-    own = np.array([len(ws) for ws in lists])
-    pairs = np.array([(vocabulary[w], q) for q, ws in enumerate(lists) for w in ws], np.int64).reshape(-1, 2)
-    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
-    ends = np.searchsorted(pairs[:, 0], np.arange(len(vocabulary) + 1))  # the queries of each word lie together
-    held = stored(rows.mapInArrow(_counts(vocabulary), "id bigint, length int, terms array<int>, counts array<int>"))
-    size = held.agg(F.count("*"), F.avg("length")).first()
-    df = np.zeros(len(vocabulary))
-    for r in held.select(F.explode("terms").alias("t")).groupBy("t").count().toLocalIterator():
-        df[r["t"]] = r["count"]
-    idf, mean = np.log(1 + ((size[0] or 0) - df + 0.5) / (df + 0.5)), size[1] or 1.0
-    step = max(1, (1 << 21) // max(1, len(qids)))
+    """queries (qid, text), docs (id, text): (qid, id, score, matched, terms): the k best of each query by BM25 and the k best by the share of its words found, over plain words without stems.
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, step):
-                part = batch.slice(i, step).sort_by("id")
-                ids, length = part["id"].to_numpy(), part["length"].to_numpy()
-                term, tf = (pc.list_flatten(part[c]).to_numpy() for c in ("terms", "counts"))
-                doc = np.repeat(np.arange(len(ids)), pc.list_value_length(part["terms"]).to_numpy())
-                weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / mean))
-                n = ends[term + 1] - ends[term]
-                at = np.repeat(ends[term] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                cell = np.repeat(doc, n) * len(qids) + pairs[at, 1]
-                matched = np.bincount(cell, minlength=len(ids) * len(qids)).reshape(-1, len(qids))
-                score = np.bincount(cell, np.repeat(weight, n), len(ids) * len(qids)).reshape(-1, len(qids))
-                every = np.arange(len(ids))
-                kept = [_best(np.where(matched > 0, np.round(x, 6), -np.inf), every, k, None) for x in (score, matched / own)]
-                r, c = np.unique(np.column_stack([np.concatenate(x) for x in zip(*kept, strict=True)]), axis=0).T
-                yield pa.RecordBatch.from_pydict({"qid": pa.array(qids[c], pa.int64()), "id": pa.array(ids[r], pa.int64()), "score": pa.array(score[r, c]), "matched": pa.array(matched[r, c], pa.int64()), "terms": pa.array(own[c], pa.int64())})
-
-    return held.mapInArrow(each, "qid bigint, id bigint, score double, matched bigint, terms bigint")
+    An index of the queries' own words is made for the call; for a corpus that is searched more than once, write one with lexical.write_index and ask it with lexical.search."""
+    asked = stored(lexical.query_terms(queries, False))
+    index = lexical.build(docs, False, asked.select("term"))
+    found = [lexical.search_terms(index, asked, k, by).select("qid", "id", "score", "matched", "terms") for by in ("bm25", "share")]
+    return found[0].unionByName(found[1]).distinct()
 
 
 def fuse(lists: list[DataFrame], k: int = 60) -> DataFrame:
@@ -257,14 +219,23 @@ def interleave(ranked: DataFrame) -> DataFrame:
     return ranked.withColumn("key", key).withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy("key"))).drop("key")
 
 
+def slice_name(slices: list[str]) -> Column:
+    """Which of the slices a row of GROUPING SETS is of; '' over all. So a null label is told from a total."""
+    return reduce(lambda c, s: c.when(F.grouping(s) == 0, F.lit(s)), slices, F.when(F.lit(False), F.lit(""))).otherwise(F.lit(""))
+
+
 def ranking_metrics(results: DataFrame, slices: list[str]) -> DataFrame:
     """results: one row a query with first_hit (rank of the first relevant row, null: none), found, relevant (numbers) and the columns of slices.
 
-    Hit rate, mean reciprocal rank and recall over all queries and by each of the slices, in one aggregation (GROUPING SETS).
+    Hit rate, mean reciprocal rank and recall over all queries and by each of the slices, in one aggregation (GROUPING SETS); slice names which. results may have errored (true: the query failed; it counts in n and
+    n_errored, and as a miss) and pub_hit (whether the first result is of the expected publication; null counts as not): then n_errored and pub_accuracy come too.
     """
     sets = results.groupingSets([[], *([F.col(s)] for s in slices)], *(F.col(s) for s in slices))
     recall = F.coalesce(F.col("found") / F.nullif(F.col("relevant"), F.lit(0)), F.lit(0.0))
+    more = [F.count_if(F.coalesce("errored", F.lit(False))).alias("n_errored")] if "errored" in results.columns else []
+    more += [F.round(F.avg(F.coalesce("pub_hit", F.lit(False)).cast("int")), 6).alias("pub_accuracy")] if "pub_hit" in results.columns else []
     return sets.agg(
+        slice_name(slices).alias("slice"), *more,
         F.count("*").alias("n"), F.round(F.avg(F.col("first_hit").isNotNull().cast("int")), 6).alias("hit_rate"),
         F.round(F.avg(F.coalesce(1 / F.col("first_hit"), F.lit(0.0))), 6).alias("mrr"), F.round(F.avg(recall), 6).alias("recall"),
     )

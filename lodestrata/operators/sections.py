@@ -1,17 +1,12 @@
-"""Web pages to sections, and paragraphs to chunks."""
+"""Web pages to sections."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "\x01"
 SKIPPED = ("script", "style", "nav", "head", "footer")
-TARGET, OVERLAP, HARD = 400, 50, 512
 
 
 TITLE = r"(?i)<title>([^<]+)</title>"
@@ -39,50 +34,3 @@ def sections(pages: DataFrame, id_col: str, html_col: str, headings: tuple[str,
         id_col, "sequence", F.lower(F.regexp_extract("part", head, 1)).alias("level"), F.regexp_extract("part", r'(?is)^<h\d\b[^>]*\bid="([^"]*)"', 1).alias("anchor"),
         strip(F.regexp_extract("part", head, 2)).alias("heading"), F.array_join(F.filter(paragraphs, lambda p: p != ""), " ").alias("text"),
     ).filter((F.col("sequence") > 0) | (F.col("text") != ""))
-
-
-def pack_paragraphs(sizes: list[int], target: int = TARGET, overlap: int = OVERLAP) -> list[tuple[int, int]]:
-    """(first, last) of the paragraphs of each chunk: greedy up to target tokens, each chunk beginning with the last paragraphs of the one before that have at most overlap tokens."""
-    out, begin, total = [], 0, 0
-    for i, n in enumerate(sizes):
-        if i > begin and total + n > target:
-            out.append((begin, i - 1))
-            begin, total = i, 0
-            while begin > out[-1][0] + 1 and total + sizes[begin - 1] <= overlap and total + sizes[begin - 1] + n <= target:
-                begin -= 1
-                total += sizes[begin]
-        total += n
-    return [*out, (begin, len(sizes) - 1)] if sizes else []
-
-
-def _split_long(paragraph: str, hard: int) -> list[str]:
-    """A paragraph over hard words at its sentences; a sentence over hard words at words."""
-    if len(paragraph.split()) <= hard:
-        return [paragraph]
-    out: list[str] = []
-    for sentence in re.split(r"(?<=[.!?])\s+", paragraph):
-        words = sentence.split()
-        for i in range(0, len(words), hard):
-            out.append(" ".join(words[i : i + hard]))
-    return out
-
-
-def _chunks(delimiter: str, target: int, overlap: int, hard: int):
-    def each(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for array in texts:
-            rows = []
-            for text in array.to_pylist():
-                parts = [s for p in (text or "").split(delimiter) if p.strip() for s in _split_long(p.strip(), hard)]
-                sizes = [len(p.split()) for p in parts]
-                rows.append([{"text": " ".join(parts[a : b + 1]), "tokens": sum(sizes[a : b + 1])} for a, b in pack_paragraphs(sizes, target, overlap)])
-            yield pa.array(rows, pa.list_(pa.struct([("text", pa.string()), ("tokens", pa.int32())])))
-
-    return each
-
-
-def chunks(text: Column | str, delimiter: str = "\n\n", target: int = TARGET, overlap: int = OVERLAP, hard: int = HARD) -> Column:
-    """array<struct<text, tokens>> of the chunks of a text; tokens are words. Packing is a walk over the paragraphs, so it runs in Python, in Arrow batches of at most 8 MB unless the session sets its own bound."""
-    spark, key = SparkSession.active(), "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, None) is None:
-        spark.conf.set(key, "8m")
-    return F.arrow_udf(_chunks(delimiter, target, overlap, hard), "array<struct<text:string,tokens:int>>").asNondeterministic()(text)

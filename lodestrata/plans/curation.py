@@ -49,11 +49,12 @@ def general_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.general_gold(rows.withColumn("gold_chunk_ids", F.when(F.col("item_id") % 2 != 0, F.array(F.lit("a"))).otherwise(F.array().cast("array<string>")))).select("item_id")
 
 
-@query("SELECT source AS expected_pub, lang AS difficulty, count(*) AS n, count(l.doc_id) AS verified FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY GROUPING SETS ((), (source), (lang))")
+@query("WITH e AS (SELECT doc_id, CASE WHEN doc_id % 7 > 0 THEN source END AS pub, CASE WHEN doc_id % 5 > 0 THEN lang END AS level FROM documents) SELECT pub AS expected_pub, level AS difficulty, grouping(pub) = 1 AS all_pubs, grouping(level) = 1 AS all_difficulties, count(*) AS n, count(l.doc_id) AS verified FROM e LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY GROUPING SETS ((), (pub), (level))")
 def gold_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some entries have no publication or no difficulty; totals are told from those."""
     flagged = table(spark, sf_dir, "labels").select("doc_id", F.lit("x").alias("verified_by")).distinct()
-    rows = table(spark, sf_dir, "documents").filter("source IS NOT NULL AND lang IS NOT NULL").join(flagged, "doc_id", "left")
-    return U.gold_counts(rows.select(F.col("source").alias("expected_pub"), F.col("lang").alias("difficulty"), "verified_by"))
+    rows = table(spark, sf_dir, "documents").join(flagged, "doc_id", "left")
+    return U.gold_counts(rows.select(F.when(F.col("doc_id") % 7 > 0, F.col("source")).alias("expected_pub"), F.when(F.col("doc_id") % 5 > 0, F.col("lang")).alias("difficulty"), "verified_by"))
 
 
 def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:

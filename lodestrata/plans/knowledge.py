@@ -41,16 +41,16 @@ def review_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.review_scores(table(spark, sf_dir, "events").withColumn("ok", F.col("value") > 50), "event_type", "ok")
 
 
-@query("SELECT lang, source, count(*) AS n, round(avg(coalesce(quality = 1, false)::INT), 6) AS pass_rate, round(avg(quality), 6) AS mean_quality, round(avg(toxic), 6) AS mean_toxic FROM documents LEFT JOIN labels USING (doc_id) GROUP BY GROUPING SETS ((), (lang), (source))")
+@query("SELECT CASE WHEN grouping(lang) = 0 THEN 'lang' WHEN grouping(source) = 0 THEN 'source' ELSE '' END AS slice, lang, source, count(*) AS n, round(avg(coalesce(quality = 1, false)::INT), 6) AS pass_rate, round(avg(quality), 6) AS mean_quality, round(avg(toxic), 6) AS mean_toxic, min(quality) AS min_quality, max(quality) AS max_quality, min(toxic) AS min_toxic, max(toxic) AS max_toxic FROM documents LEFT JOIN labels USING (doc_id) GROUP BY GROUPING SETS ((), (lang), (source))")
 def judge_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judgements cover some rows: means are over those, the pass rate over all."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    return K.judge_report(rows, ["lang", "source"], ["quality", "toxic"], F.col("quality") == 1)
+    return K.judge_report(rows, ["lang", "source"], ["quality", "toxic"], F.col("quality") == 1, extremes=True)
 
 
-@query("SELECT l_suppkey, count(*) AS n, string_agg(o_custkey::VARCHAR, ',' ORDER BY o_custkey) AS questions FROM (SELECT DISTINCT o_custkey, l_suppkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'O') e WHERE NOT EXISTS (SELECT 1 FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' AND orders.o_custkey = e.o_custkey AND lineitem.l_suppkey = e.l_suppkey) GROUP BY l_suppkey")
+@query("SELECT l_suppkey, count(*) AS n, array_to_string(list(o_custkey ORDER BY o_custkey)[1:100], ',') AS questions FROM (SELECT DISTINCT o_custkey, l_suppkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'O') e WHERE NOT EXISTS (SELECT 1 FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' AND orders.o_custkey = e.o_custkey AND lineitem.l_suppkey = e.l_suppkey) GROUP BY l_suppkey")
 def gap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers of open orders that the customer's finished orders lack."""
+    """Suppliers of open orders that the customer's finished orders lack; of the customers of each the first hundred are named."""
     both = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus").join(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    gaps = K.missed(both.filter("o_orderstatus = 'O'"), both.filter("o_orderstatus = 'F'"), "o_custkey", "l_suppkey")
+    gaps = K.missed(both.filter("o_orderstatus = 'O'"), both.filter("o_orderstatus = 'F'"), "o_custkey", "l_suppkey", 100)
     return gaps.withColumn("questions", F.array_join(F.transform("questions", lambda q: q.cast("string")), ","))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestrata.operators import graph, relations
+from lodestrata.operators import graph, relations, tables
+from lodestrata.operators.stored import scratch
 
 from .registry import query, table
 
@@ -163,6 +164,29 @@ def graph_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reach(edges, 4)
 
 
+_TYPED = [("a", "b", "S"), ("b", "c", "S"), ("a", "c", "T"), ("c", "d", "S"), ("d", "b", "T"), ("d", "e", "U"), ("e", "f", "S"), ("b", "d", "T"), ("b", "d", "S")]
+
+
+@query("WITH RECURSIVE e(src, dst, type) AS (SELECT * FROM (VALUES " + ", ".join(str(e) for e in _TYPED) + ") WHERE true UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'S' FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 'T' FROM nation), w AS (SELECT src AS start, dst AS node, 1 AS depth, [src, dst] AS nodes, [type] AS types FROM e WHERE type <> 'U' UNION ALL SELECT w.start, e.dst, depth + 1, list_append(nodes, e.dst), list_append(types, e.type) FROM w JOIN e ON w.node = e.src WHERE depth < 4 AND e.type <> 'U'), p AS (SELECT start, node, arg_min({'n': nodes, 't': types}, {'d': depth, 'n': nodes, 't': types}) AS p, min(depth) AS depth FROM w GROUP BY ALL) SELECT start, node, depth, array_to_string(p.n, '>') AS nodes, array_to_string(p.t, '>') AS types FROM p")
+def graph_typed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shortest path over edges of two types to what each node reaches in at most four steps; of equal ones the first by its nodes and types."""
+    named = lambda c, a, k, b, v, t: table(spark, sf_dir, c).select(F.concat(F.lit(a), F.col(k).cast("string")).alias("src"), F.concat(F.lit(b), F.col(v).cast("string")).alias("dst"), F.lit(t).alias("type"))
+    edges = spark.createDataFrame(_TYPED, "src string, dst string, type string").unionByName(named("customer", "c", "c_custkey", "n", "c_nationkey", "S")).unionByName(named("nation", "n", "n_nationkey", "r", "n_regionkey", "T"))
+    found = graph.shortest_paths(edges, 4, ["S", "T"])
+    return found.select("start", "node", "depth", F.array_join("nodes", ">").alias("nodes"), F.array_join("types", ">").alias("types"))
+
+
+@query("WITH d AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_quantity FROM lineitem), k AS (SELECT o_custkey, max(o_orderkey) AS last_order, count(*) AS n FROM orders GROUP BY o_custkey) SELECT c_custkey, coalesce(last_order, -1) AS last_order FROM customer LEFT JOIN k ON o_custkey = c_custkey UNION ALL SELECT o_custkey, last_order FROM k WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")
+def stored_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored table of customers into which the last order of each is merged in three batches, one of them twice."""
+    path = scratch(spark, "merged")
+    tables.create(table(spark, sf_dir, "customer").select("c_custkey", F.lit(-1).cast("bigint").alias("last_order")), path, ["c_custkey"], parts=16)
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("last_order"))
+    for batch in (0, 1, 1, 2):
+        tables.merge(orders.filter(F.col("last_order") % 3 <= batch), path, ["c_custkey"], f"orders-{batch}", order=F.col("last_order"))
+    return tables.read(spark, path)
+
+
 @query("SELECT o_custkey, round(len(list_intersect(a, b)) / nullif(len(a), 0), 6) AS precision, round(len(list_intersect(a, b)) / nullif(len(b), 0), 6) AS recall FROM (SELECT o_custkey, coalesce(list(DISTINCT o_orderpriority) FILTER (o_orderstatus = 'O'), []) AS a, coalesce(list(DISTINCT o_orderpriority) FILTER (o_orderstatus = 'F'), []) AS b FROM orders GROUP BY o_custkey)")
 def set_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the priorities of a customer's open orders overlap with those of the finished ones."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import rule_language as L
+from lodestrata.functions import rule_tables as T
 
 from .registry import query, table
 
@@ -42,3 +43,27 @@ def replay_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order is rejected if one of its lines breaks a rule of severity ERROR."""
     lines = L.violations(table(spark, sf_dir, "lineitem"), RULES).select("l_orderkey", (L.outcome(F.col("fired"), ERRORS) == "REJECTED").alias("bad"))
     return lines.groupBy("l_orderkey").agg(F.when(F.bool_or("bad"), "REJECTED").otherwise("ACCEPTED").alias("outcome"))
+
+
+@query(f"WITH {_SQL} SELECT rule, count(*) AS n FROM (SELECT unnest(list_filter(f, lambda x: x IS NOT NULL)) AS rule FROM r) GROUP BY rule")
+def rule_violations_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rules over records that are maps of texts, with the rules in a table."""
+    lines = table(spark, sf_dir, "lineitem")
+    pairs = [x for c in ("l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", "l_discount", "l_tax") for x in (F.lit(c), F.col(c).cast("string"))]
+    rules = T.compiled(spark.createDataFrame(list(RULES.items()), "rule_id string, expression string"))
+    fired = T.fired_by(lines.select(F.create_map(*pairs).alias("record")), rules, "record")
+    return fired.select(F.explode("fired").alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+_BOUNDS = range(1, 51)
+
+
+@query("WITH b AS (SELECT unnest(range(1, 51)) AS i), k AS (SELECT p_partkey, to_json({'size': p_size, 'brand': p_brand, 'price': p_retailprice}) AS r FROM part), v AS (SELECT p_partkey, (r->>'size')::INT AS size, r->>'brand' AS brand FROM k) SELECT p_partkey, count(*) FILTER (size IS NOT NULL AND NOT size <= i) AS over, count(*) FILTER (i % 5 = 0 AND brand = 'Brand#' || (i // 5) || '1' AND NOT size >= i) AS under FROM v, b GROUP BY p_partkey")
+def rule_table_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of rules over VARIANT objects: bounds of the size, some of them for one brand alone."""
+    record = F.parse_json(F.to_json(F.struct(F.col("p_size").alias("size"), F.col("p_brand").alias("brand"), F.col("p_retailprice").alias("price"))))
+    listed = [(f"over-{i}", f"[size] <= {i}") for i in _BOUNDS] + [(f"under-{i}", f"If [brand] = 'Brand#{i // 5}1' Then [size] >= {i}") for i in _BOUNDS if i % 5 == 0]
+    rules = T.compiled(spark.createDataFrame(listed, "rule_id string, expression string"))
+    fired = T.fired_by(table(spark, sf_dir, "part").select("p_partkey", record.alias("record")), rules, "record")
+    count = lambda head: F.size(F.filter("fired", lambda r: F.startswith(r, F.lit(head)))).cast("bigint").alias(head.rstrip("-"))
+    return fired.select("p_partkey", count("over-"), count("under-"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import classify
+from lodestrata.operators import chunking
 from lodestrata.operators import sections as S
 
 from .registry import query, table
@@ -56,8 +57,8 @@ def html_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines as paragraphs; a test holds the packing against a plain walk."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(S.chunks("text", "\n")).alias("chunk", "c"))
+    """Lines as paragraphs; a test holds every chunk against a plain walk over the whole table."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.chunks("text", "\n")).alias("chunk", "c"))
     return docs.select("doc_id", "chunk", "c.tokens", F.sha2("c.text", 256).alias("text_hash"))
 
 

@@ -52,6 +52,59 @@ def running(events: DataFrame, key: str, value: str = "value") -> DataFrame:
     return events.select(key, F.col(value).cast("double").alias(value)).groupBy(key).applyInPandasWithState(each, f"{key} {kind}, n bigint, total double, highest double", "n bigint, total double, highest double", "update", GroupStateTimeout.NoTimeout)
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def idle_sessions(events: DataFrame, key: str, idle_seconds: int, late: str, ts: str = "ts", value: str = "value") -> DataFrame:
+    """(key, started, ended, n, total): of each key the stretches of events no more than idle_seconds apart, each once, when it is over: by an event that comes later than that, or by a timer when the watermark is idle_seconds past
+    its last event. A stretch that is over leaves no state and no timer. Events without a time or a key have no part; null values count 0.
+
+    Typed state of transformWithState; the session must keep state in RocksDB, which is set here where it isn't."""
+    import pandas as pd
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    spark, setting = events.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    if "RocksDB" not in (spark.conf.get(setting, "") or ""):
+        spark.conf.set(setting, ROCKSDB)
+    kind, gap = dict(events.dtypes)[key], idle_seconds * 1000
+
+    class Idle(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.state = handle.getValueState("stretch", "started bigint, ended bigint, n bigint, total double")
+
+        def _row(self, k, stretch) -> pd.DataFrame:
+            started, ended, n, total = stretch
+            return pd.DataFrame({key: [k], "started": pd.to_datetime([started], unit="ms"), "ended": pd.to_datetime([ended], unit="ms"), "n": [n], "total": [total]})
+
+        def handleInputRows(self, k, rows, timer_values):
+            now = tuple(self.state.get()) if self.state.exists() else None
+            had = now[1] + gap if now else None
+            listed = sorted((int(t), float(v)) for frame in rows for t, v in zip(frame["_ms"], frame["_value"].fillna(0), strict=True))
+            for t, v in listed:
+                if now and t > now[1] + gap:
+                    yield self._row(k[0], now)
+                    now = None
+                now = (min(now[0], t), max(now[1], t), now[2] + 1, now[3] + v) if now else (t, t, 1, v)
+            if had is not None:
+                self.handle.deleteTimer(had)
+            self.handle.registerTimer(now[1] + gap)
+            self.state.update(now)
+
+        def handleExpiredTimer(self, k, timer_values, expired):
+            if self.state.exists():
+                now = tuple(self.state.get())
+                if now[1] + gap <= expired.getExpiryTimeInMs():
+                    self.state.clear()
+                    yield self._row(k[0], now)
+
+        def close(self) -> None:
+            pass
+
+    rows = events.filter(F.col(ts).isNotNull() & F.col(key).isNotNull()).withWatermark(ts, late).select(key, ts, F.unix_millis(ts).alias("_ms"), F.col(value).cast("double").alias("_value"))
+    return rows.groupBy(key).transformWithStateInPandas(Idle(), f"`{key}` {kind}, started timestamp, ended timestamp, n bigint, total double", "append", "eventTime")
+
+
 def upsert_stream(stream: DataFrame, read_base, write_base, keys: list[str], order: Column) -> DataStreamWriter:
     """Each micro-batch replaces the rows of its keys in a table; of repeated keys the greatest in order wins. read_base() and write_base(df) give the table's versions."""
 

@@ -2,13 +2,14 @@
 
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.functions import texts as T
+from lodestrata.operators import chunking, curation, documents, graph, knowledge, relations, retrieval
 from lodestrata.operators import context as C
-from lodestrata.operators import curation, documents, graph, knowledge, relations, retrieval, sections
 
 
 def cosine(a, b):
@@ -101,7 +102,7 @@ def test_walk_keeps_chunks_under_their_headings(spark):
     first, second, *rest = (r for r in rows if r["doc_id"] == 1)
     assert (first["chapter"], first["section"], first["page_start"]) == ("Chapter 1. First Things", None, 1) and "alpha" in first["text"] and "beta" not in first["text"]
     assert (second["section"], second["page_start"], second["page_end"]) == ("Some Section Here", 1, 2) and "gamma" in second["text"]
-    assert rest and {(r["chapter"], r["section"]) for r in rest} == {("Chapter 2. Next Things", None)} and all(len(r["text"].split()) <= sections.TARGET + sections.OVERLAP for r in rest)
+    assert rest and {(r["chapter"], r["section"]) for r in rest} == {("Chapter 2. Next Things", None)} and all(r["token_count"] <= chunking.HARD for r in rest)
     assert all(f"number {i} has" in " ".join(r["text"] for r in rest) for i in range(60))
 
 
@@ -128,12 +129,21 @@ def test_upsert_with_columns_and_repeated_keys(spark):
     assert relations.upsert(base, delta, ["k"], ["x"], insert=False).count() == 3
 
 
-def test_many_terms_are_looked_up_by_word(spark):
-    texts = spark.createDataFrame([(1, "Steel and copper plates"), (2, "nothing"), (3, None)], "id long, t string")
-    terms = spark.createDataFrame([("metal", "steel"), ("metal", "copper p"), ("shape", "late"), ("none", "zinc")], "topic string, term string")
-    few = {r["id"]: r["topics"] for r in knowledge.topics_of(texts, terms, "t").collect()}
-    many = {r["id"]: r["topics"] for r in knowledge.topics_of(texts, terms, "t", listed=2).collect()}
-    assert few == many == {1: ["metal", "shape"], 2: [], 3: []}
+def test_terms_in_texts_equal_substring_search(spark):
+    """One way for any number of terms, in one block or in many, whatever the terms are made of."""
+    given = ["Steel and copper plates", "nothing", None, "", "cost: $% of 5", "a b  c", "ÄÖ überß straße", "ab" * 40]
+    terms = [("metal", "steel"), ("metal", "copper p"), ("shape", "late"), ("none", "zinc"), ("sign", "$%"), ("sign", ": $"), ("gap", "  "), ("gap", "b "), ("umlaut", "ÜBER"), ("x", ""), ("x", None), (None, "steel"), ("metal", "Steel"), ("rep", "abab"), ("rep", "baba")]
+    texts = spark.createDataFrame(list(enumerate(given)), "id long, t string")
+    rows = spark.createDataFrame(terms, "topic string, term string")
+    known = {(t, w.lower()) for t, w in terms if t and w}
+    want = {}
+    for i, text in enumerate(given):
+        count = Counter(t for t, w in known if w in (text or "").lower())
+        want[i] = [t for t, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))][:3]
+    for block in (200_000, 4):
+        assert {r["id"]: r["topics"] for r in knowledge.topics_of(texts, rows, "t", 3, block).collect()} == want
+    assert all(r["topics"] == [] for r in knowledge.topics_of(texts, rows.limit(0), "t").collect())
+
 
 
 def test_embedding_client_is_retried_and_checked(spark):

@@ -70,18 +70,6 @@ def test_cells_find_nine_of_ten(spark):
     assert len(exact & near) >= 0.9 * len(exact)
 
 
-@pytest.mark.parametrize(("sizes", "want"), [([], []), ([5], [(0, 0)]), ([300, 200, 100], [(0, 0), (1, 2)]), ([380, 20, 30, 300], [(0, 1), (1, 3)]), ([900, 1], [(0, 0), (1, 1)])])
-def test_packing_of_paragraphs(sizes, want):
-    assert sections.pack_paragraphs(sizes) == want
-
-
-def test_chunks_hold_every_word(spark):
-    text = "\n\n".join(" ".join(f"w{i}-{j}." for j in range(n)) for i, n in enumerate([30, 600, 10, 390, 20]))
-    rows = spark.createDataFrame([(text,), (None,), ("",)], "t string").select(sections.chunks("t").alias("c")).collect()
-    assert set(" ".join(c.text for c in rows[0].c).split()) == set(text.split()) and all(c.tokens <= 512 for c in rows[0].c)
-    assert rows[1].c == [] == rows[2].c
-
-
 def test_html_sections(spark):
     html = '<head><h2>no</h2></head><p>first</p><h2 id="a">One <b>x</b></h2><p>t1</p><p>t2</p><nav><h3>no</h3></nav><h3>Two</h3>'
     rows = sections.sections(spark.createDataFrame([(1, html), (2, None)], "i int, h string"), "i", "h").orderBy("sequence").collect()

@@ -1,6 +1,7 @@
 """The rule language where texts, zeros, quotes and attachments meet; gates that tables hardly reach; streams with state."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -135,3 +136,63 @@ def test_state_of_a_stream(spark, tmp_path):
     for r in rows:
         last[r["user_id"]] = max(last.get(r["user_id"], (0,)), (r["n"], r["total"], r["highest"]))
     assert last == {1: (3, 7.0, 4.0), 2: (2, 6.0, 5.0), 3: (1, 1.0, 1.0)}
+
+
+_FORMS = ["[A] <= 3", "If [B] = 'x' Then [A] >= 2", "If [A] > 1 OR [C] > 1 AND [B] != 'y' Then [C] <= 4 Else [A] = 0", "[A] / [C] <= 1.5", "SUM([A], [C], [Z]) <= 5", "MAX([A], [C]) < 4", "MIN(0, [A] - [C]) >= -2", "ABS([A] - [C]) <= 2", "[B] IN ('x', 'y')", "[A] IN (1, 2, -1)", "[A] NOT IN (0, 5)",
+          "If [C] > 0 Then [F] must be attached", "If [F] is not present Then [B] matches pattern '^[a-x]'", "CEIL([A] / 2) = 1", "[B] > 3", "[B] = [A]", "If [A] = 1 Then FLAG it", "[Z] is present", "NOTHING([A]) > 1", "[A] = 'x'", "ROUND([C]) = 2", "[F] is not attached", "If [A] is present AND [B] = 'q' Then [C] is not present"]
+
+
+def _records():
+    rng = random.Random(4)
+    pick = lambda *v: rng.choice(v)
+    return [(i, pick(None, -1.0, 0.0, 1.0, 2.0, 5.0), pick(None, "x", "y", "q", "3", "", "1.0"), pick(None, 0, 1, 2, 6), pick(None, True, False)) for i in range(300)]
+
+
+@pytest.mark.parametrize("compat", [False, True])
+def test_the_interpreter_equals_compiled_columns(spark, compat):
+    """Typed rows: the rules as columns and as a table fire alike, whatever the values and in however many blocks."""
+    from lodestrata.functions import rule_tables as T
+
+    frame = spark.createDataFrame(_records(), "i int, a double, B string, C int, F boolean")
+    rules = {f"r{n:02d}": r for n, r in enumerate(_FORMS)}
+    want = {r["i"]: r["fired"] for r in L.violations(frame, rules, compat=compat).collect()}
+    assert sum(map(len, want.values())) > 500
+    table = T.compiled(spark.createDataFrame([*rules.items(), ("bad", "If If")], "rule_id string, expression string"))
+    for block in (20_000, 5):
+        assert {r["i"]: r["fired"] for r in T.fired_by(frame, table, compat=compat, block=block).collect()} == want
+    assert [r["rule_id"] for r in table.filter("unread IS NOT NULL").collect()] == ["bad"]
+
+
+def test_records_that_are_maps_or_variants(spark):
+    from lodestrata.functions import rule_tables as T
+
+    rows = [(1, {"A": "5"}), (2, {"A": "3", "S": "1"}), (3, {"S": "2", "F": "true"}), (4, {}), (5, None), (6, {"A": None, "S": "x"})]
+    frame = spark.createDataFrame(rows, "i int, m map<string,string>")
+    rules = {"max": "[A] <= 3", "in": "[S] IN (1, 'x')", "has": "[A] is present", "form": "[F] must be attached", "sum": "SUM([A], [S]) < 8"}
+    want = {1: {"max", "in", "form"}, 2: {"form"}, 3: {"in", "has"}, 4: {"in", "has", "form"}, 5: {"in", "has", "form"}, 6: {"has", "form"}}
+    assert {r["i"]: set(r["fired"]) for r in L.violations(frame, rules, record="m").collect()} == want
+    variant = frame.select("i", F.expr("parse_json(to_json(m))").alias("v"))
+    assert {r["i"]: set(r["fired"]) for r in L.violations(variant, rules, record="v").collect()} == want
+    numbers = spark.createDataFrame([(1, {"A": 5.0}), (2, {"A": 1.0, "F": 0.0}), (3, {"F": 2.0})], "i int, m map<string,double>")
+    assert {r["i"]: r["fired"] for r in L.violations(numbers, {"max": "[A] <= 3", "form": "[F] is attached"}, record="m").collect()} == {1: ["max", "form"], 2: ["form"], 3: []}
+    for given in (frame, frame.limit(0)):
+        with pytest.raises(ValueError, match="no rule names a column"):
+            L.violations(given, rules)
+    assert T.fired_by(frame.limit(0), T.compiled(spark.createDataFrame([("a", "[A] > 1")], "rule_id string, expression string")), "m").collect() == []
+    assert {tuple(r["fired"]) for r in T.fired_by(frame, T.compiled(spark.createDataFrame([], "rule_id string, expression string")), "m").collect()} == {()}
+
+
+def test_five_thousand_rules(spark):
+    """The plan doesn't grow with the rules, and 5,000 of them over 6,000 records take seconds."""
+    import time
+
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    rules = {f"r{i}": f"If [l_quantity] > {i % 50} AND [l_returnflag] = '{'RAN'[i % 3]}' Then [l_extendedprice] / [l_quantity] <= {900 + i % 1200} OR [l_tax] < 0.0{i % 9}" for i in range(5000)}
+    fired = L.violations(lines, rules)
+    began = time.perf_counter()
+    n = fired.select(F.size("fired").alias("n")).agg(F.sum("n")).first()[0]
+    assert time.perf_counter() - began < 60 and n > 0
+    some = dict(list(rules.items())[:60])
+    few = L.violations(lines, some).select(F.sum(F.size("fired"))).first()[0]
+    assert fired.select(F.sum(F.size(F.array_intersect("fired", F.array(*(F.lit(r) for r in some)))))).first()[0] == few
+    assert len(fired._jdf.queryExecution().toString()) < 20_000
