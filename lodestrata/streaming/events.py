@@ -67,6 +67,8 @@ def idle_sessions(events: DataFrame, key: str, idle_seconds: int, late: str, ts:
     if "RocksDB" not in (spark.conf.get(setting, "") or ""):
         spark.conf.set(setting, ROCKSDB)
     kind, gap = dict(events.dtypes)[key], idle_seconds * 1000
+    name = key
+    ms, amount = f"{key}_{ts}_ms", f"{key}_{ts}_amount"
 
     class Idle(StatefulProcessor):
         def init(self, handle) -> None:
@@ -75,15 +77,15 @@ def idle_sessions(events: DataFrame, key: str, idle_seconds: int, late: str, ts:
 
         def _row(self, k, stretch) -> pd.DataFrame:
             started, ended, n, total = stretch
-            return pd.DataFrame({key: [k], "started": pd.to_datetime([started], unit="ms"), "ended": pd.to_datetime([ended], unit="ms"), "n": [n], "total": [total]})
+            return pd.DataFrame({name: [k], "started": pd.to_datetime([started], unit="ms"), "ended": pd.to_datetime([ended], unit="ms"), "n": [n], "total": [total]})
 
-        def handleInputRows(self, k, rows, timer_values):
+        def handleInputRows(self, key, rows, timerValues):
             now = tuple(self.state.get()) if self.state.exists() else None
             had = now[1] + gap if now else None
-            listed = sorted((int(t), float(v)) for frame in rows for t, v in zip(frame["_ms"], frame["_value"].fillna(0), strict=True))
+            listed = sorted((int(t), float(v)) for frame in rows for t, v in zip(frame[ms], frame[amount].fillna(0), strict=True))
             for t, v in listed:
                 if now and t > now[1] + gap:
-                    yield self._row(k[0], now)
+                    yield self._row(key[0], now)
                     now = None
                 now = (min(now[0], t), max(now[1], t), now[2] + 1, now[3] + v) if now else (t, t, 1, v)
             if had is not None:
@@ -91,17 +93,17 @@ def idle_sessions(events: DataFrame, key: str, idle_seconds: int, late: str, ts:
             self.handle.registerTimer(now[1] + gap)
             self.state.update(now)
 
-        def handleExpiredTimer(self, k, timer_values, expired):
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             if self.state.exists():
                 now = tuple(self.state.get())
-                if now[1] + gap <= expired.getExpiryTimeInMs():
+                if now[1] + gap <= expiredTimerInfo.getExpiryTimeInMs():
                     self.state.clear()
-                    yield self._row(k[0], now)
+                    yield self._row(key[0], now)
 
         def close(self) -> None:
             pass
 
-    rows = events.filter(F.col(ts).isNotNull() & F.col(key).isNotNull()).withWatermark(ts, late).select(key, ts, F.unix_millis(ts).alias("_ms"), F.col(value).cast("double").alias("_value"))
+    rows = events.filter(F.col(ts).isNotNull() & F.col(key).isNotNull()).withWatermark(ts, late).select(key, ts, F.unix_millis(ts).alias(ms), F.col(value).cast("double").alias(amount))
     return rows.groupBy(key).transformWithStateInPandas(Idle(), f"`{key}` {kind}, started timestamp, ended timestamp, n bigint, total double", "append", "eventTime")
 
 
