@@ -24,7 +24,7 @@ ENTITY = r"(?i)\$[\d,]+(?:\.\d{2})?|\b\d{1,3}(?:,\d{3})+\b|\b\d+(?:\.\d+)?%\b|\b
 # Words that say nothing in a question.
 STOP_WORDS = (
     "a an the is are was were be been being have has had do does did will would could should may might can shall to of in for on with at by from as into through during "
-    "before after above below between under again further then once here there when where why how all both each few more most other some such no not only own same so than too "
+    "after above below between under again further then once here there when where why how all both each few more most other some such no not only own same so than too "
     "very just about also and but or if because what which who whom this that these those am its it my me i we our you your he she they them his her their"
 ).split()
 # Phrases that refer to an excerpt, taken out of a question in this order.

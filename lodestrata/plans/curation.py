@@ -107,12 +107,22 @@ def _pubs(spark: SparkSession) -> DataFrame:
     return rows.select("pub", "category", "tier", F.split("tags", ",").alias("topic_tags"), F.filter(F.split("years", ","), lambda y: y != "").cast("array<int>").alias("tax_years"))
 
 
-@query(f"WITH {_PUB_SQL} SELECT pub, 'topic' AS why FROM p WHERE len(list_filter(tags, lambda t: contains(lower(t), 'income'))) > 0 UNION ALL SELECT pub, 'tier' FROM p WHERE tier = 1 AND category = 'individual' UNION ALL SELECT pub, 'year' FROM p WHERE list_contains(years, '2025')")
+_SOURCES = "p AS (SELECT source AS pub, min(lang) AS category, (count(*) % 3 + 1)::INT AS tier, list_sort(list(DISTINCT upper(lang))) AS tags, list_sort(list(DISTINCT 2020 + doc_id % 97 % 6)) AS years FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY source)"
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources of documents as publications: their languages as topics, their numbers as years."""
+    docs = table(spark, sf_dir, "documents").filter("source IS NOT NULL AND lang IS NOT NULL")
+    sets = (F.sort_array(F.collect_set(F.upper("lang"))).alias("topic_tags"), F.sort_array(F.collect_set((2020 + F.col("doc_id") % 97 % 6).cast("int"))).alias("tax_years"))  # four languages, six years
+    return docs.groupBy(F.col("source").alias("pub")).agg(F.min("lang").alias("category"), (F.count("*") % 3 + 1).cast("int").alias("tier"), *sets)
+
+
+@query(f"WITH {_SOURCES} SELECT pub, 'topic' AS why FROM p WHERE len(list_filter(tags, lambda t: contains(lower(t), 'e'))) > 0 UNION ALL SELECT pub, 'tier' FROM p WHERE tier = 1 AND category = 'de' UNION ALL SELECT pub, 'year' FROM p WHERE list_contains(years, 2025)")
 def registry_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A registry by topic, by tier and category, and by year."""
-    pubs = _pubs(spark)
+    pubs = _sources(spark, sf_dir)
     named = lambda d, n: d.select("pub", F.lit(n).alias("why"))
-    return named(U.registry(pubs, topic="Income"), "topic").unionByName(named(U.registry(pubs, category="individual", tier=1), "tier")).unionByName(named(U.registry(pubs, year=2025), "year"))
+    return named(U.registry(pubs, topic="E"), "topic").unionByName(named(U.registry(pubs, category="de", tier=1), "tier")).unionByName(named(U.registry(pubs, year=2025), "year"))
 
 
 @query(f"WITH {_PUB_SQL}, l AS (SELECT pub, list_max(years)::INT AS year FROM p WHERE len(years) > 0) SELECT l.pub, l.year FROM l WHERE NOT EXISTS (SELECT 1 FROM documents WHERE source = 'src' || left(l.pub, 1) AND 2020 + doc_id % 3 + 2 = l.year)")
@@ -124,13 +134,14 @@ def ingest_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.latest_missing(pubs, present)
 
 
-@query(f"WITH {_PUB_SQL} SELECT pub, tier, list_contains(years, '2024') AS y2024, list_contains(years, '2025') AS y2025, row_number() OVER (ORDER BY tier, coalesce(try_cast(regexp_replace(pub, '[^0-9]', '', 'g') AS BIGINT), 0), pub) AS place FROM p")
+@query(f"WITH {_SOURCES} SELECT pub, tier, list_contains(years, 2024) AS y2024, list_contains(years, 2025) AS y2025, row_number() OVER (ORDER BY tier, coalesce(try_cast(regexp_replace(pub, '[^0-9]', '', 'g') AS BIGINT), 0), pub) AS place FROM p")
 def year_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which years each source has, by tier and number."""
     from pyspark.sql import Window
 
     from lodestrata.functions.questions import natural
 
-    return U.year_matrix(_pubs(spark), [2024, 2025]).withColumn("place", F.row_number().over(Window.orderBy("tier", *natural("pub"))))
+    return U.year_matrix(_sources(spark, sf_dir), [2024, 2025]).withColumn("place", F.row_number().over(Window.orderBy("tier", *natural("pub"))))  # one row a publication
 
 
 @query("SELECT count(*) AS total, count(*) FILTER (c_acctbal >= 0) AS good, count(*) FILTER (NOT coalesce(c_acctbal >= 0, false)) AS rejected, round(count(*) FILTER (c_acctbal >= 0) / count(*), 6) AS success_rate FROM customer")

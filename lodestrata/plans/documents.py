@@ -128,6 +128,13 @@ def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.titles(table(spark, sf_dir, "pages"), "page_id", "html")
 
 
+@query()
+def html_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose first headings are taken for major sections; tests hold each rule against sections made by hand."""
+    html = F.regexp_replace("html", r"(?i)<(/?)h1\b", "<$1h2")
+    return S.sections_by_role(table(spark, sf_dir, "pages").select("page_id", html.alias("html")), "page_id", "html").withColumn("texts", F.array_join("texts", "\n"))
+
+
 _FIELDS = [("1", "Wages"), ("2", "Interest"), ("2", "Dividends"), ("3b", "Gains")]
 _SECTIONS = f"p AS (SELECT page_id, unnest(string_split(c, chr(1))) AS part, generate_subscripts(string_split(c, chr(1)), 1) - 1 AS sequence FROM (SELECT page_id, regexp_replace({_CLEAN}, '(?i)(<(?:h1|h2)\\b)', chr(1) || '\\1', 'g') AS c FROM pages)), s AS (SELECT page_id, sequence, 'Lines ' || (sequence + page_id % 2) || 'a–' || sequence || ' ' || {_STRIP('''regexp_extract(part, '(?is)^<(h1|h2)\\b[^>]*>(.*?)</(?:h1|h2)>', 2)''')} AS heading FROM p WHERE sequence > 0)"
 

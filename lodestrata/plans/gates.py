@@ -16,15 +16,15 @@ from .retrieval import _VEC, _vectors
 _checks = lambda *c: "SELECT unnest([" + ", ".join(f"'{n}'" for n, _, _ in c) + "]) AS \"check\", unnest([" + ", ".join(f"({v})::DOUBLE" for _, v, _ in c) + "]) AS value, unnest([" + ", ".join(f"coalesce({ok}, false)" for _, _, ok in c) + "]) AS passed"
 
 
-@query("""WITH c AS (SELECT source, count(*) FILTER (coalesce(trim(text), '') = '') AS b, count(*) FILTER (NOT coalesce(n_chars > 0, false)) AS c, count(*) FILTER (NOT coalesce(doc_id % 50 >= 1, false)) AS e, count(*) FILTER (NOT regexp_matches(format('p{}-2025::{:04d}', source, doc_id), '^p\\w+-\\d{4}::\\d{4}$')) AS f, count(*) AS a FROM documents WHERE source IS NOT NULL GROUP BY source),
+@query("""WITH c AS (SELECT source, count(*) FILTER (coalesce(trim(text), '') = '') AS b, count(*) FILTER (NOT coalesce(n_chars > 0, false)) AS c, count(*) FILTER (NOT coalesce(doc_id % 50 >= 1, false)) AS e, count(*) FILTER (NOT regexp_matches(format('p{}-2025::{:04d}', source, doc_id), '^p\\w+-\\d{4}::\\d{4}$')) AS f, count(*) FILTER (doc_id % 7 = 0) AS g, count(*) FILTER (doc_id % 26 = 0) AS h, count(*) AS a FROM documents WHERE source IS NOT NULL GROUP BY source),
 i AS (SELECT source, count(*) FILTER (n > 1) AS d FROM (SELECT source, doc_id // 2 AS x, count(*) AS n FROM documents GROUP BY ALL) GROUP BY source)
-SELECT source AS pub_id, unnest(['A_COUNT', 'D_INDEX', 'B_TEXT', 'C_TOKENS', 'E_PAGES', 'F_IDS', 'G_REFS', 'H_DIMENSION']) AS "check", unnest([a, d, b, c, e, f, 0, 0])::DOUBLE AS value, unnest([a >= 10, d = 0, b = 0, c = 0, e = 0, f = 0, true, true]) AS passed FROM c JOIN i USING (source)""")
+SELECT source AS pub_id, unnest(['A_COUNT', 'D_INDEX', 'B_TEXT', 'C_TOKENS', 'E_PAGES', 'F_IDS', 'G_REFS', 'H_DIMENSION']) AS "check", unnest([a, d, b, c, e, f, g, h])::DOUBLE AS value, unnest([a >= 10, d = 0, b = 0, c = 0, e = 0, f = 0, g = 0, h = 0]) AS passed FROM c JOIN i USING (source)""")
 def gate_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as chunks of their sources; every second place is taken twice."""
+    """Documents as chunks of their sources; every second place is taken twice, some name a form twice, and some have a vector of another length."""
     docs = table(spark, sf_dir, "documents").filter("source IS NOT NULL")
     none = F.array().cast("array<string>")
-    rows = docs.select(F.col("source").alias("pub_id"), F.expr("doc_id DIV 2").alias("chunk_index"), "text", F.col("n_chars").alias("token_count"), (F.col("doc_id") % 50).alias("page_start"), Q.chunk_id(F.col("source"), F.lit(2025), F.col("doc_id")).alias("chunk_id"), none.alias("form_refs"), none.alias("line_refs"), F.lit(None).cast("array<float>").alias("embedding"))
-    return G.chunks_gate(rows)
+    rows = docs.select(F.col("source").alias("pub_id"), F.expr("doc_id DIV 2").alias("chunk_index"), "text", F.col("n_chars").alias("token_count"), (F.col("doc_id") % 50).alias("page_start"), Q.chunk_id(F.col("source"), F.lit(2025), F.col("doc_id")).alias("chunk_id"), F.array(F.lit("Form1"), F.when(F.col("doc_id") % 7 == 0, "Form1").otherwise("Form2")).alias("form_refs"), none.alias("line_refs"), F.when(F.col("doc_id") % 2 == 0, F.array_repeat(F.lit(0.5), F.when(F.col("doc_id") % 26 == 0, 3).otherwise(4))).alias("embedding"))
+    return G.chunks_gate(rows, 4)
 
 
 @query("""WITH e AS (SELECT DISTINCT source AS pub FROM documents WHERE source IS NOT NULL UNION ALL SELECT 'missing'), f AS (SELECT source AS pub, count(*) AS chunks, count(l.doc_id) AS embedded, avg(greatest(1, n_chars // 4)) AS tokens FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY source)
@@ -54,13 +54,33 @@ def gate_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.probes_gate(probes, found.select("qid", "rank", "pub", "score", "text"))
 
 
-@query("WITH x AS (SELECT count(*) FILTER (s_acctbal < 3000) AS a, count(*) FILTER (s_suppkey % 10 < 4) AS b FROM supplier) " + _checks(("A_CONTEXTS", "a", "a = 0"), ("B_SCORE", "b", "b = 0"), ("C_ANSWER", "0", "true"), ("D_CITATION", "0", "true"), ("E_RETRIEVAL", "0", "true"), ("F_SYNTHESIS", "0", "true")) + " FROM x")
+@query(f"WITH x AS (SELECT count(*) FILTER (floor(s_acctbal / 1000) < {G.CONTEXTS}) AS a, count(*) FILTER (s_suppkey % 10 / 10.0 < {G.LEAST_SCORE}) AS b, count(*) FILTER (10 * (s_suppkey % 20) < {G.ANSWER}) AS c, count(*) FILTER (s_nationkey % 3 < 1) AS d, count(*) FILTER (abs(s_acctbal) > {G.RETRIEVAL_MS}) AS e, count(*) FILTER (5 * abs(s_acctbal) > {G.SYNTHESIS_MS}) AS f FROM supplier) " + _checks(("A_CONTEXTS", "a", "a = 0"), ("B_SCORE", "b", "b = 0"), ("C_ANSWER", "c", "c = 0"), ("D_CITATION", "d", "d = 0"), ("E_RETRIEVAL", "e", "e = 0"), ("F_SYNTHESIS", "f", "f = 0")) + " FROM x")
 def gate_agent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as answers: their balance in thousands as the number of contexts."""
-    rows = table(spark, sf_dir, "supplier").select(F.floor(F.col("s_acctbal") / 1000).alias("contexts"), (F.col("s_suppkey") % 10 / 10.0).alias("min_score"), F.repeat(F.lit("x"), F.lit(100)).alias("answer"), F.lit(1).alias("citations"), F.lit(10).alias("retrieval_ms"), F.lit(10).alias("synthesis_ms"))
+    """Suppliers as answers: their balance as the number of contexts and as times, their key as score and length, their nation as citations."""
+    took = F.abs("s_acctbal")
+    rows = table(spark, sf_dir, "supplier").select(
+        F.floor(F.col("s_acctbal") / 1000).alias("contexts"), (F.col("s_suppkey") % 10 / 10.0).alias("min_score"), F.repeat(F.lit("xxxxxxxxxx"), (F.col("s_suppkey") % 20).cast("int")).alias("answer"), (F.col("s_nationkey") % 3).alias("citations"),
+        took.alias("retrieval_ms"), (5 * took).alias("synthesis_ms"),
+    )
     return G.agent_gate(rows)
 
 
+@query(f"WITH r AS (SELECT event_type, value > 50 AS ok FROM events WHERE value IS NOT NULL), x AS (SELECT round(avg(ok::INT), 6) AS rate, (SELECT count(*) FROM (SELECT event_type FROM r GROUP BY event_type HAVING count(*) >= 3 AND round(avg(ok::INT), 6) < 0.5)) AS bad FROM r) " + _checks(("ACCURACY", "rate", f"rate >= {G.REVIEW_RATE}"), ("SYSTEMATIC", "bad", "bad = 0")) + " FROM x")
+def gate_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as reviews of their types: above 50 is right, no value is unreviewed."""
+    return G.review_gate(table(spark, sf_dir, "events").withColumn("ok", F.col("value") > 50), "event_type", "ok").withColumn("value", F.round("value", 6))
+
+
+@query(f"WITH {_VEC}, z AS (SELECT e.vec_id, max((qlabel = dlabel)::INT) AS hit FROM embeddings e LEFT JOIN v ON v.qid = e.vec_id WHERE e.vec_id % 20 = 0 GROUP BY e.vec_id), x AS (SELECT round(avg(coalesce(hit, 0)), 6) AS r FROM z) SELECT 'hit_rate' AS \"check\", r AS value, r >= 0.5 AS passed FROM x")
+def gate_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hit rate of vector search over all queries, half of them at least."""
+    queries, corpus = _vectors(spark, sf_dir)
+    ranked = R.vector_topk(queries.drop("qlabel"), corpus.drop("dlabel"), 10).join(corpus.select("id", "dlabel"), "id")
+    hit = F.col("qlabel") == F.col("dlabel")
+    each = queries.select("qid", "qlabel").join(ranked, "qid", "left").groupBy("qid").agg(F.min(F.when(hit, F.col("rank"))).alias("first_hit"), F.count_if(hit).alias("found"), F.lit(1).alias("relevant"))
+    return G.rate_gate(R.ranking_metrics(each, []), "hit_rate", 0.5)
+
+
 @query("WITH x AS (SELECT count(*) FILTER (p_size > 2 AND trim(p_comment) = '') AS e, 0 AS h, count(*) AS n, count(*) FILTER (p_partkey % 2 = 0) AS l, coalesce(avg(CASE WHEN p_partkey % 2 = 0 THEN (p_partkey % 3 = 0)::INT END), 1) AS r FROM (SELECT p_partkey, p_size, p_name AS p_comment FROM part)) " + _checks(("EMPTY_CONTENT", "e", "e = 0"), ("HEADING_QUALITY", "h", "h = 0"), ("SECTION_COUNT", "n", "n >= 10"), ("LINE_SECTIONS", "l", "l >= 5"), ("FIELD_MAP_RATE", "round(r, 6)", "r >= 0.7")) + " FROM x")
 def gate_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as sections: every second is about a line, every third has a field."""
@@ -92,6 +112,12 @@ def rule_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.regression(table(spark, sf_dir, "lineitem"), _OLD, _NEW).groupBy("change").agg(F.count("*").alias("n"))
 
 
+@query("WITH f AS (SELECT l_quantity > 45 AS a, l_returnflag = 'R' AND l_discount > 0.05 AS b, l_tax > 0.07 AS c, l_quantity > 48 AS a2, l_tax <> 0 AND abs(l_discount - l_tax) / l_tax > 3 AS d FROM lineitem), x AS (SELECT count(*) FILTER ((a OR b OR c) <> (a2 OR b OR d) AND NOT (a OR a2 OR d)) AS n FROM f) " + _checks(("UNEXPECTED", "n", "n = 0")) + " FROM x")
+def gate_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes that turned without a changed rule: rule C, which is gone, explains none."""
+    return G.regression_gate(L.regression(table(spark, sf_dir, "lineitem"), _OLD, _NEW))
+
+
 @query("WITH f AS (SELECT l_quantity > 45 AS a, l_returnflag = 'R' AND l_discount > 0.05 AS b, l_tax > 0.07 AS c, l_linestatus = 'O' AS want FROM lineitem), x AS (SELECT round(avg((CASE WHEN a OR b THEN want AND (NOT want OR b) ELSE NOT want END)::INT), 6) AS m FROM f) " + _checks(("ERROR_MATCH", "m", "m >= 1"), ("WARNING_MATCH", "1", "true")) + " FROM x")
 def gate_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open lines are expected to be rejected by rule B, others to be accepted; rule C is a warning."""

@@ -187,3 +187,34 @@ def answer_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = chunks.filter("pub IS NOT NULL").withColumn("year", F.when(F.col("doc_id") % 2 == 0, 2024).otherwise(2023)).withColumn("chunk_type", F.when(F.col("doc_id") % 11 == 0, "pub_summary").otherwise("detail")).withColumn("section", F.lit("")).drop("doc_id")
     ontology = spark.createDataFrame([("a", f"src{i}", i) for i in range(3)] + [("b", f"src{i}", i) for i in range(3, 6)], "topic string, pub string, ord int")
     return C.contexts(asked.withColumns({"text": text, "topics": F.array(F.lit("a"), F.lit("b"))}), own, ontology, 10).select("qid", "mode", "id", "pub", "place")
+
+
+@query("WITH o AS (SELECT r_name AS topic, n_name AS pub, n_nationkey AS ord FROM nation JOIN region ON r_regionkey = n_regionkey), q AS (SELECT c_custkey AS qid, n.n_name AS own, [r.r_name, s.r_name] AS topics FROM customer JOIN nation n ON n.n_nationkey = c_nationkey JOIN region r ON r.r_regionkey = n.n_regionkey JOIN region s ON s.r_regionkey = (n.n_regionkey + 1) % 5), t AS (SELECT qid, own, unnest(topics) AS topic, generate_subscripts(topics, 1) AS pos FROM q), p AS (SELECT qid, pub, min(pos * 1000 + ord) AS first FROM t JOIN o USING (topic) WHERE pub <> own GROUP BY ALL) SELECT qid, pub, row_number() OVER (PARTITION BY qid ORDER BY first, pub) AS rank FROM p QUALIFY rank <= 4")
+def ontology_pubs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as publications of their region's topic: of each customer's two topics the first four that are not in scope, which is the own nation."""
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    ontology = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("topic"), F.col("n_name").alias("pub"), F.col("n_nationkey").alias("ord"))
+    after = region.select(((F.col("r_regionkey") + 4) % 5).alias("before"), F.col("r_name").alias("second"))
+    own = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).join(after, F.col("before") == F.col("r_regionkey"))
+    asked = table(spark, sf_dir, "customer").join(own, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("qid"), F.array("r_name", "second").alias("topics"), F.col("n_name").alias("pub"))
+    return C.topic_pubs(asked, ontology, asked.select("qid", "pub"), most=4)
+
+
+@query("WITH q AS (SELECT n_nationkey AS qid, 'IRS' || n_regionkey AS path, 'E1' || n_nationkey AS code, CASE WHEN n_nationkey % 3 > 0 THEN 2022 + n_nationkey % 3 END AS year FROM nation), r AS (SELECT 'R' || p_partkey AS id, '//IRS' || (p_size % 10) || '/A' AS path, 'E' || p_partkey AS code, CASE WHEN p_size > 40 THEN 'ERROR' WHEN p_size > 20 THEN 'WARNING' ELSE 'INFO' END AS severity, p_name AS t, 2023 + p_partkey % 2 AS year FROM part), m AS (SELECT DISTINCT qid, id, severity, t FROM q JOIN r ON (contains(r.path, q.path) AND (q.year IS NULL OR q.year = r.year)) OR starts_with(r.code, q.code)) SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY CASE severity WHEN 'ERROR' THEN 0 WHEN 'WARNING' THEN 1 ELSE 2 END, id) AS rank, CASE WHEN severity = 'ERROR' THEN 1.0 ELSE 0.8 END::DOUBLE AS score, '[' || severity || '] ' || id || ': ' || t AS text FROM m QUALIFY rank <= 3")
+def rules_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as rules and nations as questions that name a form, a year or the beginning of an error code."""
+    n = F.col("n_nationkey")
+    asked = table(spark, sf_dir, "nation").select(n.alias("qid"), F.array(F.concat(F.lit("Form"), F.col("n_regionkey").cast("string"))).alias("form_refs"), F.concat(F.lit("E1"), n.cast("string")).alias("code"), F.when(n % 3 > 0, 2022 + n % 3).alias("year"))
+    key, size = F.col("p_partkey"), F.col("p_size")
+    level = F.when(size > 40, "ERROR").when(size > 20, "WARNING").otherwise("INFO")
+    rules = table(spark, sf_dir, "part").select(F.concat(F.lit("R"), key.cast("string")).alias("rule_id"), F.concat(F.lit("//IRS"), (size % 10).cast("string"), F.lit("/A")).alias("field_path"), F.concat(F.lit("E"), key.cast("string")).alias("error_code"), level.alias("severity"), F.col("p_name").alias("rule_text"), (2023 + key % 2).cast("int").alias("year"))
+    return C.rules_for(asked, rules)
+
+
+@query("WITH q AS (SELECT n_nationkey AS qid, unnest([n_nationkey::VARCHAR, n_regionkey || 'a']) AS line FROM nation), s AS (SELECT 's' || p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN (p_size % 5) || 'a' ELSE p_size::VARCHAR END AS line FROM part) SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY id) AS rank, 0.9::DOUBLE AS score FROM (SELECT DISTINCT qid, id FROM q JOIN s USING (line)) QUALIFY rank <= 3")
+def sections_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as sections about lines, and nations as questions that name two lines each."""
+    key = F.col("p_partkey")
+    asked = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("qid"), F.array(F.col("n_nationkey").cast("string"), F.concat(F.col("n_regionkey").cast("string"), F.lit("a"))).alias("lines"))
+    sections = table(spark, sf_dir, "part").select(F.concat(F.lit("s"), key.cast("string")).alias("id"), F.when(key % 4 == 0, F.concat((F.col("p_size") % 5).cast("string"), F.lit("a"))).otherwise(F.col("p_size").cast("string")).alias("line"))
+    return C.sections_for(asked, sections)
