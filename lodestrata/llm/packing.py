@@ -9,7 +9,7 @@ between epochs each sends its best chromosome to the next island of its block by
 soon as it has as few bins as its tokens need. What the blocks leave in bins that
 aren't well filled is packed once more, many blocks' together and with the bins as they are among the parents, so that half-empty bins meet and no sequence is lost by it.
 
-Nulls: a null text is the empty text, its end id alone; null and repeated ids are kept and packed as rows of their own. An empty table gives an empty one.
+Nulls: a null text is the empty text, its end id alone; null and repeated ids are kept and packed as rows of their own. Ids are whole numbers; an id that isn't one is an error. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from .common import drop_written, fresh, map_batches, written
 from .token_files import with_end
 from .tokenizing import default_tokenizer, encoder, portions
 
-CAPACITY, SEQUENCES, BLOCK, ISLANDS, EPOCHS, POPULATION, GENERATIONS, EFFORT, WELL, OPEN, SEED = 2048, 4096, 65_536, 3, 2, 6, 24, 400_000, 0.995, 0.98, 42
+CAPACITY, SEQUENCES, BLOCK, ISLANDS, EPOCHS, POPULATION, GENERATIONS, EFFORT, WELL, OPEN, SEED = 2048, 4096, 65_536, 3, 3, 6, 10, 120_000, 0.995, 0.98, 42
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -184,7 +184,7 @@ def _placed(best: DataFrame) -> DataFrame:
 
 
 def packed(pieces: DataFrame, capacity: int = CAPACITY, sequences: int = SEQUENCES, block: int = BLOCK, islands: int = ISLANDS, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
-    """pieces (with a length, at most capacity) and for each its sequence_id, its offset there, gapless from 0, and generations, which the islands of its block took (0 for pieces that fill a sequence). Columns of pieces that are called so give way."""
+    """pieces (with a length, at most capacity) and for each its sequence_id, its offset there, gapless from 0, and generations, which the islands of its block took in the round that placed it (0 for pieces that fill a sequence). Columns of pieces that are called so give way."""
     (uid,) = fresh(pieces, "uid")
     rows = written(pieces.drop("sequence_id", "offset", "generations").withColumn(uid, F.monotonically_increasing_id()), "pieces")
     loose = rows.filter(F.col("length") < capacity).select(F.col(uid).alias("uid"), "length")
