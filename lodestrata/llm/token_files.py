@@ -8,7 +8,8 @@ XXH64 of each frame's content as its checksum. A reader that wants some document
 Files are written under a name of their own for each attempt and then renamed, so a retried or speculative task leaves one whole file. Each
 task streams: it holds one frame and the directory of its own file.
 
-Nulls: a null text is the empty text (one end id); null ids come first. Rows with equal ids stay in the order of their texts. An empty table gives no file.
+Nulls: a null text is the empty text (one end id); null ids come first. Rows with equal ids stay in the order of their texts; an id that very many rows share is parted over files by how its texts begin. Ids are whole numbers; an id that
+isn't one is an error. An empty table gives no file.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import map_batches, scratch_path, written
 from .tokenizing import default_tokenizer, encoder, portions
 
-FRAME, LEVEL = 1 << 16, 1
+FRAME, LEVEL, BEGINNING = 1 << 16, 1, 64
 SKIPPABLE_DIRECTORY, SKIPPABLE_SEEK, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 IDS = np.dtype("<u4")
 
@@ -175,7 +176,7 @@ def _write(folder: str, tokenizer: str, end_id: int):
 def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the files to folder (a URI that driver and executors share) and returns what they hold: shard, file, documents, tokens, start."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    sorted_rows = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
+    sorted_rows = rows.repartitionByRange("id", F.left("text", F.lit(BEGINNING))).sortWithinPartitions("id", "text")
     listed = written(map_batches(sorted_rows, _write(folder, tokenizer or default_tokenizer(), end_id), "shard int, file string, documents bigint, tokens bigint"), "token-files")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
     return listed.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
