@@ -14,7 +14,7 @@ the same lines.
    first place of the same lines yields the whole run, and no more.
 4. Deletion. Windows that have an earlier place become ranges of lines, gathered for each document, and the text is put together without them.
 
-Nulls: a null text stays null. Empty texts and texts under RUN words stay as they are. A text may become empty; its row stays. Other columns pass through untouched.
+Nulls: a null text stays null. Empty texts and texts under RUN words stay as they are. A text may become empty; its row stays. Ids are whole numbers; an id that isn't one is an error. Other columns pass through untouched.
 """
 
 from __future__ import annotations

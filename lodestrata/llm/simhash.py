@@ -211,9 +211,9 @@ def _near_prints(sets: DataFrame) -> DataFrame:
 
 
 def _frequent(texts: DataFrame, words: int) -> np.ndarray:
-    """Hashes of the shingles that most texts of a sample of about SAMPLE have; FREQUENT at most."""
+    """Hashes of the shingles that most texts of a sample of about SAMPLE rows have; FREQUENT at most. Rows are chosen by id and text, so copies of a text come in in proportion, however many they are."""
     share = max(1, texts.count() // SAMPLE)
-    sample = texts.filter(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).select(F.explode(arrow_column(_shingles(words), "array<bigint>", "text")).alias("key"))
+    sample = texts.filter(F.pmod(F.xxhash64("id", "text"), F.lit(share)) == 0).select(F.explode(arrow_column(_shingles(words), "array<bigint>", "text")).alias("key"))
     top = sample.groupBy("key").count().filter("count >= 4").orderBy(F.desc("count"), "key").limit(FREQUENT).collect()
     return np.array([r["key"] for r in top], np.int64)
 
