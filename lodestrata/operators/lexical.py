@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .stored import stored
 
 K1, B, BLOCK, BUCKETS = 1.2, 0.75, 128, 64
+#: Terms of queries that go to all tasks, of a few bytes each; more of them are joined by a shuffle.
+FEW = 100_000
 #: English words that full-text search leaves out.
 STOP = (
     "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves what which who whom this that these those am is are was "
@@ -134,10 +136,11 @@ def _bucket(buckets: int) -> Column:
     return F.pmod(F.crc32("term"), F.lit(buckets)).cast("int")
 
 
-def _tables(docs: DataFrame, stemmed: bool, only: DataFrame | None, buckets: int, block: int) -> tuple[DataFrame, DataFrame, int, float]:
+def _tables(docs: DataFrame, stemmed: bool, only: DataFrame | None, buckets: int, block: int) -> tuple[DataFrame, int, float]:
     seen = occurrences(docs.select("id", "text"), stemmed)
     if only is not None:
-        seen = seen.join(F.broadcast(only.distinct()) if only.limit(100_001).count() <= 100_000 else only.distinct(), "term", "left_semi").unionByName(seen.filter("term IS NULL"))
+        known = _few(only.distinct(), only.count()).withColumn("known", F.lit(True))
+        seen = seen.join(known, "term", "left").filter("known OR term IS NULL").drop("known")
     seen = stored(seen)
     n, mean = seen.filter("term IS NULL").agg(F.count("*"), F.avg("length")).first()
     mean, blocks = float(mean or 1.0), max(1, -(-n // block))
@@ -146,20 +149,30 @@ def _tables(docs: DataFrame, stemmed: bool, only: DataFrame | None, buckets: int
     rows = seen.filter("term IS NOT NULL").groupBy("term", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
     postings = rows.agg(F.max(_share(tf.cast("double"), F.col("length"), mean)).alias("top"), F.sort_array(F.collect_list(entry)).alias("entries"))
     postings = postings.select("term", "block", "top", F.size("entries").alias("n"), F.col("entries.id").alias("ids"), F.col("entries.tf").alias("tfs"), F.col("entries.length").alias("lengths"), F.col("entries.positions").alias("positions"))
-    return postings.withColumn("bucket", _bucket(buckets)), seen.filter("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df")), n, mean
+    return postings.withColumn("bucket", _bucket(buckets)), n, mean
+
+
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    """df with a hint to broadcast it where it has no more than so many rows as are known to be few."""
+    return F.broadcast(df) if rows <= FEW else df
+
+
+def _terms(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("term").agg(F.sum("n").alias("df"))
 
 
 def build(docs: DataFrame, stemmed: bool = True, only: DataFrame | None = None, block: int = BLOCK) -> Index:
     """An index of docs (id, text) for this session, of all terms or of those of only (term)."""
-    postings, terms, n, mean = _tables(docs, stemmed, only, 1, block)
-    return Index(stored(postings), stored(terms), n, mean, stemmed, 1)
+    postings, n, mean = _tables(docs, stemmed, only, 1, block)
+    postings = stored(postings)
+    return Index(postings, _terms(postings), n, mean, stemmed, 1)
 
 
 def write_index(docs: DataFrame, path: str, stemmed: bool = True, buckets: int = BUCKETS, block: int = BLOCK) -> None:
     """The index of docs (id, text) written to a folder, once for all searches. One shuffle by term and block, one by bucket; a frequent term is parted over its blocks."""
-    postings, terms, n, mean = _tables(docs, stemmed, None, buckets, block)
+    postings, n, mean = _tables(docs, stemmed, None, buckets, block)
     postings.repartition("bucket", F.pmod("block", F.lit(8))).sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    terms.withColumn("bucket", _bucket(buckets)).repartition("bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
+    _terms(docs.sparkSession.read.parquet(f"{path}/postings")).withColumn("bucket", _bucket(buckets)).repartition("bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
     docs.sparkSession.createDataFrame([(n, mean, stemmed, buckets)], "n long, mean double, stemmed boolean, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
 
 
@@ -177,29 +190,32 @@ def query_terms(queries: DataFrame, stemmed: bool = True) -> DataFrame:
 def search(index: Index, queries: DataFrame, k: int, by: str = "bm25") -> DataFrame:
     """queries (qid, text) to search_terms, with rank by score, ties by id, and density."""
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    return search_terms(index, stored(query_terms(queries, index.stemmed)), k, by).withColumn("rank", F.row_number().over(w)).withColumn("density", F.round(_density("positions"), 6)).drop("positions")
+    (found,) = search_terms(index, stored(query_terms(queries, index.stemmed)), k, (by,))
+    return found.withColumn("rank", F.row_number().over(w)).withColumn("density", F.round(_density("positions"), 6)).drop("positions")
 
 
-def search_terms(index: Index, asked: DataFrame, k: int, by: str = "bm25") -> DataFrame:
-    """asked (qid, term, terms): (qid, id, score, matched, terms, occurrences, positions), the k best of each query by score rounded to six digits, ties by id.
+def search_terms(index: Index, asked: DataFrame, k: int, orders: tuple[str, ...] = ("bm25",)) -> list[DataFrame]:
+    """asked (qid, term, terms): for each of the orders (qid, id, score, matched, terms, occurrences, positions), the k best of each query in it, by values rounded to six digits, ties by id.
 
-    by: bm25, or share (of the query's terms found); score is BM25 all the same. matched: different terms found; occurrences: how often in all; positions: of each term found, a list."""
-    postings, known = index.postings, index.terms
+    Orders are bm25 and share (of the query's terms found); score is BM25 in both. matched: different terms found; occurrences: how often in all; positions: of each term found, a list."""
+    postings, known, n = index.postings, index.terms, asked.count()
     if index.buckets > 1:
         used = [r["bucket"] for r in asked.select(_bucket(index.buckets).alias("bucket")).distinct().collect()]  # as many as there are buckets at most
         postings, known = postings.filter(F.col("bucket").isin(used)), known.filter(F.col("bucket").isin(used))
-    few = lambda d: F.broadcast(d) if d.limit(100_001).count() <= 100_000 else d
-    # The terms that are asked for, with the weight of each; then (qid, term, weight), and of the postings those terms' rows.
+    # The terms that are asked for and that there are, with the weight of each; of the postings those terms' rows.
     idf = F.log(1 + (F.lit(float(index.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = stored(known.join(few(asked.select("term").distinct()), "term").select("term", idf.alias("idf")))
-    wanted = stored(asked.join(few(weights), "term"))
-    own = postings.join(few(weights.select("term")), "term")
+    wanted = stored(known.join(_few(asked, n), "term").select("qid", "term", "terms", idf.alias("idf")))
+    own = postings.join(_few(wanted.select("term").distinct(), n), "term", "left_semi")
+    return [_best(index, own, _few(wanted, n), k, by) for by in orders]
+
+
+def _best(index: Index, own: DataFrame, wanted: DataFrame, k: int, by: str) -> DataFrame:
     part = (F.col("idf") * F.col("top")) if by == "bm25" else (1 / F.col("terms"))
-    bounds = own.select("term", "block", "top").join(few(wanted), "term").groupBy("qid", "block").agg(F.sum(part).alias("most"), F.max(part).alias("sure"))
+    bounds = own.select("term", "block", "top").join(wanted, "term").groupBy("qid", "block").agg(F.sum(part).alias("most"), F.max(part).alias("sure"))
     place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("sure")))
     least = bounds.withColumn("place", place).filter(F.col("place") <= k).groupBy("qid").agg(F.min("sure").alias("least"), F.count("*").alias("blocks"))
     kept = bounds.join(least, "qid").filter((F.col("blocks") < k) | (F.col("most") >= F.col("least") - 1e-5)).select("qid", "block")
-    hits = own.join(few(wanted), "term").join(kept, ["qid", "block"])
+    hits = own.join(wanted, "term").join(kept, ["qid", "block"])
     each = F.explode(F.arrays_zip("ids", "tfs", "lengths", "positions")).alias("e")
     rows = hits.select("qid", "terms", "idf", each).select("qid", "terms", "idf", F.col("e.ids").alias("id"), F.col("e.tfs").alias("tf"), F.col("e.lengths").alias("length"), F.col("e.positions").alias("positions"))
     score = F.round(F.sum(F.col("idf") * _share(F.col("tf").cast("double"), F.col("length"), index.mean)), 6)

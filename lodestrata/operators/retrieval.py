@@ -180,7 +180,7 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     An index of the queries' own words is made for the call; for a corpus that is searched more than once, write one with lexical.write_index and ask it with lexical.search."""
     asked = stored(lexical.query_terms(queries, False))
     index = lexical.build(docs, False, asked.select("term"))
-    found = [lexical.search_terms(index, asked, k, by).select("qid", "id", "score", "matched", "terms") for by in ("bm25", "share")]
+    found = [d.select("qid", "id", "score", "matched", "terms") for d in lexical.search_terms(index, asked, k, ("bm25", "share"))]
     return found[0].unionByName(found[1]).distinct()
 
 
