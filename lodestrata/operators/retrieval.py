@@ -147,26 +147,53 @@ def _best(scores: np.ndarray, rows: np.ndarray, k: int, columns: np.ndarray | No
 
 
 def fit_cells(corpus: DataFrame, cells: int, sample: int = 20_000, seed: int = 42) -> list[list[float]]:
-    """Centres of cells by k-means on a bounded sample: the vectors of the smallest hashes of ids."""
+    """Centres of cells by k-means on a bounded sample: the vectors of the smallest hashes of ids, without those that are null."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    rows = corpus.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).select(array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
+    rows = corpus.filter("vec IS NOT NULL").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).select(array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
     return [c.tolist() for c in KMeans(k=cells, seed=seed, maxIter=10).fit(rows).clusterCenters()]
 
 
 def nearest_cells(vec: str, centres: list[list[float]], n: int) -> Column:
-    """Numbers of the n centres nearest to a vector. The centres are a list of bounded length inside the expression."""
-    away = [F.struct(F.aggregate(F.zip_with(vec, F.array(*(F.lit(float(x)) for x in c)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x).alias("d"), F.lit(i).alias("cell")) for i, c in enumerate(centres)]
-    return F.transform(F.slice(F.array_sort(F.array(*away)), 1, n), lambda x: x.cell)
+    """Numbers of the n centres nearest to a vector brought to length one, nearest first. The centres are of bounded number; a matrix of them goes to each task."""
+    c = np.array(centres, float)
+
+    def each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for array in batches:
+            away = (c * c).sum(1) - 2 * _matrix(array, c.shape[1]) @ c.T
+            found = np.argsort(away, axis=1, kind="stable")[:, :n].astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * found.shape[1], pa.int32()), pa.array(found.ravel()))
+
+    return F.arrow_udf(each, "array<int>")(F.col(vec))
 
 
 def cell_topk(queries: DataFrame, corpus: DataFrame, k: int, centres: list[list[float]], probes: int) -> DataFrame:
-    """vector_topk among the vectors of the probes cells nearest to each query. Every vector is indexed, under its own nearest cell."""
-    indexed = corpus.withColumn("cell", nearest_cells("vec", centres, 1)[0])
-    asked = queries.withColumn("cell", F.explode(nearest_cells("qvec", centres, probes)))
-    found = indexed.join(small(asked), "cell").filter("qid <> id")
-    return top(found.select("qid", "id", cosine("vec", "qvec").alias("score")), k)
+    """vector_topk among the vectors of the probes cells nearest to each query. Every vector is indexed, under its own nearest cell; the cells of a query travel with it."""
+    indexed = corpus.filter("id IS NOT NULL").withColumn("cell", nearest_cells("vec", centres, 1)[0])
+    return _in_cells(queries, indexed, k, centres, probes)
+
+
+def _in_cells(queries: DataFrame, indexed: DataFrame, k: int, centres: list[list[float]], probes: int) -> DataFrame:
+    scope = queries.select("qid", F.explode(nearest_cells("qvec", centres, probes)).alias("cell"))
+    return top(vector_topk_by_facet(queries, indexed, k, "cell", scope).select("qid", "id", "score"), k)
+
+
+def write_cells(corpus: DataFrame, path: str, cells: int, sample: int = 20_000) -> None:
+    """The index of corpus (id, vec) written to a folder: every vector in a folder of its cell, and the centres. One shuffle by cell; a cell that holds very many vectors is parted over files."""
+    centres = fit_cells(corpus, cells, sample)
+    rows = corpus.filter("id IS NOT NULL").withColumn("cell", nearest_cells("vec", centres, 1)[0])
+    rows.repartition("cell", F.pmod(F.xxhash64("id"), F.lit(8))).write.mode("overwrite").partitionBy("cell").parquet(f"{path}/vectors")
+    table = corpus.sparkSession.createDataFrame(list(enumerate(centres)), "cell int, centre array<double>")
+    table.coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
+
+
+def search_cells(path: str, queries: DataFrame, k: int, probes: int) -> DataFrame:
+    """cell_topk over a written index; only folders of cells that some query probes are read."""
+    spark = queries.sparkSession
+    centres = [r["centre"] for r in spark.read.parquet(f"{path}/centres").orderBy("cell").collect()]
+    used = [r["cell"] for r in queries.filter("qid IS NOT NULL").select(F.explode(nearest_cells("qvec", centres, probes)).alias("cell")).distinct().collect()]  # as many as there are cells at most
+    return _in_cells(queries, spark.read.parquet(f"{path}/vectors").filter(F.col("cell").isin(used)), k, centres, probes)
 
 
 def words(text: Column | str) -> Column:

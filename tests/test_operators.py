@@ -64,12 +64,25 @@ def test_rerank_equals_a_plain_loop(spark):
     assert [r.rank for r in places] == [1, 3, 5, 7, 9, 10, 8, 6, 4, 2]
 
 
-def test_cells_find_nine_of_ten(spark):
-    exact = {(r.qid, r.id) for r in QUERIES["vec_topk"](spark, SF).collect()}
-    near = {(r.qid, r.id) for r in QUERIES["vec_topk_cells"](spark, SF).collect()}
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_cells_find_nine_of_ten(spark, sf):
+    exact = {(r.qid, r.id) for r in QUERIES["vec_topk"](spark, f"/root/testdata/{sf}").collect()}
+    near = {(r.qid, r.id) for r in QUERIES["vec_topk_cells"](spark, f"/root/testdata/{sf}").collect()}
     assert len(exact & near) >= 0.9 * len(exact)
 
 
+def test_only_the_cells_probed_are_read(spark, tmp_path):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").selectExpr("concat('v', vec_id) AS id", "embedding AS vec")
+    retrieval.write_cells(rows.unionByName(spark.createDataFrame([(None, [1.0] * 64), ("nothing", None)], "id string, vec array<float>")), f"file://{tmp_path}/c", 16)
+    asked = rows.filter("id IN ('v3', 'v7')").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+    found = retrieval.search_cells(f"file://{tmp_path}/c", asked, 5, 3)
+    files = {f.split("cell=")[1].split("/")[0] for f in spark.read.parquet(f"file://{tmp_path}/c/vectors").inputFiles()}
+    assert found.count() == 10 and len(files) == 16 and found.filter("qid = id").count() == 0
+    every = {(r.qid, r.id) for r in retrieval.search_cells(f"file://{tmp_path}/c", asked, 5, 16).collect()}
+    assert every == {(r.qid, r.id) for r in retrieval.vector_topk(asked, rows, 5).collect()}
+
+
+
 def test_html_sections(spark):
     html = '<head><h2>no</h2></head><p>first</p><h2 id="a">One <b>x</b></h2><p>t1</p><p>t2</p><nav><h3>no</h3></nav><h3>Two</h3>'
     rows = sections.sections(spark.createDataFrame([(1, html), (2, None)], "i int, h string"), "i", "h").orderBy("sequence").collect()
