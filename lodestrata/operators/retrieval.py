@@ -6,6 +6,8 @@ BROADCAST rows and is joined by key otherwise, except for exact vector search, w
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -15,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import lexical
+from .lexical import K1, B
 from .stored import stored
 
 #: Rows of a side that may be broadcast, by count.
@@ -202,13 +204,75 @@ def words(text: Column | str) -> Column:
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """queries (qid, text), docs (id, text): (qid, id, score, matched, terms): the k best of each query by BM25 and the k best by the share of its words found, over plain words without stems.
+    """queries (qid, text), docs (id, text): (qid, id, score, matched, terms) of documents with a word of the query: of each task the k best of a query by score and the k best by the share of words found.
+
+    matched and terms: distinct query words found and in all. Ids are of any type that has an order; rows with a null qid or id have no part. For a corpus that is searched more than once, write an index with
+    lexical.write_index and ask it with lexical.search. The texts are read once for each block of at most about BROADCAST queries: what they hold of the
+    block's words is written, as numbers; from that come the numbers of documents, and then each task's scores. No pair of query and document is shuffled but the best."""
+    asked = queries.filter("qid IS NOT NULL").select("qid", F.array_distinct(words("text")).alias("w")).filter(F.size("w") > 0)
+    n = asked.count()
+    blocks = 1 if n <= BROADCAST else -(-2 * n // max(1, BROADCAST))
+    block = F.pmod(F.xxhash64("qid"), F.lit(blocks))
+    rows = docs.filter("id IS NOT NULL").select("id", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    if blocks == 1:
+        return _bm25_block(asked, rows, k)
+    return reduce(DataFrame.unionByName, [stored(_bm25_block(asked.filter(block == i), rows, k)) for i in range(blocks)])
+
+
+def _counts(vocabulary: dict[str, int]):
+    """Of each text its number of words and, of the words in the vocabulary, the numbers and how often they occur."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = re.compile("[a-z0-9]+").findall
+        for batch in batches:
+            lengths, terms, counts = [], [], []
+            for text in batch["text"].to_pylist():
+                own = find(text)
+                held = Counter(filter(vocabulary.__contains__, own))
+                lengths.append(len(own))
+                terms.append([vocabulary[w] for w in held])
+                counts.append(list(held.values()))
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(lengths, pa.int32()), pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["id", "length", "terms", "counts"])
+
+    return each
+
+
+def _bm25_block(asked: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    table = asked.toArrow().combine_chunks()
+    qids, lists = table["qid"], table["w"].to_pylist()
+    kinds = [d.schema[c].dataType.simpleString() for d, c in ((asked, "qid"), (rows, "id"))]
+    vocabulary = {w: i for i, w in enumerate(sorted({w for ws in lists for w in ws}))}
+    own = np.array([len(ws) for ws in lists])
+    pairs = np.array([(vocabulary[w], q) for q, ws in enumerate(lists) for w in ws], np.int64).reshape(-1, 2)
+    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+    ends = np.searchsorted(pairs[:, 0], np.arange(len(vocabulary) + 1))  # the queries of each word lie together
+    held = stored(rows.mapInArrow(_counts(vocabulary), f"id {kinds[1]}, length int, terms array<int>, counts array<int>"))
+    size = held.agg(F.count("*"), F.avg("length")).first()
+    df = np.zeros(len(vocabulary))
+    for r in held.select(F.explode("terms").alias("t")).groupBy("t").count().toLocalIterator():
+        df[r["t"]] = r["count"]
+    idf, mean = np.log(1 + ((size[0] or 0) - df + 0.5) / (df + 0.5)), size[1] or 1.0
+    step = max(1, (1 << 21) // max(1, len(qids)))
 
-    An index of the queries' own words is made for the call; for a corpus that is searched more than once, write one with lexical.write_index and ask it with lexical.search."""
-    asked = stored(lexical.query_terms(queries, False))
-    index = lexical.build(docs, False, asked.select("term"))
-    found = [d.select("qid", "id", "score", "matched", "terms") for d in lexical.search_terms(index, asked, k, ("bm25", "share"))]
-    return found[0].unionByName(found[1]).distinct()
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, step):
+                part = batch.slice(i, step).sort_by("id")
+                ids, length = part["id"], part["length"].to_numpy()
+                term, tf = (pc.list_flatten(part[c]).to_numpy() for c in ("terms", "counts"))
+                doc = np.repeat(np.arange(len(ids)), pc.list_value_length(part["terms"]).to_numpy())
+                weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / mean))
+                n = ends[term + 1] - ends[term]
+                at = np.repeat(ends[term] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                cell = np.repeat(doc, n) * len(qids) + pairs[at, 1]
+                matched = np.bincount(cell, minlength=len(ids) * len(qids)).reshape(-1, len(qids))
+                score = np.bincount(cell, np.repeat(weight, n), len(ids) * len(qids)).reshape(-1, len(qids))
+                every = np.arange(len(ids))
+                kept = [_best(np.where(matched > 0, np.round(x, 6), -np.inf), every, k, None) for x in (score, matched / own)]
+                r, c = np.unique(np.column_stack([np.concatenate(x) for x in zip(*kept, strict=True)]), axis=0).T
+                yield pa.RecordBatch.from_pydict({"qid": qids.take(pa.array(c)).combine_chunks(), "id": ids.take(pa.array(r)), "score": pa.array(score[r, c]), "matched": pa.array(matched[r, c], pa.int64()), "terms": pa.array(own[c], pa.int64())})
+
+    return held.mapInArrow(each, f"qid {kinds[0]}, id {kinds[1]}, score double, matched bigint, terms bigint")
 
 
 def fuse(lists: list[DataFrame], k: int = 60) -> DataFrame:
