@@ -188,42 +188,51 @@ def query_terms(queries: DataFrame, stemmed: bool = True) -> DataFrame:
 
 
 def search(index: Index, queries: DataFrame, k: int, by: str = "bm25") -> DataFrame:
-    """queries (qid, text) to search_terms, with rank by score, ties by id, and density."""
+    """queries (qid, text): (qid, id, score, matched, terms, occurrences, rank, density), the k best of each query by values rounded to six digits, ties by id; rank is by score.
+
+    by: bm25, or share (of the query's terms found); score is BM25 in both. matched: different terms found; occurrences: how often in all; density: cover_density of their places."""
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    (found,) = search_terms(index, stored(query_terms(queries, index.stemmed)), k, (by,))
+    own, wanted = _asked(index, stored(query_terms(queries, index.stemmed)))
+    found = _positions(_best(index, own, wanted, k, by), own, wanted)
     return found.withColumn("rank", F.row_number().over(w)).withColumn("density", F.round(_density("positions"), 6)).drop("positions")
 
 
-def search_terms(index: Index, asked: DataFrame, k: int, orders: tuple[str, ...] = ("bm25",)) -> list[DataFrame]:
-    """asked (qid, term, terms): for each of the orders (qid, id, score, matched, terms, occurrences, positions), the k best of each query in it, by values rounded to six digits, ties by id.
-
-    Orders are bm25 and share (of the query's terms found); score is BM25 in both. matched: different terms found; occurrences: how often in all; positions: of each term found, a list."""
+def _asked(index: Index, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of asked (qid, term, terms) the postings of its terms, and (qid, term, terms, idf) of the terms that there are."""
     postings, known, n = index.postings, index.terms, asked.count()
     if index.buckets > 1:
         used = [r["bucket"] for r in asked.select(_bucket(index.buckets).alias("bucket")).distinct().collect()]  # as many as there are buckets at most
         postings, known = postings.filter(F.col("bucket").isin(used)), known.filter(F.col("bucket").isin(used))
-    # The terms that are asked for and that there are, with the weight of each; of the postings those terms' rows.
     idf = F.log(1 + (F.lit(float(index.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     wanted = stored(known.join(_few(asked, n), "term").select("qid", "term", "terms", idf.alias("idf")))
-    own = postings.join(_few(wanted.select("term").distinct(), n), "term", "left_semi")
-    return [_best(index, own, _few(wanted, n), k, by) for by in orders]
+    return postings.join(_few(wanted.select("term").distinct(), n), "term", "left_semi"), _few(wanted, n)
 
 
 def _best(index: Index, own: DataFrame, wanted: DataFrame, k: int, by: str) -> DataFrame:
+    """(qid, id, score, matched, terms, occurrences), the k best of each query by bm25, or by the share of its terms that are found."""
     part = (F.col("idf") * F.col("top")) if by == "bm25" else (1 / F.col("terms"))
     bounds = own.select("term", "block", "top").join(wanted, "term").groupBy("qid", "block").agg(F.sum(part).alias("most"), F.max(part).alias("sure"))
     place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("sure")))
     least = bounds.withColumn("place", place).filter(F.col("place") <= k).groupBy("qid").agg(F.min("sure").alias("least"), F.count("*").alias("blocks"))
     kept = bounds.join(least, "qid").filter((F.col("blocks") < k) | (F.col("most") >= F.col("least") - 1e-5)).select("qid", "block")
     hits = own.join(wanted, "term").join(kept, ["qid", "block"])
-    each = F.explode(F.arrays_zip("ids", "tfs", "lengths", "positions")).alias("e")
-    rows = hits.select("qid", "terms", "idf", each).select("qid", "terms", "idf", F.col("e.ids").alias("id"), F.col("e.tfs").alias("tf"), F.col("e.lengths").alias("length"), F.col("e.positions").alias("positions"))
+    each = F.explode(F.arrays_zip("ids", "tfs", "lengths")).alias("e")
+    rows = hits.select("qid", "terms", "idf", each).select("qid", "terms", "idf", F.col("e.ids").alias("id"), F.col("e.tfs").alias("tf"), F.col("e.lengths").alias("length"))
     score = F.round(F.sum(F.col("idf") * _share(F.col("tf").cast("double"), F.col("length"), index.mean)), 6)
-    found = rows.groupBy("qid", "id").agg(score.alias("score"), F.count("*").alias("matched"), F.first("terms").alias("terms"), F.sum("tf").alias("occurrences"), F.collect_list("positions").alias("positions"))
+    found = rows.groupBy("qid", "id").agg(score.alias("score"), F.count("*").alias("matched"), F.first("terms").alias("terms"), F.sum("tf").alias("occurrences"))
     key = F.desc("score") if by == "bm25" else F.desc(F.round(F.col("matched") / F.col("terms"), 6))
     return found.withColumn("_r", F.row_number().over(Window.partitionBy("qid").orderBy(key, "id"))).filter(F.col("_r") <= k).drop("_r")
 
 
+def _positions(found: DataFrame, own: DataFrame, wanted: DataFrame) -> DataFrame:
+    """found (qid, id and others) with positions, a list of places for each term found. Postings are read once more, for the best alone, which go to all tasks where they are few."""
+    best = stored(found)
+    pairs = best.select("qid", "id").join(wanted.select("qid", "term"), "qid")
+    places = own.select("term", F.explode(F.arrays_zip("ids", "positions")).alias("e")).select("term", F.col("e.ids").alias("id"), F.col("e.positions").alias("places"))
+    met = places.join(_few(pairs, pairs.count()), ["term", "id"])
+    return best.join(met.groupBy("qid", "id").agg(F.collect_list("places").alias("positions")), ["qid", "id"])
+
+
 def cover_density(lists: list[list[int]]) -> float:
     """Of the places of different terms: the sum over all shortest spans that hold every one of them of the number of terms over the span's length (Clarke, Cormack and Tudhope)."""
     spots = sorted((p, t) for t, places in enumerate(lists) for p in places)
