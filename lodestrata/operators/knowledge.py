@@ -131,10 +131,9 @@ def judge_report(scores: DataFrame, slices: list[str], dimensions: list[str], pa
     return sets.agg(slice_name(slices).alias("slice"), F.count("*").alias("n"), F.round(F.avg(F.coalesce(passed, F.lit(False)).cast("int")), 6).alias("pass_rate"), *means, *ends)
 
 
-def missed(expected: DataFrame, retrieved: DataFrame, question: str, item: str, most: int) -> DataFrame:
-    """(item, n, questions): expected items that their question's results lack, how often, and the first of those questions in order, so many. missed_pairs has all of them."""
-    placed = missed_pairs(expected, retrieved, question, item).withColumn("place", F.row_number().over(Window.partitionBy(item).orderBy(question)))
-    return placed.groupBy(item).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("place") <= most, F.col(question)))).alias("questions"))
+def missed(expected: DataFrame, retrieved: DataFrame, question: str, item: str) -> DataFrame:
+    """(item, n, questions): expected items that their question's results lack, how often, and all of those questions in order."""
+    return missed_pairs(expected, retrieved, question, item).groupBy(item).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(question)).alias("questions"))
 
 
 def missed_pairs(expected: DataFrame, retrieved: DataFrame, question: str, item: str) -> DataFrame:

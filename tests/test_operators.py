@@ -168,3 +168,11 @@ def test_vector_search_in_blocks_and_with_null_facets(spark, monkeypatch, limit)
     assert {(r["qid"], r["id"]) for r in retrieval.vector_topk(asked, e, 4, "f").collect()} == want
     want = {(q, i, None if f is None else str(f)) for q in asks for f in (0, 1, 2, None) for _, i in best(q, [r for r in rows if r[2] == f], 4)}
     assert {(r["qid"], r["id"], r["f"]) for r in retrieval.vector_topk_by_facet(asked.drop("f"), e, 4, "f").collect()} == want
+
+
+def test_gap_report_names_every_customer(spark, tmp_path):
+    n = 150
+    spark.range(1, n + 1).selectExpr("id AS o_orderkey", "id AS o_custkey", "'O' AS o_orderstatus").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(1, n + 1).selectExpr("id AS l_orderkey", "7L AS l_suppkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    (row,) = QUERIES["gap_report"](spark, str(tmp_path)).collect()
+    assert (row["l_suppkey"], row["n"], row["questions"]) == (7, n, ",".join(map(str, range(1, n + 1))))
