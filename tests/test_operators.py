@@ -176,3 +176,27 @@ def test_gap_report_names_every_customer(spark, tmp_path):
     spark.range(1, n + 1).selectExpr("id AS l_orderkey", "7L AS l_suppkey").write.parquet(f"{tmp_path}/lineitem.parquet")
     (row,) = QUERIES["gap_report"](spark, str(tmp_path)).collect()
     assert (row["l_suppkey"], row["n"], row["questions"]) == (7, n, ",".join(map(str, range(1, n + 1))))
+
+
+def test_a_task_hands_on_k_rows_a_query_and_facet_however_many_it_reads(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        e = spark.range(1500).selectExpr("id", "array(sin(id), cos(id * 3), sin(id * 7)) AS vec", "CAST(id % 3 AS STRING) AS f").coalesce(1)
+        asked = e.filter("id % 100 = 0").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+        assert retrieval._best_by_block(asked, e, 4, "f", False).count() == 15 * 3 * 4
+        assert retrieval._best_by_block(asked, e.drop("f"), 4, None, True).count() == 15 * 4
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_kept_rows_that_are_too_many_are_handed_on_before_the_end(spark, monkeypatch):
+    e = spark.range(600).selectExpr("concat('i', id) AS id", "array(sin(id), cos(id * 3)) AS vec", "CAST(id % 3 AS STRING) AS f").coalesce(1)
+    asked = e.filter("f = '0'").limit(20).select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+    want = {tuple(r) for r in retrieval.vector_topk_by_facet(asked, e, 4, "f").collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    monkeypatch.setattr(retrieval, "KEPT", 10)
+    try:
+        got = retrieval.vector_topk_by_facet(asked, e, 4, "f")
+        assert len(want) == 20 * 3 * 4 and {tuple(r) for r in got.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
