@@ -200,3 +200,23 @@ def test_kept_rows_that_are_too_many_are_handed_on_before_the_end(spark, monkeyp
         assert len(want) == 20 * 3 * 4 and {tuple(r) for r in got.collect()} == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_lexical_search_hands_on_the_best_of_a_task_alone_and_its_portions_are_bounded(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    docs = spark.range(900).selectExpr("id", "concat('the ', repeat('w ', CAST(id % 7 AS INT)), 'x', id % 90, IF(id % 2 = 0, ' of', '')) AS text").coalesce(1)
+    asked = spark.range(30).selectExpr("id AS qid", "concat('the of w x', id) AS text")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        found = retrieval.bm25(asked, docs, 5)
+        assert found.count() <= 30 * 10 and retrieval.top(found.select("qid", "id", "score"), 5).count() == 30 * 5
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(retrieval, "CELLS", 1000)
+    batch = pa.RecordBatch.from_pydict({"terms": pa.array([[0, 1], [], [1], [0]] * 20, pa.list_(pa.int32()))})
+    ends = np.array([0, 400, 430])
+    parts = list(retrieval._portions(batch, ends, 10))
+    assert sum((p["terms"].to_pylist() for p in parts), []) == batch["terms"].to_pylist()
+    assert all(len(p) <= 100 and sum(ends[t + 1] - ends[t] for x in p["terms"].to_pylist() for t in x) <= 1000 for p in parts)
