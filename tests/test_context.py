@@ -229,3 +229,12 @@ def test_search_and_contexts_of_questions(spark):
     found = C.search(queries, frame, rules, parts, 5).collect()
     mine = sorted((r for r in found if r["qid"] == 5), key=lambda r: r["place"])
     assert [(r["stage"], r["id"]) for r in mine[:2]] == [(0, "R1"), (1, "7")] and all(r["stage"] == 2 for r in mine[2:]) and 5 <= len(mine) - 2 <= 8
+
+
+def test_topic_pubs_shuffle_one_row_a_question(spark):
+    asked = spark.createDataFrame([(1, ["a", "b"]), (1, ["c"]), (2, ["x", None, "b"]), (None, ["a"]), (3, None), (4, ["b", "b"])], "qid int, topics array<string>")
+    ontology = spark.createDataFrame([("a", "p", 2), ("a", "q", 1), ("b", "q", 0), ("b", "r", None), ("b", None, 5), ("c", "s", 9), (None, "t", 0)], "topic string, pub string, ord int")
+    scope = spark.createDataFrame([(1, "q"), (4, None), (4, "r"), (None, "p"), (9, "p")], "qid int, pub string")
+    found = C.topic_pubs(asked, ontology, scope, 2, 3)
+    assert found._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(qid") == 1
+    assert {tuple(r) for r in found.collect()} == {(1, "p", 1), (1, "s", 2), (1, "r", 3), (None, "q", 1), (None, "p", 2), (4, "q", 1), (4, None, 2)}
