@@ -171,3 +171,13 @@ def test_null_labels_are_no_totals(spark):
     results = spark.createDataFrame([(1, None, 0, 1, True, False), (2, 1, 1, 1, False, True), (3, 2, 1, 2, None, None)], "qid int, first_hit int, found int, relevant int, errored boolean, pub_hit boolean")
     (all_,) = retrieval.ranking_metrics(results, []).collect()
     assert (all_["n"], all_["n_errored"], all_["pub_accuracy"], all_["hit_rate"], all_["slice"]) == (3, 1, pytest.approx(1 / 3, abs=1e-6), pytest.approx(2 / 3, abs=1e-6), "")
+
+
+def test_postings_are_made_where_a_block_lies_and_repeated_ids_are_parted(spark):
+    docs = spark.range(100).selectExpr("IF(id < 80, 'a', concat('b', id)) AS id", "concat('words word ', id % 3) AS text")
+    postings, n, mean = lexical._tables(docs, True, None, 4, 8)
+    assert "hashpartitioning(term" not in postings._jdf.queryExecution().executedPlan().toString()
+    rows = [r for r in postings.collect() if r["term"] == "word"]
+    assert n == 100 and mean == 3.0 and sum(r["n"] for r in rows) == 100 and max(r["n"] for r in rows) <= 64
+    assert all(len(r["ids"]) == r["n"] and r["tfs"] == [2] * r["n"] and r["lengths"] == [3] * r["n"] and r["positions"] == [[0, 1]] * r["n"] and r["ids"] == sorted(r["ids"]) for r in rows)
+    assert all(abs(r["top"] - 2 * 2.2 / (2 + 1.2)) < 1e-9 for r in rows)
