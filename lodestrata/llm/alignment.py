@@ -6,8 +6,8 @@ the cuts number the groups, and differences of the sums at the bounds of a text
 
 A link is an occurrence of an A token and one of a B token in one group. The corpus-wide count of an id pair is the number of documents that hold it linked. Each portion is written as one row with its different pairs,
 the number of its documents that hold each, and which pairs each document holds how often. Pairs, summed over a portion already, are summed over all
-portions by a shuffle on both ids, so a frequent pair costs a row a portion, not one a document; the counts go back to the portions by a join,
-and each portion weighs its own documents. Groups whose tokens make many links are written down by id and number of occurrences, and portions of more than LINKS links in several rows, each for a range
+portions by a shuffle on both ids, so a frequent pair costs a row a portion, not one a document; the counts go back to the portions by a join and a
+sort by portion, and each portion weighs its own documents. A task holds one portion with its counts at a time, and the table of portions has row groups of few portions, however many there are. Groups whose tokens make many links are written down by id and number of occurrences, and portions of more than LINKS links in several rows, each for a range
 of A ids, so memory is bounded by the portion (about PORTION bytes of text, or one longer text).
 
 Nulls: a null or empty text, or one whose joined tokens differ from the text with a space before it (B's normalizing, a U+2581 in the text), has no tokens: its figures are 0 and its lists empty. Ids may be null or repeat: documents are told apart by their place.
@@ -33,6 +33,8 @@ from .common import map_batches, written
 from .tokenizing import default_tokenizer, encoder
 
 PORTION, LINKS, WIDE = 1 << 20, 4_000_000, 64
+#: Bytes of a row group of the table of portions; a row has some hundred thousand values of which many take a bit or less.
+ROW_GROUP = 4 << 20
 #: Bits of a token id in keys of (text, A id, B id); 15 bits are left for the texts of a portion.
 BITS = 24
 MASK = (1 << BITS) - 1
@@ -193,11 +195,13 @@ def _slices(array: pa.Array) -> Iterator[tuple[int, int]]:
 
 
 FIGURES = ("n_a", "n_b", "n_groups", "n_links")
-STORED = "portion string, doc_id array<bigint>, figures array<array<bigint>>, extra array<string>, a array<int>, b array<int>, documents array<int>, at array<int>, pair array<int>, times array<bigint>"
+#: A portion's number has 20 bits for its place in its task. Its rows add RANGE bits for the range of A ids, its documents PLACE bits.
+IN_TASK, RANGE, PLACE = 20, 16, 15
+STORED = "portion bigint, doc_id array<bigint>, figures array<array<bigint>>, extra array<string>, a array<int>, b array<int>, documents array<int>, at array<int>, pair array<int>, times array<bigint>"
 
 
 def _stored(a_path: str, b_path: str, extra: Callable[[Portion], list[str]] | None):
-    kind = pa.schema([("portion", pa.string()), ("doc_id", pa.list_(pa.int64())), ("figures", pa.list_(pa.list_(pa.int64()))), ("extra", pa.list_(pa.string())), *((c, pa.list_(pa.int32())) for c in ("a", "b", "documents", "at", "pair")), ("times", pa.list_(pa.int64()))])
+    kind = pa.schema([("portion", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("figures", pa.list_(pa.list_(pa.int64()))), ("extra", pa.list_(pa.string())), *((c, pa.list_(pa.int32())) for c in ("a", "b", "documents", "at", "pair")), ("times", pa.list_(pa.int64()))])
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
@@ -215,7 +219,7 @@ def _stored(a_path: str, b_path: str, extra: Callable[[Portion], list[str]] | No
                     base = [f.tolist() for f in figures] if k == 0 else [[0] * (end - begin)] * len(figures)
                     said = extra(p) if extra and k == 0 else [None] * (end - begin)
                     lists = (ids, base, said, pairs >> BITS, pairs & MASK, documents, at, pair, times)
-                    yield pa.RecordBatch.from_arrays([pa.array([f"{task}-{number}-{k}"]), *(_list(v, f.type) for v, f in zip(lists, list(kind)[1:], strict=True))], schema=kind)
+                    yield pa.RecordBatch.from_arrays([pa.array([(task << IN_TASK | number) << RANGE | k]), *(_list(v, f.type) for v, f in zip(lists, list(kind)[1:], strict=True))], schema=kind)
                 number += 1
 
     return each
@@ -227,18 +231,18 @@ def _list(values, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat.cast(kind.value_type))
 
 
-def _weighed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["place", "doc_id", *FIGURES, "n_best", "count_sum", "extra"]
-    for batch in batches:
-        for i in range(batch.num_rows):
-            get = lambda c, i=i: batch[c][i].values
-            at, pair, times = (get(c).to_numpy() for c in ("at", "pair", "times"))
-            count, best = (get(c).to_numpy(zero_copy_only=False) if batch[c][i].is_valid else np.zeros(0, np.int64) for c in ("counts", "best"))
-            sums = [np.diff(np.concatenate(([0], np.cumsum(times * x[pair])))[at]) for x in (best.astype(np.int64), count)]
-            n = len(at) - 1
-            base = batch["portion"][i].as_py().rsplit("-", 1)[0]
-            figures = [get("figures")[k].values for k in range(len(FIGURES))]
-            yield pa.RecordBatch.from_arrays([pa.array([f"{base}-{j}" for j in range(n)], pa.string()), get("doc_id"), *figures, *(pa.array(s, pa.int64()) for s in sums), get("extra")], names)
+def _weighed(portion: pa.Table, found: pa.Table) -> pa.Table:
+    """The documents of one row of the portions, with the counts of its pairs."""
+    row = portion.combine_chunks()
+    get = lambda c: row[c].chunk(0)[0].values
+    at, pair, times = (get(c).to_numpy() for c in ("at", "pair", "times"))
+    count, best = np.zeros((2, found.num_rows), np.int64)
+    pos = found["pos"].to_numpy()
+    count[pos], best[pos] = found["count"].to_numpy(), found["best"].to_numpy()
+    sums = [np.diff(np.concatenate(([0], np.cumsum(times * x[pair])))[at]) for x in (best, count)]
+    place = (row["portion"][0].as_py() >> RANGE << PLACE) + np.arange(len(at) - 1)
+    figures = [get("figures")[k].values for k in range(len(FIGURES))]
+    return pa.table([pa.array(place), get("doc_id"), *figures, *map(pa.array, sums), get("extra")], ["place", "doc_id", *FIGURES, "n_best", "count_sum", "extra"])
 
 
 def linked(docs: DataFrame, models: tuple[str, str] | None = None, extra: Callable[[Portion], list[str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -246,14 +250,13 @@ def linked(docs: DataFrame, models: tuple[str, str] | None = None, extra: Callab
     function of a Portion says of each of its texts (without one null)."""
     a_path, b_path = models or default_models()
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    portions = written(map_batches(rows, _stored(a_path, b_path, extra), STORED), "aligned", "zstd")
+    portions = written(map_batches(rows, _stored(a_path, b_path, extra), STORED), "aligned", "zstd", ROW_GROUP)
     pairs = portions.select("portion", F.posexplode(F.arrays_zip("a", "b", "documents")).alias("pos", "p")).select("portion", "pos", "p.a", "p.b", "p.documents")
     counts = pairs.groupBy("a", "b").agg(F.sum("documents").alias("count"))
     counts = written(counts.withColumn("best", F.col("count") == F.max("count").over(Window.partitionBy("a"))), "pair-counts")
-    back = pairs.drop("documents").join(counts, ["a", "b"]).groupBy("portion").agg(F.sort_array(F.collect_list(F.struct("pos", "count", "best"))).alias("found"))  # no more than a portion's own pairs
-    weighed = portions.drop("a", "b", "documents").join(back.select("portion", F.col("found.count").alias("counts"), F.col("found.best").alias("best")), "portion", "left")
-    kind = "place string, doc_id bigint, " + ", ".join(f"{c} bigint" for c in (*FIGURES, "n_best", "count_sum")) + ", extra string"
-    parts = map_batches(weighed, _weighed, kind)
+    found = pairs.join(counts, ["a", "b"]).select(F.col("portion").alias("own"), "pos", "count", "best")
+    kind = "place bigint, doc_id bigint, " + ", ".join(f"{c} bigint" for c in (*FIGURES, "n_best", "count_sum")) + ", extra string"
+    parts = portions.drop("a", "b", "documents").groupBy("portion").cogroup(found.groupBy("own")).applyInArrow(_weighed, kind)
     return parts.groupBy("place").agg(F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in (*FIGURES, "n_best", "count_sum")), F.max("extra").alias("extra")).drop("place")
 
 

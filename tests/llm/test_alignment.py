@@ -8,7 +8,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lodestrata.llm import alignment
+from lodestrata.llm import alignment, common
 from lodestrata.llm.queries import QUERIES
 
 ALPHABET = alignment.byte_alphabet()
@@ -104,6 +104,30 @@ def test_documents_in_several_rows(spark, monkeypatch):
     assert got == {i: w[:-1] for i, w in enumerate(brute(texts))}
 
 
+def test_memory_does_not_grow_with_portions(spark, monkeypatch, tmp_path):
+    """In one task: the table of portions has row groups of few rows, also after rows of little, and no aggregate holds the counts of several portions."""
+    each = alignment._stored(*alignment.default_models(), None)
+
+    def low(batches):
+        alignment.PORTION = 20_000
+        try:
+            yield from each(batches)
+        finally:
+            alignment.PORTION = 1 << 20
+
+    rng = random.Random(5)
+    texts = [*["a"] * 3, *(" ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(3_000)) for _ in range(150))]
+    monkeypatch.setattr(alignment, "_stored", lambda a, b, extra: low)
+    monkeypatch.setattr(alignment, "ROW_GROUP", 200_000, raising=False)
+    monkeypatch.setattr(common, "scratch_dir", lambda spark: str(tmp_path))
+    found = alignment.linked(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1))
+    assert found.count() == len(texts)
+    (path,) = tmp_path.glob("aligned-*/*.parquet")
+    meta = pq.ParquetFile(path).metadata
+    assert meta.num_rows >= 150 and max(meta.row_group(i).num_rows for i in range(meta.num_row_groups)) <= 20
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+
+
 def test_lists_of_groups(spark):
     rows = spark.createDataFrame([(1, "Some words, and 12345."), (2, None)], "doc_id long, text string")
     got = {r["doc_id"]: r for r in alignment.aligned(rows).collect()}
