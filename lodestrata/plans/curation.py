@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lodestrata.functions import texts as T
 from lodestrata.operators import curation as U
 from lodestrata.operators import relations
+from lodestrata.operators.retrieval import small
+from lodestrata.operators.stored import stored
 
 from .registry import query, table
 from .retrieval import _GROUPED, _LEX, _lists
@@ -190,9 +192,9 @@ def method_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.method_counts(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("qid"), F.col("role").alias("retrieval_method")))
 
 
-@query(f"WITH {_LEX}, {_GROUPED}, c AS (SELECT qid, id, source AS pub, score, left(coalesce(text, ''), 20) AS text FROM a JOIN documents ON doc_id = id), r AS (SELECT *, count(*) OVER (PARTITION BY qid) AS n, count(*) OVER (PARTITION BY qid, pub) AS p, row_number() OVER (PARTITION BY qid, pub ORDER BY score DESC, id) AS k FROM c), j AS (SELECT qid, pub, string_agg(text, chr(10) || chr(10) ORDER BY k) AS t FROM r WHERE n >= 8 AND p > 1 GROUP BY ALL) SELECT qid, id, pub, left(t, 30) AS text FROM r JOIN j USING (qid, pub) WHERE k = 1 UNION ALL SELECT qid, id, pub, text FROM r WHERE NOT (n >= 8 AND p > 1)".replace("FROM a JOIN documents", "FROM l1 JOIN documents"))
+@query(f"WITH {_LEX}, {_GROUPED}, c AS (SELECT qid, id, source AS pub, score, coalesce(text, '') AS text FROM a JOIN documents ON doc_id = id), r AS (SELECT *, count(*) OVER (PARTITION BY qid) AS n, count(*) OVER (PARTITION BY qid, pub) AS p, row_number() OVER (PARTITION BY qid, pub ORDER BY score DESC, id) AS k FROM c), j AS (SELECT qid, pub, string_agg(text, chr(10) || chr(10) ORDER BY k) AS t FROM r WHERE n >= 8 AND p > 1 GROUP BY ALL) SELECT qid, id, pub, t AS text FROM r JOIN j USING (qid, pub) WHERE k = 1 UNION ALL SELECT qid, id, pub, text FROM r WHERE NOT (n >= 8 AND p > 1)".replace("FROM a JOIN documents", "FROM l1 JOIN documents"))
 def compressed_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the ten best documents of each passage those of one source become one, cut to 30 characters."""
+    """Of the ten best documents of each passage those of one source become one, with their whole texts from the best on."""
     main, _, docs = _lists(spark, sf_dir)
-    rows = main.join(docs.select(F.col("doc_id").alias("id"), F.col("source").alias("pub"), F.left(F.coalesce("text", F.lit("")), F.lit(20)).alias("text")), "id")
-    return U.compressed(rows.select("qid", "id", "pub", "score", "text"), lambda t: F.left(t, F.lit(30))).select("qid", "id", "pub", "text")
+    rows = small(main.select("qid", "id", "score")).join(docs.select(F.col("doc_id").alias("id"), F.col("source").alias("pub"), F.coalesce("text", F.lit("")).alias("text")), "id")
+    return U.compressed(stored(rows), lambda t: t).select("qid", "id", "pub", "text")  # so that the documents are read once, and the texts of the best alone go on

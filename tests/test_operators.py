@@ -220,3 +220,19 @@ def test_lexical_search_hands_on_the_best_of_a_task_alone_and_its_portions_are_b
     parts = list(retrieval._portions(batch, ends, 10))
     assert sum((p["terms"].to_pylist() for p in parts), []) == batch["terms"].to_pylist()
     assert all(len(p) <= 100 and sum(ends[t + 1] - ends[t] for x in p["terms"].to_pylist() for t in x) <= 1000 for p in parts)
+
+
+def test_compressed_contexts_have_whole_texts(spark):
+    """A context has the whole text of its document, and those of one source the whole texts of all of them."""
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    best = {}
+    for r in QUERIES["bm25_topk"](spark, SF).collect():
+        best.setdefault(r["qid"], set()).add(r["id"])
+    got = {}
+    for r in QUERIES["compressed_contexts"](spark, SF).collect():
+        got.setdefault(r["qid"], []).append(r)
+    assert got.keys() == best.keys() and any(len(rows) < len(best[q]) for q, rows in got.items())
+    for q, rows in got.items():
+        assert all(r["text"] == texts[r["id"]] or r["text"].startswith(texts[r["id"]] + "\n\n") for r in rows)
+        assert all(any(texts[i] in r["text"] for r in rows) for i in best[q])
+        assert sum(len(r["text"]) for r in rows) == sum(len(texts[i]) for i in best[q]) + 2 * (len(best[q]) - len(rows))
